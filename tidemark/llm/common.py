@@ -35,6 +35,16 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "").cast(pa.large_string())
 
 
+def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts of a large-string array without nulls, and the offsets of each."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[ends[0] : ends[-1]], ends - ends[0]
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about limit bytes of text each; a longer row stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -140,3 +150,15 @@ class DocumentIds:
         keep = np.ones(len(self.ids), bool)
         keep[self.offsets[1:] - 1] = False
         self.ids[keep] = flat[ragged(starts[words.codes], per_word)]
+
+
+def bounded_sample(rows: DataFrame, bound: int, *key: str) -> DataFrame:
+    """About bound rows, chosen by a hash of the key columns; all rows where there are fewer.
+
+    The share is bound / count, so a rerun takes the same rows. Rows that repeat a key share
+    its fate, so a caller that collects limits what it collects as well.
+    """
+    n = rows.count()
+    if n <= bound:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n)))

@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import binslack, dac, mixing
+from tidemark.llm import binslack, dac, fertility, langid, mixing, qda
 from tidemark.llm.common import documents
 
 
+def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality_rules(documents(spark, sf_dir))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_ids(dac.write_ids(documents(spark, sf_dir)))
 
@@ -24,6 +36,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fertility": op1_fertility,
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
     "op6_token_ids": op6_token_ids,
     "op7_mixing": op7_mixing,
     "op10_packing": op10_packing,
