@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import binslack, dac, fertility, langid, mixing, qda
+from tidemark.llm import binslack, dac, fertility, langid, media, mixing, neardup, qda
 from tidemark.llm.common import documents
 
 
@@ -23,6 +22,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_ids(dac.write_ids(documents(spark, sf_dir)))
 
@@ -31,6 +34,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binslack.pack(documents(spark, sf_dir))
 
@@ -39,9 +46,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_token_ids": op6_token_ids,
     "op7_mixing": op7_mixing,
+    "op8_media": op8_media,
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {"op7_mixing": mixing.MIX_SQL}
+SQL: dict[str, str] = {"op5_near_duplicates": neardup.NEARDUP_SQL, "op7_mixing": mixing.MIX_SQL}
