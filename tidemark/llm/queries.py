@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import binslack, dac, fertility, langid, media, mixing, neardup, qda
+from tidemark.llm import binslack, dac, fertility, langid, media, mixing, neardup, qda, suffix
 from tidemark.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), output="digest")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binslack.pack(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_ids": op6_token_ids,
     "op7_mixing": op7_mixing,
     "op8_media": op8_media,
+    "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
 }
 
