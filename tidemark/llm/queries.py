@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import binslack, dac, fertility, langid, media, mixing, neardup, qda, suffix
+from tidemark.llm import binslack, dac, fertility, langid, media, mixing, neardup, ppm, qda, suffix
 from tidemark.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qda.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(documents(spark, sf_dir))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), percent=85)
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op4_ppm": op4_ppm,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_ids": op6_token_ids,
     "op7_mixing": op7_mixing,
