@@ -29,10 +29,17 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
 
 
-def texts_of(column: pa.Array) -> pa.Array:
-    """Large-string array with nulls as empty texts."""
+def texts_of(column: pa.Array, lower: bool = False) -> pa.Array:
+    """Large-string array with nulls as empty texts, and with ASCII letters in lower case if asked.
+
+    The array is built anew from offset zero: Arrow's ascii_lower reads the wrong bytes of a slice.
+    """
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return pc.fill_null(column, "").cast(pa.large_string())
+    texts = pc.fill_null(column, "").cast(pa.large_string())
+    data, ends = utf8_bytes(texts)
+    if lower:
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
 def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +71,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        texts = texts_of(texts)
-        if lower:
-            texts = pc.ascii_lower(texts)
+        texts = texts_of(texts, lower)
         lists = pc.ascii_split_whitespace(texts)
         flat = pc.list_flatten(lists)
         lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
