@@ -556,6 +556,62 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), cols.anonymous_id(c("event_type"), c("user_id").cast("string")).alias("anonymous_id"))
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    """with q as (select vec_id, embedding from embeddings where vec_id % 20 = 0), d as (
+      select q.vec_id as query_id, h.vec_id as neighbour_id, round(list_sum(list_transform(list_zip(q.embedding, h.embedding), lambda z: (z[1]::double - z[2]::double) ** 2)), 6) as distance from q, embeddings h where q.vec_id <> h.vec_id),
+    r as (select *, row_number() over (partition by query_id order by distance, neighbour_id) as rank from d) select query_id, neighbour_id, distance, rank from r where rank <= 12"""
+)
+def case_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 12 nearest vectors of every 20th vector."""
+    from tidemark.operators.retrieval import nearest
+
     ensure_importable(spark)
-    return technical_features(spark, sf_dir)
+    e = views.read(spark, sf_dir, "embeddings")
+    return rounded(nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding"), 6)
+
+
+@query()
+def aggregation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every aggregation pattern in every fold."""
+    from tidemark.operators.patterns import evaluate
+
+    return rounded(evaluate(bank(spark, sf_dir), KEY))
+
+
+@query()
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible lines of the web pages."""
+    from tidemark.sources.parsers import html_lines
+
+    return html_lines(views.read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table rows of the web pages."""
+    from tidemark.sources.parsers import html_table_rows
+
+    return html_table_rows(views.read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query(
+    "select time_bucket(interval 1 hour, ts) as window_start, time_bucket(interval 1 hour, ts) + interval 1 hour as window_end, event_type, count(*) as n, round(sum(value), 4) as total from events group by all"
+)
+def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tumbling windows over event time, the streaming aggregate run over the bounded table."""
+    from tidemark.streaming.incremental import tumbling
+
+    e = views.read(spark, sf_dir, "events")
+    return rounded(tumbling(e, "ts", "1 hour", "10 minutes", ["event_type"], F.count("*").alias("n"), F.sum("value").alias("total")))
+
+
+@query(
+    """with g as (select *, case when ts - lag(ts) over w >= interval 30 minute or lag(ts) over w is null then 1 else 0 end as brk from events window w as (partition by user_id order by ts, event_id)),
+    s as (select *, sum(brk) over (partition by user_id order by ts, event_id) as sid from g)
+    select min(ts) as window_start, max(ts) + interval 30 minute as window_end, user_id, count(*) as n from s group by user_id, sid"""
+)
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session windows with a gap of 30 minutes."""
+    from tidemark.streaming.incremental import sessions
+
+    return sessions(views.read(spark, sf_dir, "events"), "ts", "30 minutes", "10 minutes", ["user_id"], F.count("*").alias("n"))
