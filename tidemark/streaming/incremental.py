@@ -18,19 +18,24 @@ def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """events with a watermark; a stream's time column without zone is taken as the session's."""
+    return (events.withColumn(time, c(time).cast("timestamp")) if events.isStreaming else events).withWatermark(time, late)
+
+
 def tumbling(events: DataFrame, time: str, length: str, late: str, keys: Sequence[str], *aggregates) -> DataFrame:
     w = F.window(c(time), length)
-    return events.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(*aggregates).select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, *[c(a) for a in _names(aggregates)])
+    return timed(events, time, late).groupBy(w.alias("w"), *keys).agg(*aggregates).select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, *[c(a) for a in _names(aggregates)])
 
 
 def sliding(events: DataFrame, time: str, length: str, step: str, late: str, keys: Sequence[str], *aggregates) -> DataFrame:
     w = F.window(c(time), length, step)
-    return events.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(*aggregates).select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, *[c(a) for a in _names(aggregates)])
+    return timed(events, time, late).groupBy(w.alias("w"), *keys).agg(*aggregates).select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, *[c(a) for a in _names(aggregates)])
 
 
 def sessions(events: DataFrame, time: str, gap: str, late: str, keys: Sequence[str], *aggregates) -> DataFrame:
     w = F.session_window(c(time), gap)
-    return events.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(*aggregates).select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, *[c(a) for a in _names(aggregates)])
+    return timed(events, time, late).groupBy(w.alias("w"), *keys).agg(*aggregates).select(c("w.start").alias("window_start"), c("w.end").alias("window_end"), *keys, *[c(a) for a in _names(aggregates)])
 
 
 def _names(aggregates) -> list[str]:
@@ -39,13 +44,13 @@ def _names(aggregates) -> list[str]:
 
 def distinct_within(events: DataFrame, time: str, late: str, keys: Sequence[str]) -> DataFrame:
     """First row of each key within the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+    return timed(events, time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def matured(predictions: DataFrame, outcomes: DataFrame, keys: Sequence[str], made: str, known: str, horizon: str, late: str) -> DataFrame:
     """Stream-stream join of predictions with outcomes that became known after them, within the horizon."""
-    p = predictions.withWatermark(made, late)
-    o = outcomes.withWatermark(known, late).withColumnsRenamed({k: f"__{k}" for k in keys})
+    p = timed(predictions, made, late)
+    o = timed(outcomes, known, late).withColumnsRenamed({k: f"__{k}" for k in keys})
     same = [c(k) == c(f"__{k}") for k in keys]
     inside = (c(known) > c(made)) & (c(known) <= c(made) + F.expr(f"interval {horizon}"))
     return p.join(o, [*same, inside]).drop(*[f"__{k}" for k in keys])
