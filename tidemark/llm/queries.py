@@ -63,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {"op5_near_duplicates": neardup.NEARDUP_SQL, "op7_mixing": mixing.MIX_SQL}
+SQL: dict[str, str] = {"op5_near_duplicates": neardup.NEARDUP_SQL, "op7_mixing": mixing.MIX_SQL, "op9_repeats": suffix.REPEATS_SQL}

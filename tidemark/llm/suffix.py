@@ -462,3 +462,24 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         return cleaned.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
     cleaned = joined.mapInArrow(clean, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return cleaned.select(*[F.col("row").getField(c).alias(c) for c in others], "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Every window counted, for small tables; texts are handled as hex digits, two a byte.
+REPEATS_SQL = """
+with hexed as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as materialized (
+  select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as k from (select doc_id, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) as i from hexed)),
+hits as (select doc_id, i from windows where k in (select k from windows group by k having count(*) > 1)),
+marked as (select *, case when i <= lag(i) over w + 200 then 0 else 1 end as fresh from hits window w as (partition by doc_id order by i)),
+runs as (
+  select doc_id, min(i) as a, max(i) + 200 as b
+  from (select *, sum(fresh) over (partition by doc_id order by i rows unbounded preceding) as run from marked) group by doc_id, run),
+gaps as (
+  select r.doc_id, r.a, substr(h, 2 * coalesce(lag(r.b) over w, 0) + 1, 2 * (r.a - coalesce(lag(r.b) over w, 0))) as piece
+  from runs r join hexed using (doc_id) window w as (partition by r.doc_id order by r.a)),
+kept as (select doc_id, string_agg(piece, '' order by a) as head from gaps group by doc_id),
+sums as (select doc_id, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans, max(b) as last from runs group by doc_id)
+select h.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from hexed h left join sums s on s.doc_id = h.doc_id left join kept k on k.doc_id = h.doc_id
+"""
