@@ -615,3 +615,74 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.streaming.incremental import sessions
 
     return sessions(views.read(spark, sf_dir, "events"), "ts", "30 minutes", "10 minutes", ["user_id"], F.count("*").alias("n"))
+
+
+@query(
+    f"""with {_CASES}, m as (select fold, model, avg({_LL}) as logloss from bank group by all),
+    n as (select *, count(*) over (partition by model) as n, row_number() over (partition by model order by fold) as rn from m), w as (select *, case when n >= 3 then 1 + (rn - 1) / (n - 1)::double else 1.0::double end as w from n)
+    select model, count(*) as n_folds, {_r('avg(logloss)', 'mean')}, {_r('coalesce(stddev_samp(logloss), 0)', 'std')}, {_r('sum(w * logloss) / sum(w)', 'recent')}, substr(sha256(string_agg(fold::varchar, ',' order by fold::varchar)), 1, 16) as signature,
+           {_r('0.5 * avg(logloss) + 0.5 * sum(w * logloss) / sum(w)', 'selection')} from w group by model"""
+)
+def fold_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, deviation, recency-weighted mean and fold signature of each model."""
+    from tidemark.operators.evidence import fold_summary
+
+    m = bank(spark, sf_dir).groupBy("fold", "model").agg(F.avg(scores.log_loss(c("y"), c("p"))).alias("logloss"))
+    return rounded(fold_summary(m))
+
+
+@query(
+    f"""with recursive {_CASES}, s as (select session_date, avg(({_HIT}) * -1 + 1) as miss, row_number() over (order by session_date) as rn from bank where model = 'momentum' group by session_date),
+    f(rn, session_date, a) as (select rn, session_date, 0.1::double from s where rn = 1 union all select n.rn, n.session_date, least(greatest(f.a + 0.02 * (0.1::double - p.miss), 0.001), 0.999) from f join s p on p.rn = f.rn join s n on n.rn = f.rn + 1)
+    select session_date, {_r('a', 'alpha_t', 6)} from f"""
+)
+def adaptive_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conformal level moved after each session by its miss rate."""
+    from tidemark.operators.evidence import adaptive_levels
+
+    miss = F.avg(F.when((c("p") >= 0.5) == (c("y") == 1), 0.0).otherwise(1.0)).alias("miss_rate")
+    return rounded(adaptive_levels(bank(spark, sf_dir).where("model = 'momentum'").groupBy("session_date").agg(miss)), 6)
+
+
+@query(
+    f"""with {_BASE}, l as (select *, -2 * volatility_20 as lo, 2 * volatility_20 as hi, lead(ret_1d) over (partition by symbol order by session_date) as y from base), m as (select *, greatest(lo - y, 0) + greatest(y - hi, 0) as miss from l where y is not null and lo is not null)
+    select asset_class, count(*) as n, {_r('avg((hi - lo) + 2 / 0.2::double * miss)', 'interval_score')}, {_r('avg((miss = 0)::int)', 'coverage')}, {_r('avg(hi - lo)', 'width')}, {_r('avg((miss >= 0.05)::int)', 'severe_miss')} from m group by asset_class"""
+)
+def interval_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, coverage and severe misses of volatility intervals."""
+    from tidemark.operators.evidence import interval_metrics
+
+    line = technical.Window.partitionBy("asset_class", "symbol").orderBy("session_date")
+    rows = _base(spark, sf_dir).withColumns({"lo": -2 * c("volatility_20"), "hi": 2 * c("volatility_20"), "next": F.lead("ret_1d").over(line)})
+    return rounded(interval_metrics(rows, ["asset_class"], "next", "lo", "hi"))
+
+
+@query(
+    f"""with {_PRED}, o as (select asset_class, symbol, session_date, lead(close) over w / close - 1 as y_ret from bars window w as (partition by symbol order by session_date)),
+    j as (select p.*, p_up_1d as p, (y_ret > 0)::int as y from preds p join o using (asset_class, symbol, session_date) where y_ret is not null), last as (select distinct session_date from j order by 1 desc limit 20)
+    select asset_class, count(*) as n, {_r(f'avg({_LL})', 'logloss')}, {_r(f'avg({_HIT})', 'accuracy')}, count(case when session_date in (select session_date from last) then 1 end) as n_recent from j group by asset_class"""
+)
+def outcome_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved predictions by asset class, with those of the last 20 sessions counted."""
+    from tidemark.operators.audits import resolve
+
+    rows = resolve(_predictions(spark, sf_dir), views.bars(spark, sf_dir)).withColumn("p", c("p_up_1d"))
+    last = rows.select(c("session_date").alias("__d")).distinct().orderBy(c("__d").desc()).limit(20)
+    rows = rows.join(last, c("session_date") == c("__d"), "left")
+    hit = F.avg(F.when((c("p") >= 0.5) == (c("y") == 1), 1.0).otherwise(0.0))
+    return rounded(rows.groupBy("asset_class").agg(F.count("*").alias("n"), F.avg(scores.log_loss(c("y"), c("p"))).alias("logloss"), hit.alias("accuracy"), F.count("__d").alias("n_recent")))
+
+
+@query(
+    f"""with {views.BARS_SQL}, e as (select distinct asset_class, symbol, make_date(y, 1, 1) as year_start from bars, (select distinct year(session_date) as y from bars)), o as (select distinct asset_class, symbol, date_trunc('year', session_date)::date as year_start from bars)
+    select * from e except select * from o"""
+)
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instrument-years without a bar: expected less observed."""
+    from tidemark.operators.audits import missing_keys
+
+    b = views.bars(spark, sf_dir).select("asset_class", "symbol", F.trunc("session_date", "year").alias("year_start"))
+    years = b.select("year_start").distinct()
+    span = years.agg(F.collect_set("year_start").alias("years"))  # a date a year
+    expected = b.select("asset_class", "symbol").distinct().join(F.broadcast(span)).select("asset_class", "symbol", F.explode("years").alias("year_start"))
+    return missing_keys(expected, b, ["asset_class", "symbol", "year_start"])
