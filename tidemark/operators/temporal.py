@@ -32,29 +32,40 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, take: Se
     return left.join(found, same, "left").drop(*[f"__r_{n}" for n in names])
 
 
-def trailing_counts(queries: DataFrame, events: DataFrame, key: str, on: str, counts: Mapping[str, tuple[str, Column | None]], last: str | None = None) -> DataFrame:
+def trailing_counts(
+    queries: DataFrame, events: DataFrame, key: str, on: str, counts: Mapping[str, tuple[str, Column | None]], last: str | None = None, age: str | None = None
+) -> DataFrame:
     """Events in [t - interval, t], both ends inclusive, for each query row.
 
-    counts maps a name to (interval text such as "30 days", condition on events or None).
-    Both sides share one range window per key, so an event is read once whatever the number
-    of intervals. last names a column for the whole days since the latest event.
+    counts maps a name to (interval, condition on events or None); an interval is text such
+    as "30 days", or "210 days to 30 days" for one that ends before t. Both sides share one
+    range window per key, so an event is read once whatever the number of intervals. last
+    names a column for the whole days since the latest event, age one for the exact days.
     """
     flags = {n: (F.when(cond, 1).otherwise(0) if cond is not None else F.lit(1)) for n, (_, cond) in counts.items()}
-    e = events.select(key, on, F.lit(0).alias("__q"), *[f.alias(f"__f_{n}") for n, f in flags.items()])
+    e = events.where(F.col(on).isNotNull()).select(key, on, F.lit(0).alias("__q"), *[f.alias(f"__f_{n}") for n, f in flags.items()])
     q = queries.select(key, on).distinct().select(key, on, F.lit(1).alias("__q"), *[F.lit(0).alias(f"__f_{n}") for n in flags])
-    line = Window.partitionBy(key).orderBy(on)
+    line = Window.partitionBy(key).orderBy(F.unix_micros(F.col(on).cast("timestamp")))
     merged = e.union(q)
+    latest = F.max(F.when(F.col("__q") == 0, F.unix_micros(F.col(on).cast("timestamp")))).over(line.rangeBetween(Window.unboundedPreceding, 0))
+    spans = {n: _span(text) for n, (text, _) in counts.items()}
     out = merged.select(
-        key, on, "__q",
-        *[F.sum(f"__f_{n}").over(Window.partitionBy(key).orderBy(F.unix_micros(on)).rangeBetween(-_micros(span), 0)).alias(n) for n, (span, _) in counts.items()],
-        *([F.max(F.when(F.col("__q") == 0, F.col(on))).over(line.rangeBetween(Window.unboundedPreceding, 0)).alias("__last")] if last else []),
-    ).where("__q = 1").drop("__q")
+        key, on, "__q", *[F.coalesce(F.sum(f"__f_{n}").over(line.rangeBetween(-a, -b)), F.lit(0)).alias(n) for n, (a, b) in spans.items()], latest.alias("__last")
+    ).where("__q = 1")
+    days = (F.unix_micros(F.col(on).cast("timestamp")) - F.col("__last")) / 86_400_000_000
     if last:
-        out = out.withColumn(last, F.floor((F.unix_micros(on) - F.unix_micros("__last")) / 86_400_000_000).cast("int")).drop("__last")
-    renamed = out.withColumnsRenamed({key: "__k", on: "__t"})
+        out = out.withColumn(last, F.floor(days).cast("int"))
+    if age:
+        out = out.withColumn(age, days)
+    renamed = out.drop("__q", "__last").withColumnsRenamed({key: "__k", on: "__t"})
     return queries.join(renamed, (F.col(key) == F.col("__k")) & (F.col(on) == F.col("__t")), "left").drop("__k", "__t")
 
 
+def _span(text: str) -> tuple[int, int]:
+    first, _, second = text.partition(" to ")
+    return _micros(first), _micros(second) if second else 0
+
+
 def _micros(span: str) -> int:
     n, unit = span.split()
     return int(n) * {"hour": 3_600, "day": 86_400}[unit.rstrip("s")] * 1_000_000
