@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -49,3 +50,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now.
+
+    It does so once the driver has collected their plans, which in a long job of several
+    written tables may come late; until then the files of all of them take up disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
