@@ -10,8 +10,10 @@ from tidemark.sources import landing
 def test_raw_files_and_encodings(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("一行\n二行".encode())
     (tmp_path / "b.txt").write_bytes("日本".encode("cp932"))
-    got = {r["path"].rsplit("/", 1)[1]: r for r in landing.landed(spark, str(tmp_path)).withColumn("t", landing.decoded(F.col("content"))).collect()}
-    assert got["a.txt"]["lines"] == 2 and got["a.txt"]["t"] == "一行\n二行" and got["b.txt"]["t"] == "日本"
+    files = landing.landed(spark, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in landing.decoded(files).collect()}
+    assert got == {"a.txt": "一行\n二行", "b.txt": "日本"}
+    assert {r["path"].rsplit("/", 1)[1]: r["lines"] for r in files.collect()} == {"a.txt": 2, "b.txt": 1}
 
 
 def test_publish_and_choose(spark, tmp_path):

@@ -6,12 +6,14 @@ import hashlib
 import json
 import os
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.upkeep import keep_last
+from tidemark.scratch import ensure_importable
 
 c = F.col
 
@@ -23,9 +25,26 @@ def landed(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", "length", F.sha2("content", 256).alias("sha256"), lines.alias("lines"), "content")
 
 
-def decoded(content: Column, fallback: str = "windows-31j") -> Column:
-    """Text of bytes that are UTF-8, or else in the fallback encoding."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, fallback))
+def decoded(files: DataFrame, key: str = "path", content: str = "content", fallback: str = "cp932") -> DataFrame:
+    """(key, text) of bytes that are UTF-8, or else in the fallback encoding, unreadable bytes replaced.
+
+    Spark's own decode knows only the Unicode encodings, so this runs over Arrow batches.
+    """
+    ensure_importable(files.sparkSession)
+
+    def text(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
+        try:
+            return raw.decode()
+        except UnicodeDecodeError:
+            return raw.decode(fallback, errors="replace")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(text, b.column(1).to_pylist()), pa.string())], names=[key, "text"])
+
+    return files.select(key, content).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, text string")
 
 
 def price_partitions(spark: SparkSession, folder: str) -> DataFrame:
