@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def ensure_importable(spark: SparkSession) -> None:
@@ -49,6 +50,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,3 +62,12 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the scratch tables of this driver; call it when no result that reads them is needed any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    _WRITTEN.clear()
