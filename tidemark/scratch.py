@@ -18,9 +18,9 @@ _WRITTEN: list[str] = []
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers started by this session import this package."""
     env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *[p for p in paths if p]])
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *[p for p in known if p and p != _ROOT]])
 
 
 def scratch_dir(spark: SparkSession) -> str:
