@@ -22,7 +22,7 @@ def duck(small):
 def plain(v):
     if isinstance(v, float) and math.isnan(v):
         return None
-    return round(float(v), 4) if isinstance(v, float) else str(v) if v is not None and not isinstance(v, (int, bool)) else v
+    return round(float(v), 4) + 0.0 if isinstance(v, float) else str(v) if v is not None and not isinstance(v, (int, bool)) else v
 
 
 @pytest.mark.parametrize("name", panel.SQL)

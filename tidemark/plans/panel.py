@@ -34,7 +34,8 @@ def rounded(df: DataFrame, digits: int = 4, **own: int) -> DataFrame:
 
 
 def _r(expr: str, name: str, digits: int = 4) -> str:
-    return f"round({expr}, {digits}) as {name}"
+    """Rounded as Spark rounds: without a negative zero."""
+    return f"round({expr}, {digits}) + 0::double as {name}"
 
 
 def _full(agg: str, x: str, n: int) -> str:
@@ -169,7 +170,7 @@ def technical_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
       select *, lead(close) over w / close - 1 as r1, lead(close, 5) over w / close - 1 as r5, stock_splits <> 0 as sp, coalesce(lead(stock_splits) over w, 0) <> 0 as nsp
       from bars window w as (partition by symbol order by session_date)),
     t as (select *, case when not sp and not nsp then r1 end as target_ret_1d, case when not sp then r5 end as target_ret_5d from f)
-    select asset_class, symbol, session_date, {_r('r1', 'raw_price_return_1d')}, round(target_ret_1d, 4) as target_ret_1d, round(target_ret_5d, 4) as target_ret_5d,
+    select asset_class, symbol, session_date, {_r('r1', 'raw_price_return_1d')}, {_r('target_ret_1d', 'target_ret_1d')}, {_r('target_ret_5d', 'target_ret_5d')},
            (target_ret_1d > 0)::int as target_up_1d, (target_ret_5d > 0.03)::int as target_up_5d_3pct, (target_ret_5d < -0.03)::int as target_down_5d_3pct from t"""
 )
 def forward_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
