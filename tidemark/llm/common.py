@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +19,8 @@ from tidemark.scratch import ensure_importable
 
 #: Bytes of text handled at once inside one Arrow batch.
 CHUNK_BYTES = 6 << 20
-#: Entries of the per-worker cache from a word to its token ids.
-CACHE_WORDS = 300_000
+#: Words in one generation of a worker's cache of token ids.
+CACHE_WORDS = 350_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,43 +105,107 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class WordEncoder:
     """Ids of words under a tokenizer that never joins text across ASCII white space.
 
-    encode maps a list of words to a list of id lists. The cache is emptied when it is
-    full, so memory stays bounded whatever the vocabulary of the corpus.
+    encode maps a list of words to a list of packed ids (bytes of uint32). Ids are kept in
+    two generations of at most limit words each: when the young one is full it replaces the
+    old one, and words found in the old one move up. So memory stays bounded whatever the
+    vocabulary of the corpus, and frequent words stay.
     """
 
-    def __init__(self, encode, limit: int = CACHE_WORDS):
-        self._encode, self._limit, self._cache = encode, limit, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_WORDS):
+        self._encode, self._limit, self._young, self._old = encode, limit, {}, {}
+
+    def packed(self, words: list[str]) -> list[bytes]:
+        young, old = self._young, self._old
+        missing = [w for w in words if w not in young]
+        if missing and len(young) + len(missing) > self._limit:
+            old = self._old = young
+            young = self._young = {}
+            missing = words
+        fresh = []
+        for w in missing:
+            found = old.get(w)
+            if found is None:
+                fresh.append(w)
+            else:
+                young[w] = found
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            young.update(zip(part, self._encode(part), strict=True))
+        return [young[w] for w in words]
 
     def __call__(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words of vocab concatenated, number of ids of each word)."""
-        words, cache = vocab.to_pylist(), self._cache
-        missing = [w for w in words if w not in cache]
-        if len(cache) + len(missing) > self._limit:
-            cache.clear()
-            missing = words
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for w, ids in zip(part, self._encode(part), strict=True):
-                cache[w] = np.asarray(ids, np.uint32).tobytes()
-        rows = [cache[w] for w in words]
+        rows = self.packed(vocab.to_pylist())
         lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
         return np.frombuffer(b"".join(rows), np.uint32), lengths
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
 
 
+#: A run of letters whose lower case is one letter each, and one mark: two pre-tokens at most.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?]?)")
+
+
+@lru_cache(maxsize=2)
 def bpe_encoder(path: str) -> WordEncoder:
-    """Word-wise encoder for a tokenizers file whose pre-tokenizer drops white space."""
+    """Word-wise encoder for a tokenizers file that drops white space and marks word ends.
+
+    Kept for the life of a worker, so tasks share its cache. Plain words are lower-cased,
+    parted from a closing mark and encoded many in one call; the ids that end a word tell
+    them apart again. All other words are encoded one by one.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
     fast = getattr(model, "encode_batch_fast", model.encode_batch)
-    return WordEncoder(lambda words: [e.ids for e in fast(words, add_special_tokens=False)])
+    spec = json.loads(model.to_str())
+    suffix = spec["model"].get("end_of_word_suffix")
+    lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+
+    def one_by_one(words: list[str]) -> list[bytes]:
+        return [pack_ids(e.ids) for e in fast(words, add_special_tokens=False)]
+
+    if not (suffix and lowers):
+        return WordEncoder(one_by_one)
+    vocab = model.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+    marks = {m: pack_ids(model.encode(m, add_special_tokens=False).ids) for m in ".,;:!?"} | {"": b""}
+
+    def together(words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 2_000):
+            part = words[at : at + 2_000]
+            ids = np.array(model.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            cut = (np.flatnonzero(ends[ids]) + 1) * 4
+            if len(cut) != len(part):
+                out += one_by_one(part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for stop in cut.tolist():
+                out.append(raw[start:stop])
+                start = stop
+        return out
+
+    stems = WordEncoder(together)
+
+    def encode(words: list[str]) -> list[bytes]:
+        plain = [_PLAIN.fullmatch(w) for w in words]
+        stem = stems.packed([m[1].lower() for m in plain if m])
+        rest = iter(one_by_one([w for w, m in zip(words, plain, strict=True) if not m]))
+        known = iter(stem)
+        return [next(known) + marks[m[2]] if m else next(rest) for m in plain]
+
+    return WordEncoder(encode)
 
 
 class DocumentIds:

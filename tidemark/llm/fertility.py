@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordEncoder, Words, chunks, ragged, texts_of, tokenizer_path, utf8_bytes
+from tidemark.llm.common import WordEncoder, Words, chunks, pack_ids, ragged, texts_of, tokenizer_path, utf8_bytes
 from tidemark.scratch import ensure_importable
 
 #: Scripts told apart, by ranges of code points; letters elsewhere count as other.
@@ -64,6 +65,7 @@ def _script_table() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=2)
 def piece_encoder(path: str) -> tuple[WordEncoder, np.ndarray, np.ndarray]:
     """Word-wise encoder of a sentencepiece model; which ids are bytes; which hold no letter or digit."""
     import sentencepiece
@@ -72,7 +74,7 @@ def piece_encoder(path: str) -> tuple[WordEncoder, np.ndarray, np.ndarray]:
     n = model.get_piece_size()
     is_byte = np.array([model.is_byte(i) for i in range(n)])
     symbol = np.array([not any(c.isalnum() for c in model.id_to_piece(i)) for i in range(n)]) & ~is_byte
-    return WordEncoder(lambda words: model.encode(words, num_threads=1)), is_byte, symbol
+    return WordEncoder(lambda words: [pack_ids(x) for x in model.encode(words, num_threads=1)]), is_byte, symbol
 
 
 def _repeat_lines(text: str) -> int:
