@@ -147,7 +147,7 @@ def pack(
     inside = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         pieces.withColumn("r", F.row_number().over(inside))
-        .join(base_rank, (F.col("length") == F.col("c_length")) & (F.col("shard") == F.col("c_shard")))
+        .join(base_rank.hint("merge"), (F.col("length") == F.col("c_length")) & (F.col("shard") == F.col("c_shard")))
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("r") - 1 + F.col("before")).alias("rank"))
     )
 
