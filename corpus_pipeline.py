@@ -16,20 +16,22 @@ from tidemark.llm.common import documents
 from tidemark.scratch import table
 
 
-def _select(docs: DataFrame, decided: DataFrame, keep: str) -> DataFrame:
-    """Rows of docs whose doc_id has a decision that keeps it; ids must not be null."""
-    chosen = table(decided.where(keep).select(F.col("doc_id").alias("__kept_id")).distinct(), "stage-kept")
-    return docs.join(chosen, F.col("doc_id") == F.col("__kept_id"), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the tokeniser-fertility rules keep; those without an id go as well."""
-    return _select(docs, fertility.quality_rules(docs), "kept")
+    """Documents that the tokeniser-fertility rules keep."""
+    return fertility.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group at a similarity of 0.8 or more; one row of a repeated id."""
-    return _select(docs, neardup.near_duplicates(docs), "kept").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group at a similarity of 0.8 or more; one row of a repeated id.
+
+    Documents that go are named and taken out, so those without an id stay.
+    """
+    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    rows = docs.join(table(gone, "stage-gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = docs.groupBy(F.col("doc_id").alias("__again")).count().where("count > 1 and __again is not null").select("__again")
+    again = table(again, "stage-again")
+    once = rows.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
+    return once.unionByName(rows.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +45,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    taken = mixing.mix(docs).where("copies > 0 and size > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = table(taken.withColumnsRenamed({"doc_id": "__mix_id", "copies": "__copies"}), "stage-mix")
-    rows = docs.join(taken, F.col("doc_id") == F.col("__mix_id"))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

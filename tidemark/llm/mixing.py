@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.scratch import table
@@ -59,17 +59,52 @@ def mix(
     repeated row shares its twin's fate, and a null id counts as the empty id. Null sources
     form one source of their own, placed last. An empty table gives an empty result.
     """
-    bits = LEVEL_BITS * LEVELS
+    sized, cut = _thresholds(docs, id_col, text_col, source_col, weights, share, cap)
+    copies = _copies(F.col("h"), cap)
+    return sized.join(cut, F.col("source").eqNullSafe(F.col("c_source"))).select(
+        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"),
+        (copies * F.col("size")).cast("long").alias("taken"),
+    )
+
+
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+) -> DataFrame:
+    """The rows of docs as often as mix takes them, with all their columns; texts without words are not taken.
+
+    Once the thresholds are known, one row a source, the documents are only filtered: their
+    texts are not shuffled.
+    """
+    _, cut = _thresholds(docs, id_col, text_col, source_col, weights, share, cap)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _hash(id_col).alias("h"))
+    taken = rows.join(cut, F.col("source").eqNullSafe(F.col("c_source"))).where("size > 0").withColumn("copies", _copies(F.col("h"), cap).cast("long"))
+    each = taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def _hash(id_col: str) -> Column:
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = table(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-            F.conv(F.substring(digest, 1, bits // 4), 16, 10).cast("long").alias("h"),
-        ),
-        "mix-sizes",
-    )
+    return F.conv(F.substring(digest, 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def _copies(h: Column, cap: float) -> Column:
+    return F.col("whole") + F.when((h < F.col("h_end")) & (F.col("whole") < F.lit(int(cap))), 1).otherwise(0)
+
+
+def _thresholds(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, h) of all rows, and (c_source, source_size, target, whole, h_end) of all sources."""
+    bits = LEVEL_BITS * LEVELS
+    sized = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _hash(id_col).alias("h")), "mix-sizes")
     shift = bits - LEVEL_BITS
     level1 = table(
         sized.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s")), "mix-level"
@@ -119,11 +154,7 @@ def mix(
     # one hash value is left: it is taken if that brings the sum nearer
     limit = F.when(F.col("need") * 2 >= F.col("s"), F.col("low") + 1).otherwise(F.col("low"))
     cut = table(edge.select(F.col("source").alias("c_source"), "source_size", "target", "whole", limit.alias("h_end")), "mix-cut")
-    copies = F.col("whole") + F.when((F.col("h") < F.col("h_end")) & (F.col("whole") < F.lit(int(cap))), 1).otherwise(0)
-    return sized.join(cut, F.col("source").eqNullSafe(F.col("c_source"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"),
-        (copies * F.col("size")).cast("long").alias("taken"),
-    )
+    return sized, cut
 
 
 #: The whole method in one statement: thresholds are where the running size by hash comes nearest to the need.
