@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Words, chunks, texts_of
-from tidemark.scratch import ensure_importable, table
+from tidemark.scratch import ensure_importable, release, table
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 5, 32
 HASHES = BANDS * ROWS
 #: Members of a hub compared in one group, and members of a block.
-SPLIT, BLOCK = 256, 256
+SPLIT, BLOCK = 64, 256
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -243,6 +243,7 @@ def near_duplicates(
     wanted = rows.join(candidates, F.col("doc_id") == F.col("rep")).select("c_node", "text")
     known = table(wanted.mapInArrow(full, "node binary, sig binary, shingles binary").dropDuplicates(["node"]), "candidate-sets")
     known = known.withColumnRenamed("node", "k_node")
+    release(spark)
 
     def units(n: int) -> int:
         return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2000))
@@ -273,6 +274,7 @@ def near_duplicates(
     first = table(
         star.withColumn("unit", F.pmod(F.xxhash64("hub", "part"), F.lit(n_units))).groupBy("unit").applyInArrow(lambda g: compare_star(g), "a binary, b binary"), "star-links"
     )
+    release(spark)
     labels = components(first)
 
     # buckets that several components still share
@@ -314,6 +316,7 @@ def near_duplicates(
     second = table(
         met.withColumn("unit", F.pmod(F.xxhash64("band", "key", "x", "y"), F.lit(n_units))).groupBy("unit").applyInArrow(lambda g: compare_blocks(g), "a binary, b binary"), "block-links"
     )
+    release(spark)
     if not second.isEmpty():
         labels = components(first.union(second))
     reps = classes.select("node", "rep").join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")

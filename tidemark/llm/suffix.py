@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import chunks, texts_of, utf8_bytes
-from tidemark.scratch import ensure_importable, table
+from tidemark.scratch import ensure_importable, release, table
 
 LENGTH, SEED = 200, 64
 #: Period of the difference cover, the cover, and suffixes sorted in one bucket.
@@ -268,10 +268,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     all_strands = table(rows.mapInArrow(cut, "digest binary, key long, body long, start long, n long"), "strands")
     repeated = table(all_strands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("r_key")), "repeated-seeds")
-    met = table(
-        all_strands.join(repeated, F.col("key") == F.col("r_key"), "left_semi").groupBy("digest", "key", "body", "start", "n").agg(F.count("*").alias("c")),
-        "met-strands",
-    )
+    # written before it is grouped: grouping on top of the join would keep Spark from splitting a hot minimizer
+    near = table(all_strands.join(repeated, F.col("key") == F.col("r_key"), "left_semi"), "near-strands")
+    met = table(near.groupBy("digest", "key", "body", "start", "n").agg(F.count("*").alias("c")), "met-strands")
+    release(spark)
     distinct = table(met.groupBy("key", "body").agg(F.sum("c").alias("c"), F.min(F.struct("digest", "start", "n")).alias("at")), "distinct-strands")
     keys = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("at.n") + (length - 1)).alias("bytes")).where("kinds > 1")
     keys = table(keys.select(F.col("key").alias("k_key"), "bytes"), "open-seeds")
@@ -304,6 +304,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     fetched = rows.join(asked, F.col("digest") == F.col("a_digest")).select("digest", "text", "asked").mapInArrow(fetch, "key long, body long, hot boolean, bytes binary")
     fetched = table(fetched, "strand-bytes")
+    release(spark)
 
     def sort_unit(group: pa.Table) -> pa.Table:
         # copies of a text read by several tasks bring a strand more than once
@@ -434,6 +435,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     spans = repeated_spans(rows, length).select(F.col("digest").alias("s_digest"), "spans")
     others = [c for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(text_col).alias("text"))
+    release(docs.sparkSession)
     joined = packed.join(spans, F.unhex(F.md5(F.col("text"))) == F.col("s_digest"), "left").select("row", "text", "spans")
     fields = [joined.schema["row"]]
 
