@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Words, remainder, texts_of
-from tidemark.scratch import ensure_importable, table
+from tidemark.scratch import ensure_importable, release, table
 
 ORDER = 5
 #: Bytes of text in a block, and those handled at once inside it.
@@ -307,6 +307,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("block"),
     )
     asked = table(rows.groupBy("block").applyInArrow(lambda g: _ask(g, order, groups), _ASKED), "ppm-asked")
+    release(spark)
     pairs = np.zeros(65536, np.int64)
     for r in asked.where("kind = 2").groupBy("q").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
         pairs[r["q"]] = r["n"]
@@ -314,6 +315,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     train_docs, train_words = totals.get(0, 0), totals.get(1, 0)
     questions = asked.where("kind < 2")
     replies = table(questions.groupBy("kind", "q").applyInArrow(lambda g: _answer(g, pairs, order), _ASKED), "ppm-replies")
+    release(spark)
     distinct = (replies.where("kind = 4").agg(F.sum("n")).first()[0] or 0) + (train_docs > 0)
     tokens = train_words + train_docs
     scored = rows.groupBy("block").cogroup(replies.where("kind < 2").groupBy("block")).applyInArrow(
