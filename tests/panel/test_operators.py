@@ -24,6 +24,18 @@ def test_asof_sees_only_what_was_known(spark):
     assert got == {1: 2.0, 2: 2.0, 3: None, 4: None, 5: 2.0}
 
 
+def test_every_macro_family_reaches_the_bars(spark):
+    bars = spark.createDataFrame([("a", T(7)), ("b", T(7)), ("c", T(4)), ("d", None)], "symbol string, available_at timestamp")
+    rows = [("nikkei", T(5), 1, 0.1, 0.2, 9.0), ("nikkei", T(7), 2, 0.3, 0.4, 8.0), ("vix", T(6), 1, 0.5, 0.6, 20.0), ("sp500", T(8), 1, 0.7, 0.8, 7.0)]
+    macro = spark.createDataFrame(rows, "family string, available_at timestamp, session_date int, ret_1d double, volatility_20 double, close double")
+    got = {r["symbol"]: r for r in temporal.macro_context(bars, macro).collect()}
+    assert len(temporal.CONTEXT) == 13 and set(got) == set("abcd") and set(temporal.CONTEXT) < set(got["a"].asDict())
+    for s in "ab":
+        assert (got[s]["nikkei_ret_1d_lag1"], got[s]["jp_market_volatility_lag1"], got[s]["vix_level_lag1"]) == (0.3, 0.4, 20.0)
+        assert got[s]["sp500_ret_1d_lag1"] is None and got[s]["gold_ret_1d_lag1"] is None
+    assert all(got[s][x] is None for s in "cd" for x in temporal.CONTEXT)
+
+
 def test_asof_by_key(spark):
     left = spark.createDataFrame([("a", T(7)), ("b", T(7)), ("c", T(7))], "k string, t timestamp")
     right = spark.createDataFrame([("a", T(6), 1), ("a", T(8), 2), ("b", T(7), 3)], "k string, t timestamp, v int")

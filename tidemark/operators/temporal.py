@@ -32,6 +32,33 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, take: Se
     return left.join(found, same, "left").drop(*[f"__r_{n}" for n in names])
 
 
+def asof_each(left: DataFrame, right: DataFrame, each: str, on: str, take: Sequence[str], tie: Sequence[str] = (), name: str = "found") -> DataFrame:
+    """asof() without keys once for every value of each: column name maps the value to a struct of take.
+
+    Only the distinct left times meet the values, so left rows are not multiplied. A value
+    that is not known yet maps to nulls; a null time has no map.
+    """
+    right = right.where(F.col(each).isNotNull())
+    values = F.broadcast(right.select(each).distinct())  # a row a series
+    times = left.select(on).where(F.col(on).isNotNull()).distinct().crossJoin(values)
+    entry = F.struct(each, F.struct(*take).alias("__v"))
+    found = asof(times, right, [each], on, take, tie).groupBy(F.col(on).alias("__on")).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
+    return left.join(found, F.col(on) == F.col("__on"), "left").drop("__on")
+
+
+#: Context column of a bar -> (macro family, its column): src/features/context.py:62-76 of the study.
+CONTEXT = {f"{x}_ret_1d_lag1": (x, "ret_1d") for x in ("nikkei", "topix", "sp500", "nasdaq", "usd_jpy", "dxy", "gold", "oil", "hyg")} | {
+    "vix_level_lag1": ("vix", "close"), "us10y_level_lag1": ("us10y", "close"),
+    "jp_market_volatility_lag1": ("nikkei", "volatility_20"), "us_market_volatility_lag1": ("sp500", "volatility_20"),
+}
+
+
+def macro_context(bars: DataFrame, macro: DataFrame) -> DataFrame:
+    """The context columns of every bar, each from its family's latest row; null where the family is absent or not known yet."""
+    out = asof_each(bars, macro, "family", "available_at", ["ret_1d", "volatility_20", "close"], ["session_date"], "__macro")
+    return out.withColumns({k: F.col("__macro")[family][x] for k, (family, x) in CONTEXT.items()}).drop("__macro")
+
+
 def trailing_counts(
     queries: DataFrame, events: DataFrame, key: str, on: str, counts: Mapping[str, tuple[str, Column | None]], last: str | None = None, age: str | None = None
 ) -> DataFrame:

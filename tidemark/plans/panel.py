@@ -269,12 +269,31 @@ _CLOCK = """timed as (select *, (session_date + interval 16 hour) at time zone '
     from known k asof left join macro_known m on k.available_at >= m.available_at"""
 )
 def market_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of join of one macro series without keys: the latest value available at each bar's time."""
+    """As-of join of one macro series without keys: the latest value available at each bar's time.
+
+    market_context_families joins every series.
+    """
     m = views.macro(spark, sf_dir).where("family = '1-URGENT'")
     out = temporal.asof(views.bars(spark, sf_dir), m, [], "available_at", ["ret_1d", "volatility_20", "close"], ["session_date"], "macro_")
     return rounded(out.select(*KEY, "macro_ret_1d", "macro_volatility_20", "macro_close"), macro_close=6)
 
 
+_CLOCK_ALL = _CLOCK.replace(" where family = '1-URGENT'", "")
+
+
+@query(
+    f"""with {views.BARS_SQL}, {views.MACRO_SQL}, {_CLOCK_ALL}, each as (select k.*, f.family from known k, (select distinct family from macro where family is not null) f)
+    select k.asset_class, k.symbol, k.session_date, k.family, {_r('m.ret_1d', 'macro_ret_1d')}, {_r('m.volatility_20', 'macro_volatility_20')}, {_r('m.close', 'macro_close', 6)}
+    from each k asof left join macro_known m on k.family = m.family and k.available_at >= m.available_at"""
+)
+def market_context_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every macro series as of each bar's time: one row a bar and family."""
+    take = ["ret_1d", "volatility_20", "close"]
+    out = temporal.asof_each(views.bars(spark, sf_dir), views.macro(spark, sf_dir), "family", "available_at", take, ["session_date"], "macro")
+    out = out.select(*KEY, F.explode("macro").alias("family", "m"))
+    return rounded(out.select(*KEY, "family", *[c(f"m.{x}").alias(f"macro_{x}") for x in take]), macro_close=6)
+
+
 _EVENT_DAYS = "days as (select user_id, cast(ts as date) as session_date, cast(ts as date) + interval 1 day as available_at from events group by all)"
 
 
