@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 
 import pytest
@@ -97,6 +98,27 @@ def test_regimes_in_order(spark):
     assert [r[0] for r in df.select(cols.regime_label(*[F.col(x) for x in "abcdefg"])).collect()] == ["data_stressed", "event", "high_vol", "high_vol", "trend", "normal"]
 
 
+def test_consensus_learns_from_all_prior_rows(spark):
+    rng = random.Random(5)
+    rows = [(f, i, [rng.random() * (f + 1) / 3, rng.random()], rng.randint(0, 1)) for f, n in ((0, 300), (1, 3), (2, 40)) for i in range(n)]
+    rows += [(1, 100 + i, [0.5, 0.5], 1) for i in range(2)]
+    long = [(f, i, m, p, y) for f, i, ps, y in rows for m, p in zip(("a", "b"), ps)]
+    got = {(r["pattern"], r["fold"]): r for r in patterns.evaluate(spark.createDataFrame(long, "fold int, i int, model string, p double, y int"), ["i"]).collect()}
+    spread = lambda ps: abs(ps[0] - ps[1]) / 2
+    for q in (50, 75, 90):
+        for fold in range(3):
+            prior = sorted(spread(ps) for f, _, ps, _ in rows if f < fold)
+            at = (len(prior) - 1) * q / 100
+            low = int(at)
+            limit = prior[low] + (at - low) * (prior[min(low + 1, len(prior) - 1)] - prior[low]) if prior else 0.1
+            loss = []
+            for f, _, ps, y in rows:
+                if f == fold:
+                    p = 0.5 + (sum(ps) / 2 - 0.5) * (1 - 0.6 * min(spread(ps) / max(limit, 0.01), 1))
+                    loss.append(-math.log(p if y else 1 - p))
+            assert got[f"consensus_shrink_q{q}", fold]["logloss"] == pytest.approx(sum(loss) / len(loss), abs=1e-9)
+
+
 def test_patterns(spark):
     df = spark.createDataFrame([([0.2, 0.4, 0.9], [0.5, 0.25, 0.25])], "p array<double>, w array<double>")
     got = df.select(*[fn(F.col("p"), F.col("w")).alias(n) for n, fn in patterns.PATTERNS.items()]).first().asDict()
