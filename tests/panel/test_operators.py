@@ -119,6 +119,12 @@ def test_consensus_learns_from_all_prior_rows(spark):
             assert got[f"consensus_shrink_q{q}", fold]["logloss"] == pytest.approx(sum(loss) / len(loss), abs=1e-9)
 
 
+def test_vote_strength_weighs_votes_by_confidence(spark):
+    df = spark.createDataFrame([([0.9, 0.6, 0.3],), ([0.5, 0.5, 0.5],)], "p array<double>")
+    got = [r[0] for r in df.select(patterns.PATTERNS["vote_strength_probability"](F.col("p"), F.col("p"))).collect()]
+    assert got == pytest.approx([0.5 + (2 / 3 - 0.5) * (0.6 + 0.4 * (0.8 + 0.2 + 0.4) / 3), 0.8])
+
+
 def test_patterns(spark):
     df = spark.createDataFrame([([0.2, 0.4, 0.9], [0.5, 0.25, 0.25])], "p array<double>, w array<double>")
     got = df.select(*[fn(F.col("p"), F.col("w")).alias(n) for n, fn in patterns.PATTERNS.items()]).first().asDict()

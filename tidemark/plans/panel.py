@@ -592,7 +592,7 @@ def case_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def aggregation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of every aggregation pattern in every fold."""
+    """Metrics of every aggregation pattern that is built, in every fold; the README names those of the survey that are not."""
     from tidemark.operators.patterns import evaluate
 
     return rounded(evaluate(bank(spark, sf_dir), KEY))
