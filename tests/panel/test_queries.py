@@ -42,3 +42,17 @@ def test_same_rows_as_sql(name, spark, small, duck):
 @pytest.mark.parametrize("name", [n for n in panel.QUERIES if n not in panel.SQL])
 def test_other_queries_run(name, spark, small):
     assert panel.QUERIES[name](spark, small).count() >= 0
+
+
+def test_upsert_reads_every_event(spark, small):
+    rows = [r.asDict() for r in spark.read.parquet(f"{small}/events.parquet").select("event_id").collect()]
+    want = {}
+    for i in sorted(r["event_id"] for r in rows):
+        k = i // 2 % 500
+        want[k] = max(want.get(k, (-1, -1)), (i % 2, i))
+    assert {r["k"]: r["event_id"] for r in panel.QUERIES["upsert_all_rows"](spark, small).collect()} == {k: i for k, (_, i) in want.items()}
+
+
+def test_drift_has_every_year_but_the_first(spark, small):
+    years = sorted(r[0] for r in spark.read.parquet(f"{small}/lineitem.parquet").selectExpr("year(l_shipdate)").distinct().collect())
+    assert sorted(r["yr"] for r in panel.QUERIES["drift_by_year"](spark, small).collect()) == years[1:]

@@ -166,6 +166,18 @@ def drift_score(reference: DataFrame, query: DataFrame, features: Sequence[str],
     return both.agg(F.avg(shift / scale).alias("drift"), F.count("*").alias("n_features"))
 
 
+def drift_between(df: DataFrame, order: str, features: Sequence[str], least: int = 20) -> DataFrame:
+    """(order, drift, n_features): drift_score() of each value of order against the one before it that the table has."""
+    long = df.where(c(order).isNotNull()).select(order, F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), c(x).cast("double").alias("x")) for x in features])).alias("z")).select(order, "z.*")
+    levels = F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)])
+    profile = long.groupBy(order, "feature").agg(F.percentile("x", levels).alias("q"), F.stddev_pop("x").alias("s"), F.count("x").alias("n"))
+    line = Window.partitionBy("feature").orderBy(order)
+    both = profile.select(order, "q", "n", *[F.lag(x).over(line).alias(f"{x}_r") for x in ("q", "s", "n")]).where((c("n_r") >= least) & (c("n") >= least))
+    scale = F.greatest(F.element_at("q_r", 4) - F.element_at("q_r", 2), c("s_r"), F.lit(1e-8))
+    shift = F.aggregate(F.zip_with("q_r", "q", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b) / 5
+    return both.groupBy(order).agg(F.avg(shift / scale).alias("drift"), F.count("*").alias("n_features"))
+
+
 def markov_transitions(df: DataFrame, keys: Sequence[str], order: str, state: str) -> DataFrame:
     """Counts and row shares of state changes between consecutive rows of a key."""
     line = Window.partitionBy(*keys).orderBy(order)

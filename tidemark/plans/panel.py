@@ -322,11 +322,21 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     both_ as (select *, 0 as n from old union all select *, 1 from new) select k, event_id, value from (select *, row_number() over (partition by k order by n desc, event_id desc) as rn from both_) where rn = 1"""
 )
 def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upsert: the new row wins, then the largest event."""
+    """Upsert of two thirds of the events: the new row wins, then the largest event. upsert_all_rows reads all."""
     e = views.read(spark, sf_dir, "events").select((c("event_id") % 500).alias("k"), "event_id", "value")
     return upkeep.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").withColumn("value", c("value") * 2), ["k"], ["event_id"])
 
 
+@query(
+    """with keyed as (select (event_id // 2) % 500 as k, event_id, value from events), both_ as (select k, event_id, value, 0 as n from keyed where event_id % 2 = 0 union all select k, event_id, value * 2, 1 from keyed where event_id % 2 <> 0)
+    select k, event_id, value from (select *, row_number() over (partition by k order by n desc, event_id desc) as rn from both_) where rn = 1"""
+)
+def upsert_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert of all events, odd ids over even ones."""
+    e = views.read(spark, sf_dir, "events").select((F.floor(c("event_id") / 2).cast("long") % 500).alias("k"), "event_id", "value")
+    return upkeep.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0").withColumn("value", c("value") * 2), ["k"], ["event_id"])
+
+
 @query(f"with {views.BARS_SQL} select asset_class, symbol, count(distinct session_date) as sessions, min(session_date) as first_session, max(session_date) as last_session, count(distinct year(session_date)) as years from bars group by all")
 def history_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions per instrument."""
@@ -564,11 +574,25 @@ def backtest_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from a join b using (feature) where a.n >= 20 and b.n >= 20"""
 )
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distribution shift of features between two years."""
+    """Distribution shift of features between two years; drift_by_year compares all."""
     b = _base(spark, sf_dir)
     return rounded(scores.drift_score(b.where("year(session_date) = 1998"), b.where("year(session_date) = 2000"), ["ret_1d", "range_pct", "volatility_20"]))
 
 
+_SHIFT = "(abs(b.q[1] - a.q[1]) + abs(b.q[2] - a.q[2]) + abs(b.q[3] - a.q[3]) + abs(b.q[4] - a.q[4]) + abs(b.q[5] - a.q[5])) / 5 / greatest(a.q[4] - a.q[2], a.s, 1e-8)"
+
+
+@query(
+    f"""with {_BASE}, r as (select unnest(['ret_1d', 'range_pct', 'volatility_20']) as feature, unnest([ret_1d, range_pct, volatility_20]) as x, year(session_date) as yr from base),
+    p as (select feature, yr, quantile_cont(x, [0.1, 0.25, 0.5, 0.75, 0.9]) as q, stddev_pop(x) as s, count(x) as n, row_number() over (partition by feature order by yr) as rn from r group by feature, yr)
+    select b.yr, {_r(f'avg({_SHIFT})', 'drift')}, count(*) as n_features from p a join p b on a.feature = b.feature and b.rn = a.rn + 1 where a.n >= 20 and b.n >= 20 group by b.yr"""
+)
+def drift_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution shift of features between each year and the one before."""
+    b = _base(spark, sf_dir).withColumn("yr", F.year("session_date"))
+    return rounded(scores.drift_between(b, "yr", ["ret_1d", "range_pct", "volatility_20"]))
+
+
 @query("select event_id, json_extract(props, '$.k')::bigint as k, substr(sha256(event_type || '|' || user_id), 1, 24) as anonymous_id from events")
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON properties and anonymous ids of events."""
