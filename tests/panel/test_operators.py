@@ -175,3 +175,15 @@ def test_streams(spark, small, tmp_path):
     q.awaitTermination()
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "t").iterdir())
     assert spark.read.parquet(str(tmp_path / "t" / f"version={last}")).count() == events.select("user_id").distinct().count()
+
+
+def test_copies_rank_by_id_in_large_blocks(spark):
+    rng = random.Random(11)
+    base = [[1000 + rng.random() for _ in range(64)] for _ in range(5)]
+    rows = [(i, base[i % 5] if i % 400 < 5 else [1000 + rng.random() * 9 for _ in range(64)]) for i in range(18000)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = retrieval.nearest(df.where("id < 5"), df, "id", "v", blocks=1).collect()
+    copies = [i for i in range(18000) if i % 400 < 5]
+    for q in range(5):
+        near = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["neighbour_id"] for r in near] == [i for i in copies if i % 5 == q and i != q][:12] and {r["distance"] for r in near} == {0.0}

@@ -17,7 +17,8 @@ def nearest(queries: DataFrame, history: DataFrame, id_col: str, vector_col: str
 
     History is dealt into blocks, queries go to every block, a block returns its k best for
     each query, and the best of all blocks are ranked: exact, with k rows a block and query.
-    A row is not its own neighbour; null vectors take no part.
+    A row is not its own neighbour; null vectors take no part. Distances are summed squared
+    differences at any size, so equal vectors have equal distances.
     """
     ensure_importable(queries.sparkSession)
     h = history.where(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -35,18 +36,22 @@ def nearest(queries: DataFrame, history: DataFrame, id_col: str, vector_col: str
         if len(qi) and len(hi):
             order = np.argsort(hi)
             hi, hv = hi[order], hv[order]
+            hn = (hv**2).sum(1)
             for at in range(0, len(qi), 256):
-                d = ((qv[at : at + 256, None, :] - hv[None]) ** 2).sum(2) if hv.shape[0] * qv.shape[1] < 1 << 20 else (
-                    (qv[at : at + 256] ** 2).sum(1)[:, None] + (hv**2).sum(1) - 2 * qv[at : at + 256] @ hv.T
-                )
-                d[qi[at : at + 256][:, None] == hi[None]] = np.inf
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                near = np.take_along_axis(d, top, 1)
-                for row, (t, x) in enumerate(zip(top, near, strict=True)):
-                    good = np.isfinite(x)
-                    out[0] += [qi[at + row]] * int(good.sum())
-                    out[1] += hi[t[good]].tolist()
-                    out[2] += x[good].tolist()
+                some, ids = qv[at : at + 256], qi[at : at + 256]
+                qn = (some**2).sum(1)
+                # the product form names candidates, with a margin for what it cancels; exact sums rank them
+                d = qn[:, None] + hn - 2 * some @ hv.T
+                d[ids[:, None] == hi[None]] = np.inf
+                last = min(k, d.shape[1]) - 1
+                limit = np.partition(d, last, axis=1)[:, last] + 16 * (some.shape[1] + 8) * np.finfo(float).eps * (qn + hn.max())
+                for row, (x, most) in enumerate(zip(d, limit, strict=True)):
+                    at_h = np.flatnonzero((x <= most) & np.isfinite(x))
+                    exact = ((some[row] - hv[at_h]) ** 2).sum(1)
+                    top = np.argsort(exact, kind="stable")[:k]
+                    out[0] += [ids[row]] * len(top)
+                    out[1] += hi[at_h[top]].tolist()
+                    out[2] += exact[top].tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "neighbour_id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
 
     found = q.groupBy("b").cogroup(h.groupBy("b")).applyInArrow(lambda a, b: best(a, b), "query_id long, neighbour_id long, distance double")
