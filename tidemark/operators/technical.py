@@ -1,186 +1,230 @@
-"""Technical feature pack: trailing windows per instrument, in a few layers that share one sort."""
+"""Technical feature pack: trailing statistics of each instrument, over Arrow tables of one instrument's rows.
+
+Frames of a few dozen rows would be summed anew for every row and column by a window
+function. Here an instrument's rows are sorted once, and each statistic is one operation on
+a strided view of all frames. A task holds the sessions of one instrument at a time.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cols import clip, correlation, full, ratio, rolling, rolling_kurtosis, rolling_median, rolling_skew, rolling_z, trailing
+from tidemark.functions.cols import ratio
+from tidemark.scratch import ensure_importable
 
 c = F.col
+#: Rows of an exponential mean that are computed by one product with a triangular matrix.
+STEP = 64
 
+Array = np.ndarray
 
-def ewm(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, tuple[str, int]]) -> DataFrame:
-    """Exponential means y = (1 - a) y + a x with a = 2 / (span + 1), null before span values.
 
-    columns maps a new name to (input, span). The recursion runs as a fold over each key's
-    sorted rows, so it stays in the JVM; memory is bounded by the sessions of one key. An
-    input may begin with nulls; the mean starts at its first value and passes over gaps.
-    """
-    inputs = list(dict.fromkeys(x for x, _ in columns.values()))
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *[c(x).alias(x) for x in inputs]))).alias("rows"))
-    state = "struct<" + ", ".join(f"y{k}:double, n{k}:int" for k in range(len(columns))) + ">"
-
-    def step(acc: Column, row: Column) -> Column:
-        last, parts = acc["last"], []
-        for k, (x, span) in enumerate(columns.values()):
-            a, v = 2.0 / (span + 1), row[x].cast("double")
-            y, n = last[f"y{k}"], last[f"n{k}"]
-            parts += [F.when(v.isNull(), y).when(y.isNull(), v).otherwise((1 - a) * y + a * v).alias(f"y{k}"), (n + v.isNotNull().cast("int")).alias(f"n{k}")]
-        now = F.struct(*parts).cast(state)
-        return F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
-
-    zero = F.struct(*[x for k in range(len(columns)) for x in (F.lit(None).cast("double").alias(f"y{k}"), F.lit(0).alias(f"n{k}"))]).cast(state)
-    start = F.struct(zero.alias("last"), F.array().cast(f"array<{state}>").alias("out"))
-    folded = rows.select(*keys, "rows", F.aggregate("rows", start, step, lambda acc: acc["out"]).alias("states"))
-    each = folded.select(*keys, F.explode(F.arrays_zip("rows", "states")).alias("z"))
-    values = [
-        F.when(c(f"z.rows.{x}").isNotNull() & (c(f"z.states.n{k}") >= span), c(f"z.states.y{k}")).alias(name)
-        for k, (name, (x, span)) in enumerate(columns.items())
-    ]
-    found = each.select(*[c(k).alias(f"__{k}") for k in keys], c(f"z.rows.{order}").alias(f"__{order}"), *values)
-    on = [c(k).eqNullSafe(c(f"__{k}")) for k in [*keys, order]]
-    return df.join(found, on, "left").drop(*[f"__{k}" for k in [*keys, order]])
-
-
-def technical_features(bars: DataFrame, keys: Sequence[str] = ("asset_class", "symbol"), order: str = "session_date", with_ewm: bool = True) -> DataFrame:
+def div(a: Array | float, b: Array) -> Array:
+    """a / b; nan, which stands for null, where b is zero."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(b == 0, np.nan, a / b)
+
+
+def shift(x: Array, n: int = 1) -> Array:
+    out = np.full(len(x), np.nan)
+    out[n:] = x[: max(len(x) - n, 0)]
+    return out
+
+
+def over(fn: Callable[[Array], Array], x: Array, n: int) -> Array:
+    """fn of every full frame of n rows; nan before, and where a frame holds a nan."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        out[n - 1 :] = fn(sliding_window_view(x, n))
+    return out
+
+
+def mean(x: Array, n: int) -> Array:
+    return over(lambda w: w.mean(1), x, n)
+
+
+def std(x: Array, n: int) -> Array:
+    return over(lambda w: w.std(1, ddof=1), x, n)
+
+
+def z_score(x: Array, n: int) -> Array:
+    return div(x - mean(x, n), std(x, n))
+
+
+def moment(x: Array, n: int, k: int) -> Array:
+    """Standardised population moment of order k; nan where the frame does not vary."""
+
+    def fn(w: Array) -> Array:
+        d = w - w.mean(1, keepdims=True)
+        return div((d**k).mean(1), (d * d).mean(1) ** (k / 2))
+
+    return over(fn, x, n)
+
+
+def pearson(x: Array, y: Array, n: int) -> Array:
+    """Correlation over frames without nan; nan where either side does not vary."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        a, b = sliding_window_view(x, n), sliding_window_view(y, n)
+        a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+        out[n - 1 :] = div((a * b).mean(1), np.sqrt((a * a).mean(1)) * np.sqrt((b * b).mean(1)))
+    return out
+
+
+def line_fit(y: Array, n: int) -> tuple[Array, Array, Array]:
+    """Slope of y on the row number, the last residual and the explained share, over every frame."""
+    x = np.arange(n) - (n - 1) / 2
+    xx = (x * x).sum()
+    level = mean(y, n)
+    slope = over(lambda w: w @ x / xx, y, n)
+    total = over(lambda w: ((w - w.mean(1, keepdims=True)) ** 2).sum(1), y, n)
+    return slope, y - (level + slope * x[-1]), np.where(total > 0, div(slope * slope * xx, total), np.nan)
+
+
+def exponential(x: Array, span: int) -> Array:
+    """y = (1 - a) y + a x with a = 2 / (span + 1), from the first value on, passing over gaps; nan before span values."""
+    a = 2.0 / (span + 1)
+    seen = np.flatnonzero(~np.isnan(x))
+    v = x[seen]
+    y = np.empty(len(v))
+    fade = (1 - a) ** np.arange(1, STEP + 1)
+    below = np.tril((1 - a) ** np.maximum(np.arange(STEP)[:, None] - np.arange(STEP), 0)) * a
+    last = v[0] if len(v) else 0.0
+    for at in range(0, len(v), STEP):
+        part = v[at : at + STEP]
+        k = len(part)
+        y[at : at + k] = below[:k, :k] @ part + fade[:k] * last
+        last = y[at + k - 1]
+    out = np.full(len(x), np.nan)
+    out[seen[span - 1 :]] = y[span - 1 :]
+    return out
+
+
+def _numbers(rows: pa.Table, name: str) -> Array:
+    return rows.column(name).cast(pa.float64()).to_numpy().astype(float)
+
+
+def _by_key(df: DataFrame, keys: Sequence[str], order: str, names: Sequence[str], fn: Callable[[pa.Table], dict[str, Array]]) -> DataFrame:
+    """df with the columns names that fn gives for the sorted rows of each key; nan becomes null."""
+    ensure_importable(df.sparkSession)
+    kept = [x for x in df.columns if x not in names]
+    kinds = [f"`{x}` {df.schema[x].dataType.simpleString()}" for x in kept]
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(order, "ascending")])
+        with np.errstate(all="ignore"):
+            found = fn(group)
+        for x in names:
+            group = group.append_column(x, pa.array(found[x], pa.float64(), from_pandas=True))
+        return group
+
+    return df.select(*kept).groupBy(*keys).applyInArrow(lambda g: run(g), ", ".join([*kinds, *[f"`{x}` double" for x in names]]))
+
+
+def ewm(df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """Exponential means by key; columns maps a new name to (input, span). An input may be one of the new columns before it."""
+
+    def fn(rows: pa.Table) -> dict[str, Array]:
+        found: dict[str, Array] = {}
+        for name, (x, span) in columns.items():
+            found[name] = exponential(found[x] if x in found else _numbers(rows, x), span)
+        return found
+
+    return _by_key(df, keys, order, list(columns), fn)
+
+
+def _pack(close: Array, open_: Array, high: Array, low: Array, volume: Array) -> dict[str, Array]:
+    """All features that need no calendar."""
+    f = {f"ret_{n}d": div(close, shift(close, n)) - 1 for n in (1, 5, 20, 60)}
+    ret, prev = f["ret_1d"], shift(close)
+    delta = close - prev
+    up, down, typical = high - shift(high), shift(low) - low, (high + low + close) / 3
+    true_range = np.fmax(high - low, np.fmax(np.abs(high - prev), np.abs(low - prev)))
+    log_close = np.where(close > 0, np.log(close), np.nan)
+    log_volume = np.where(volume > -1, np.log1p(volume), np.nan)
+    traded = np.abs(close) * np.abs(volume)
+
+    for n in (5, 20, 60):
+        f[f"close_vs_sma{n}"] = div(close, mean(close, n)) - 1
+    f["rsi_14"] = 100 - div(100.0, 1 + div(mean(np.maximum(delta, 0), 14), mean(-np.minimum(delta, 0), 14)))
+    least, most = over(lambda w: w.min(1), low, 14), over(lambda w: w.max(1), high, 14)
+    f["stoch_k"] = div(100 * (close - least), most - least)
+    f["stoch_d"] = mean(f["stoch_k"], 3)
+    f["bb_width"] = div(4 * std(close, 20), mean(close, 20))
+    f["atr_pct"] = div(mean(true_range, 14), close)
+    total = lambda x: over(lambda w: w.sum(1), x, 14)
+    # an unknown comparison counts as no movement
+    plus = div(100 * total(np.where((up > down) & (up > 0), up, 0.0)), total(true_range))
+    minus = div(100 * total(np.where((down > up) & (down > 0), down, 0.0)), total(true_range))
+    f["adx_14"] = mean(div(100 * np.abs(plus - minus), plus + minus), 14)
+    flow = np.sign(np.nan_to_num(delta)) * volume
+    f["obv_z20"] = z_score(np.where(np.cumsum(~np.isnan(flow)) > 0, np.nancumsum(flow), np.nan), 20)
+    before = shift(typical)
+    f["mfi_14"] = 100 - div(100.0, 1 + div(total(np.where(typical > before, typical * volume, 0.0)), total(np.where(typical < before, np.abs(typical * volume), 0.0))))
+    f["volatility_20"], f["volatility_5"] = std(ret, 20), std(ret, 5)
+    f["volatility_ratio_5_20"] = div(f["volatility_5"], f["volatility_20"])
+    moved = np.abs(ret) * volume
+    f["wvma_5"] = div(std(moved, 5), mean(moved, 5))
+    f["volume_std_ratio_5"] = div(std(volume, 5), volume)
+    f["volume_ratio_20"] = div(volume, mean(volume, 20))
+    f["volume_z20"] = z_score(volume, 20)
+    median = lambda x: over(lambda w: np.median(w, axis=1), x, 20)
+    f["dollar_volume_ratio_20"] = div(traded, median(traded))
+    f["amihud_20"] = median(div(np.abs(ret), traded))
+    f["return_z20"] = z_score(ret, 20)
+    f["return_skew_20"] = moment(ret, 20, 3) * (math.sqrt(20 * 19) / 18)  # bias-corrected, as is the kurtosis
+    f["return_kurtosis_20"] = 19 / (18 * 17) * (21 * (moment(ret, 20, 4) - 3) + 6)
+    known = ~np.isnan(ret)
+    f["positive_return_fraction_20"] = mean(np.where(known, (ret > 0).astype(float), np.nan), 20)
+    f["up_down_imbalance_20"] = mean(np.where(known, np.sign(ret), np.nan), 20)
+    f["downside_volatility_20"], f["upside_volatility_20"] = std(np.minimum(ret, 0), 20), std(np.maximum(ret, 0), 20)
+    f["return_autocorr_20"] = np.where(np.isnan(mean(ret, 20)), np.nan, pearson(ret, shift(ret), 19))
+    f["return_volume_corr_20"] = div(mean(ret * volume, 20) - mean(ret, 20) * mean(volume, 20), f["volatility_20"] * std(volume, 20))
+    for n in (5, 10):
+        f[f"return_log_volume_corr_{n}"] = pearson(ret, log_volume, n)
+    for n in (20, 60):
+        f[f"trend_slope_{n}"], _, f[f"trend_r2_{n}"] = line_fit(log_close, n)
+    for n in (5, 10):
+        f[f"resi_{n}_pct"] = np.where(np.abs(close) > 1e-12, div(line_fit(close, n)[1], close), np.nan)
+    f["range_pct"] = div(high - low, close)
+    f["range_z20"] = z_score(f["range_pct"], 20)
+    f["drawdown_from_high_20"] = div(close, over(lambda w: w.max(1), close, 20)) - 1
+    f["distance_from_low_20"] = div(close, over(lambda w: w.min(1), close, 20)) - 1
+    f["gap_pct"], f["intraday_return"] = div(open_, prev) - 1, div(close, open_) - 1
+    f["close_location"] = div(close - low, high - low)
+    f["close_location_mean_20"] = mean(f["close_location"], 20)
+    f["price_vs_sma20"], f["price_vs_sma60"] = f["close_vs_sma20"], f["close_vs_sma60"]
+    f["close_vs_ema20"] = div(close, exponential(close, 20)) - 1
+    macd = exponential(close, 12) - exponential(close, 26)
+    signal = exponential(macd, 9)
+    f["macd_pct"], f["macd_signal_pct"], f["macd_hist_pct"] = div(macd, close), div(signal, close), div(macd - signal, close)
+    return f
+
+
+#: Names of the features that need no calendar.
+PACK = tuple(_pack(*[np.zeros(0)] * 5))
+
+
+def technical_features(bars: DataFrame, keys: Sequence[str] = ("asset_class", "symbol"), order: str = "session_date", only: Sequence[str] | None = None) -> DataFrame:
     """The price and volume features of the model, one row a bar; divisions by zero give null.
 
-    Trailing statistics are null until their frame is full. All windows share one
-    partitioning and sort; only the exponential means need a second pass by key.
+    Trailing statistics are null until their frame is full. only names the features wanted.
     """
-    keys = list(keys)
-    line = Window.partitionBy(*keys).orderBy(order)
-    r = lambda n: trailing(keys, order, n)
-    lag = lambda x, n=1: F.lag(x, n).over(line)
-    close, volume, high, low = c("close"), c("volume").cast("double"), c("high"), c("low")
-
-    one = bars.withColumns(
-        {
-            "ret_1d": ratio(close, lag("close")) - 1,
-            "ret_5d": ratio(close, lag("close", 5)) - 1,
-            "ret_20d": ratio(close, lag("close", 20)) - 1,
-            "ret_60d": ratio(close, lag("close", 60)) - 1,
-            "__prev": lag("close"),
-            "__up": high - lag("high"),
-            "__down": lag("low") - low,
-            "__tp": (high + low + close) / 3,
-            "__rn": F.row_number().over(line).cast("double"),
-            "__logc": F.when(close > 0, F.log(close)),
-            "__logv": F.log1p(volume),
-            "__dv": F.abs(close) * F.abs(volume),
-        }
-    )
-    ret, delta = c("ret_1d"), close - c("__prev")
-    two = one.withColumns(
-        {
-            "__gain": clip(delta, low=0.0),
-            "__loss": -clip(delta, high=0.0),
-            "__tr": F.greatest(high - low, F.abs(high - c("__prev")), F.abs(low - c("__prev"))),
-            "__pdm": F.when((c("__up") > c("__down")) & (c("__up") > 0), c("__up")).otherwise(0.0),
-            "__mdm": F.when((c("__down") > c("__up")) & (c("__down") > 0), c("__down")).otherwise(0.0),
-            "__flow": F.signum(F.coalesce(delta, F.lit(0.0))) * volume,
-            "__pos": F.when(c("__tp") > F.lag("__tp").over(line), c("__tp") * volume).otherwise(0.0),
-            "__neg": F.when(c("__tp") < F.lag("__tp").over(line), F.abs(c("__tp") * volume)).otherwise(0.0),
-            "__arv": F.abs(ret) * volume,
-            "__illiq": ratio(F.abs(ret), c("__dv")),
-            "__retlag": F.lag("ret_1d").over(line),
-            "range_pct": ratio(high - low, close),
-            "close_location": ratio(close - low, high - low),
-        }
-    )
-    avg, std, top, low_, total = F.avg, F.stddev_samp, F.max, F.min, F.sum
-    sma20 = rolling(avg, close, r(20), 20)
-    tr14 = rolling(total, c("__tr"), r(14), 14)
-    plus, minus = ratio(100 * rolling(total, c("__pdm"), r(14), 14), tr14), ratio(100 * rolling(total, c("__mdm"), r(14), 14), tr14)
-    vol20, vol5 = rolling(std, ret, r(20), 20), rolling(std, ret, r(5), 5)
-    low14, high14 = rolling(low_, low, r(14), 14), rolling(top, high, r(14), 14)
-    both = F.when(ret.isNotNull() & volume.isNotNull(), ret)
-    fit = lambda fn, y, w, n: full(y, fn(y, c("__rn")).over(w), w, n)
-    residual = lambda n: ratio(close - (fit(F.regr_intercept, close, r(n), n) + fit(F.regr_slope, close, r(n), n) * c("__rn")), close)
-    spread20 = fit(F.regr_syy, c("__logc"), r(20), 20)
-    spread60 = fit(F.regr_syy, c("__logc"), r(60), 60)
-    positive, negative = F.when(ret.isNotNull(), (ret > 0).cast("double")), F.when(ret.isNotNull(), (ret < 0).cast("double"))
-    three = two.withColumns(
-        {
-            "close_vs_sma5": ratio(close, rolling(avg, close, r(5), 5)) - 1,
-            "close_vs_sma20": ratio(close, sma20) - 1,
-            "close_vs_sma60": ratio(close, rolling(avg, close, r(60), 60)) - 1,
-            "rsi_14": 100 - ratio(F.lit(100.0), 1 + ratio(rolling(avg, c("__gain"), r(14), 14), rolling(avg, c("__loss"), r(14), 14))),
-            "stoch_k": ratio(100 * (close - low14), high14 - low14),
-            "bb_width": ratio(4 * rolling(std, close, r(20), 20), sma20),
-            "atr_pct": ratio(rolling(avg, c("__tr"), r(14), 14), close),
-            "__dx": ratio(100 * F.abs(plus - minus), plus + minus),
-            "__obv": F.sum("__flow").over(line.rowsBetween(Window.unboundedPreceding, 0)),
-            "mfi_14": 100 - ratio(F.lit(100.0), 1 + ratio(rolling(total, c("__pos"), r(14), 14), rolling(total, c("__neg"), r(14), 14))),
-            "volatility_20": vol20,
-            "volatility_5": vol5,
-            "volatility_ratio_5_20": ratio(vol5, vol20),
-            "wvma_5": ratio(rolling(std, c("__arv"), r(5), 5), rolling(avg, c("__arv"), r(5), 5)),
-            "volume_std_ratio_5": ratio(rolling(std, volume, r(5), 5), volume),
-            "volume_ratio_20": ratio(volume, rolling(avg, volume, r(20), 20)),
-            "volume_z20": rolling_z(volume, r(20), 20),
-            "dollar_volume_ratio_20": ratio(c("__dv"), rolling_median(c("__dv"), r(20), 20)),
-            "amihud_20": rolling_median(c("__illiq"), r(20), 20),
-            "return_z20": rolling_z(ret, r(20), 20),
-            "return_skew_20": rolling_skew(ret, r(20), 20),
-            "return_kurtosis_20": rolling_kurtosis(ret, r(20), 20),
-            "positive_return_fraction_20": rolling(avg, positive, r(20), 20),
-            "up_down_imbalance_20": rolling(avg, positive - negative, r(20), 20),
-            "downside_volatility_20": rolling(std, clip(ret, high=0.0), r(20), 20),
-            "upside_volatility_20": rolling(std, clip(ret, low=0.0), r(20), 20),
-            "return_autocorr_20": F.when(F.count(ret).over(r(20)) == 20, correlation(ret, c("__retlag"), r(19))),
-            "return_volume_corr_20": ratio(
-                rolling(avg, ret * volume, r(20), 20) - rolling(avg, ret, r(20), 20) * rolling(avg, volume, r(20), 20),
-                vol20 * rolling(std, volume, r(20), 20),
-            ),
-            "return_log_volume_corr_5": full(both, correlation(ret, c("__logv"), r(5)), r(5), 5),
-            "return_log_volume_corr_10": full(both, correlation(ret, c("__logv"), r(10)), r(10), 10),
-            "trend_slope_20": fit(F.regr_slope, c("__logc"), r(20), 20),
-            "trend_slope_60": fit(F.regr_slope, c("__logc"), r(60), 60),
-            "trend_r2_20": F.when(spread20 > 0, fit(F.regr_r2, c("__logc"), r(20), 20)),
-            "trend_r2_60": F.when(spread60 > 0, fit(F.regr_r2, c("__logc"), r(60), 60)),
-            "resi_5_pct": F.when(F.abs(close) > 1e-12, residual(5)),
-            "resi_10_pct": F.when(F.abs(close) > 1e-12, residual(10)),
-            "range_z20": rolling_z(c("range_pct"), r(20), 20),
-            "drawdown_from_high_20": ratio(close, rolling(top, close, r(20), 20)) - 1,
-            "distance_from_low_20": ratio(close, rolling(low_, close, r(20), 20)) - 1,
-            "gap_pct": ratio(c("open"), c("__prev")) - 1,
-            "intraday_return": ratio(close, c("open")) - 1,
-            "close_location_mean_20": rolling(avg, c("close_location"), r(20), 20),
-            "dow_sin": F.sin(F.weekday(order) * (2 * math.pi / 7)),
-            "dow_cos": F.cos(F.weekday(order) * (2 * math.pi / 7)),
-            "month_sin": F.sin((F.month(order) - 1) * (2 * math.pi / 12)),
-            "month_cos": F.cos((F.month(order) - 1) * (2 * math.pi / 12)),
-        }
-    )
-    out = three.withColumns(
-        {
-            "stoch_d": rolling(avg, c("stoch_k"), r(3), 3),
-            "adx_14": rolling(avg, c("__dx"), r(14), 14),
-            "obv_z20": rolling_z(c("__obv"), r(20), 20),
-            "price_vs_sma20": c("close_vs_sma20"),
-            "price_vs_sma60": c("close_vs_sma60"),
-        }
-    )
-    out = out.drop(*[x for x in out.columns if x.startswith("__")])
-    if not with_ewm:
-        return out
-    out = ewm(out, keys, order, {"__e12": ("close", 12), "__e20": ("close", 20), "__e26": ("close", 26)})
-    out = out.withColumn("__macd", c("__e12") - c("__e26"))
-    out = ewm(out, keys, order, {"__signal": ("__macd", 9)})
-    out = out.withColumns(
-        {
-            "close_vs_ema20": ratio(close, c("__e20")) - 1,
-            "macd_pct": ratio(c("__macd"), close),
-            "macd_signal_pct": ratio(c("__signal"), close),
-            "macd_hist_pct": ratio(c("__macd") - c("__signal"), close),
-        }
-    )
-    return out.drop("__e12", "__e20", "__e26", "__macd", "__signal")
+    names = [x for x in PACK if only is None or x in only]
+
+    def fn(rows: pa.Table) -> dict[str, Array]:
+        return _pack(*[_numbers(rows, x) for x in ("close", "open", "high", "low", "volume")])
+
+    day, month = F.weekday(order) * (2 * math.pi / 7), (F.month(order) - 1) * (2 * math.pi / 12)
+    calendar = {"dow_sin": F.sin(day), "dow_cos": F.cos(day), "month_sin": F.sin(month), "month_cos": F.cos(month)}
+    return _by_key(bars, keys, order, names, fn).withColumns({k: v for k, v in calendar.items() if only is None or k in only})
 
 
 def targets(bars: DataFrame, keys: Sequence[str] = ("asset_class", "symbol"), order: str = "session_date") -> DataFrame:

@@ -103,7 +103,11 @@ _TECH = {
     "trend_slope_20": _full("regr_slope(logc, rn)", "logc", 20),
     "trend_slope_60": _full("regr_slope(logc, rn)", "logc", 60),
     "trend_r2_20": _full("regr_r2(logc, rn)", "logc", 20),
+    "trend_r2_60": _full("regr_r2(logc, rn)", "logc", 60),
     "resi_5_pct": _div(f"close - ({_full('regr_intercept(close, rn)', 'close', 5)} + {_full('regr_slope(close, rn)', 'close', 5)} * rn)", "close"),
+    "resi_10_pct": _div(f"close - ({_full('regr_intercept(close, rn)', 'close', 10)} + {_full('regr_slope(close, rn)', 'close', 10)} * rn)", "close"),
+    "return_log_volume_corr_5": "case when count(case when logv is not null then ret_1d end) over w5 = 5 then corr(ret_1d, logv) over w5 end",
+    "return_log_volume_corr_10": "case when count(case when logv is not null then ret_1d end) over w10 = 10 then corr(ret_1d, logv) over w10 end",
     "range_pct": "range_pct",
     "range_z20": _Z("range_pct", 20),
     "drawdown_from_high_20": f"{_div('close', _full('max(close)', 'close', 20))} - 1",
@@ -113,15 +117,21 @@ _TECH = {
     "close_location": "close_location",
     "close_location_mean_20": _full("avg(close_location)", "close_location", 20),
     "dow_sin": "sin((isodow(session_date) - 1) * (2 * pi() / 7))",
+    "dow_cos": "cos((isodow(session_date) - 1) * (2 * pi() / 7))",
+    "month_sin": "sin((month(session_date) - 1) * (2 * pi() / 12))",
     "month_cos": "cos((month(session_date) - 1) * (2 * pi() / 12))",
 }
 
 
-@query(f"with {views.BARS_SQL}, {_TECH_ONE} select asset_class, symbol, session_date, {', '.join(_r(e, n) for n, e in _TECH.items())} from gl {_WINDOWS}")
+#: Decimals of columns that are small, or whose fourth decimal often ends in an exact half.
+_DIGITS = {"trend_slope_20": 8, "trend_slope_60": 8, "close_location_mean_20": 8, "atr_pct": 6, "range_pct": 6}
+
+
+@query(f"with {views.BARS_SQL}, {_TECH_ONE} select asset_class, symbol, session_date, {', '.join(_r(e, n, _DIGITS.get(n, 4)) for n, e in _TECH.items())} from gl {_WINDOWS}")
 def technical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing-window features of every bar."""
-    out = technical.technical_features(views.bars(spark, sf_dir), with_ewm=False)
-    return rounded(out.select(*KEY, *_TECH))
+    out = technical.technical_features(views.bars(spark, sf_dir), only=list(_TECH))
+    return rounded(out.select(*KEY, *_TECH), **_DIGITS)
 
 
 @query(
@@ -135,7 +145,7 @@ def technical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def technical_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features that build on other features: ADX, on-balance volume, slow stochastic, illiquidity."""
-    out = technical.technical_features(views.bars(spark, sf_dir), with_ewm=False)
+    out = technical.technical_features(views.bars(spark, sf_dir), only=["adx_14", "obv_z20", "stoch_d", "amihud_20"])
     return rounded(out.select(*KEY, "adx_14", "obv_z20", "stoch_d", (c("amihud_20") * 1e6).alias("amihud_20_e6")))
 
 
@@ -156,13 +166,9 @@ def technical_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
            {_r('case when m.rn >= 34 then signal / close end', 'macd_signal_pct')} from m left join s on s.symbol = m.symbol and s.rn = m.rn"""
 )
 def technical_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential means by a fold over each instrument."""
-    b = views.bars(spark, sf_dir)
-    keys = ["asset_class", "symbol"]
-    out = technical.ewm(b, keys, "session_date", {"e12": ("close", 12), "e20": ("close", 20), "e26": ("close", 26)}).withColumn("macd", c("e12") - c("e26"))
-    out = technical.ewm(out, keys, "session_date", {"signal": ("macd", 9)})
-    r = cols.ratio
-    return rounded(out.select(*KEY, (r(c("close"), c("e20")) - 1).alias("close_vs_ema20"), r(c("macd"), c("close")).alias("macd_pct"), r(c("signal"), c("close")).alias("macd_signal_pct")))
+    """Exponential means of each instrument."""
+    names = ["close_vs_ema20", "macd_pct", "macd_signal_pct"]
+    return rounded(technical.technical_features(views.bars(spark, sf_dir), only=names).select(*KEY, *names))
 
 
 @query(
