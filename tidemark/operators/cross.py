@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cols import average_rank, clip, market_family, percent_rank, ratio, rolling, rolling_median, trailing
+from tidemark.functions.cols import average_rank, clip, full, market_family, percent_rank, ratio, rolling, rolling_median, trailing
 
 c = F.col
 
@@ -26,7 +26,7 @@ def robust_z(df: DataFrame, columns: Sequence[str], keys: Sequence[str], limit:
 
 
 def daily_market(df: DataFrame, date: str = "session_date") -> DataFrame:
-    """One row a date and market family: medians, breadth over all rows, dispersion, interquartile range and their 20-session medians."""
+    """One row a date and market family: medians, breadth over all rows, dispersion, interquartile range, their trailing medians and compounded returns."""
     day = df.groupBy(date, "market_family").agg(
         F.percentile("volatility_20", F.lit(0.5)).alias("median_vol"),
         F.percentile("ret_1d", F.lit(0.5)).alias("median_ret"),
@@ -36,18 +36,41 @@ def daily_market(df: DataFrame, date: str = "session_date") -> DataFrame:
     )
     w = lambda n: trailing(["market_family"], date, n)
     day = day.withColumns({f"market_dispersion_{n}d": rolling_median(c("market_dispersion_1d"), w(n), n) for n in (5, 20)})
+    grown = lambda n: full(c("median_ret"), F.product(1 + c("median_ret")).over(w(n)), w(n), n) - 1
+    day = day.withColumns({"market_median_ret_5d": grown(5), "market_median_ret_20d": grown(20), "market_median_vol_20d": rolling_median(c("median_vol"), w(20), 20)})
     return day.withColumn("market_dispersion_vs_20d", ratio(c("market_dispersion_1d"), c("market_dispersion_20d")) - 1)
 
 
+#: Columns whose robust scores are features, where the input has them (fixed values).
+ROBUST = ("ret_1d", "volatility_20", "volume_ratio_20", "range_pct", "price_vs_sma20")
+
+
 def cross_context(features: DataFrame, date: str = "session_date") -> DataFrame:
-    """Ranks and robust scores within (date, market family), and each row against its market's day."""
-    df = features.withColumn("market_family", market_family(c("asset_class")))
+    """Ranks and robust scores within (date, market family), each row against its market's day, and asset flags.
+
+    With a column sector, the sector's mean return, the row's strength against it and its
+    rank in it; with market_ret_1d, the return against that.
+    """
+    kind = c("asset_class")
+    df = features.withColumn("market_family", market_family(kind))
+    flags = {"jp": kind.startswith("jp_"), "us": kind.startswith("us_"), "stock": kind.endswith("_stock"), "etf": kind.endswith("_etf"), "reit": kind == "jp_reit"}
+    df = df.withColumns({f"asset_is_{k}": v.cast("double") for k, v in flags.items()})
     keys = [date, "market_family"]
     df = df.withColumns({"cs_ret_1d_rank": percent_rank(c("ret_1d"), keys), "cs_vol_rank": percent_rank(c("volatility_20"), keys, descending=True)})
-    df = robust_z(df, ["ret_1d", "volatility_20", "range_pct"], keys)
-    day = daily_market(df, date)
-    df = df.join(day, keys, "left")
-    return df.withColumns({"ret_vs_market_median": c("ret_1d") - c("median_ret"), "vol_vs_market_median": ratio(c("volatility_20"), c("median_vol")) - 1})
+    df = robust_z(df, [x for x in ROBUST if x in df.columns], keys)
+    df = df.join(daily_market(df, date), keys, "left")
+    df = df.withColumns({
+        "ret_vs_market_median": c("ret_1d") - c("median_ret"), "vol_vs_market_median": ratio(c("volatility_20"), c("median_vol")) - 1,
+        "residual_volatility_20d": ratio(c("volatility_20"), c("market_median_vol_20d")) - 1,
+        "residual_momentum_20d": c("ret_20d") - c("market_median_ret_20d") if "ret_20d" in df.columns else F.lit(None).cast("double"),
+    })
+    if "sector" in df.columns:
+        group = [*keys, "sector"]
+        mean = F.avg("ret_1d").over(Window.partitionBy(*group))
+        df = df.withColumns({"sector_ret_1d": mean, "relative_strength_1d": c("ret_1d") - mean, "sector_rank": percent_rank(c("ret_1d"), group)})
+    if "market_ret_1d" in df.columns:
+        df = df.withColumn("market_relative_ret_1d", c("ret_1d") - c("market_ret_1d"))
+    return df
 
 
 def market_regime(daily: DataFrame, date: str = "session_date") -> DataFrame:

@@ -12,17 +12,28 @@ from pyspark.sql import functions as F
 from tidemark.scratch import ensure_importable
 
 
-def nearest(queries: DataFrame, history: DataFrame, id_col: str, vector_col: str, k: int = 12, blocks: int = 8) -> DataFrame:
+#: Bytes of vectors that a block of the history, or a part of the queries, holds.
+BLOCK_BYTES = 32 << 20
+
+
+def nearest(queries: DataFrame, history: DataFrame, id_col: str, vector_col: str, k: int = 12, blocks: int | None = None) -> DataFrame:
     """(query_id, neighbour_id, distance, rank): the k nearest history rows by squared distance, ties to the smaller id.
 
-    History is dealt into blocks, queries go to every block, a block returns its k best for
-    each query, and the best of all blocks are ranked: exact, with k rows a block and query.
+    History is dealt into blocks of about BLOCK_BYTES, queries into parts of the same size, and
+    each part goes to every block, which returns its k best for each query; the best of all
+    blocks are ranked: exact, with k rows a block and query, and bounded work in a task.
     A row is not its own neighbour; null vectors take no part. Distances are summed squared
     differences at any size, so equal vectors have equal distances.
     """
     ensure_importable(queries.sparkSession)
-    h = history.where(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    q = queries.where(F.col(vector_col).isNotNull()).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    known = lambda df: df.where(F.col(vector_col).isNotNull()).agg(F.count("*").alias("n"), F.max(F.size(vector_col)).alias("width")).first()
+    of = lambda x: max(1, -(-int(x["n"]) * 8 * int(x["width"] or 1) // BLOCK_BYTES))
+    size = known(history)
+    blocks = blocks or max(of(size), min(8, -(-int(size["n"]) // 256)) or 1)
+    parts = of(known(queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    h = history.where(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b"), every(parts).alias("p"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    q = queries.where(F.col(vector_col).isNotNull()).select(every(blocks).alias("b"), F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("p"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids = t.column("id").to_numpy()
@@ -54,7 +65,7 @@ def nearest(queries: DataFrame, history: DataFrame, id_col: str, vector_col: str
                     out[2] += exact[top].tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "neighbour_id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
 
-    found = q.groupBy("b").cogroup(h.groupBy("b")).applyInArrow(lambda a, b: best(a, b), "query_id long, neighbour_id long, distance double")
+    found = q.groupBy("b", "p").cogroup(h.groupBy("b", "p")).applyInArrow(lambda a, b: best(a, b), "query_id long, neighbour_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

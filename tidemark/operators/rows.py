@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import name_key, ratio
+from tidemark.functions.quantiles import exact_quantiles
+from tidemark.operators.patterns import prior_quantiles
 from tidemark.operators.upkeep import violations
 
 c = F.col
@@ -153,7 +155,7 @@ def selective_shrink(p: Column, risk: Column, threshold: Column, weight: Column)
 
 def shrink_grid(rows: DataFrame, quantiles: Sequence[float] = (0.5, 0.6, 0.7, 0.8, 0.9), weights: Sequence[float] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Loss of every pair of threshold and weight over rows (y, p, risk), best first: the grid is an array, so rows are read once."""
-    cut = rows.agg(F.percentile("risk", F.array(*[F.lit(q) for q in quantiles])).alias("cuts"))
+    cut = exact_quantiles(rows, [], "risk", quantiles, "cuts").select("cuts")
     grid = [(i, q, w) for i, q in enumerate(quantiles) for w in weights]
     each = F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.element_at("cuts", i + 1).alias("threshold"), F.lit(w).alias("weight")) for i, q, w in grid]))
     x = rows.join(F.broadcast(cut)).select("y", "p", "risk", each.alias("g")).select("y", "p", "risk", "g.*")  # one row of cuts
@@ -180,8 +182,8 @@ def case_failure(df: DataFrame, fold: str = "fold") -> DataFrame:
     """Fixed risk score (mean of the four signals) and the 75th percentile of all earlier folds as its threshold."""
     score = (c("case_ood") + c("case_failure_risk") + c("case_disagreement") + (1 - c("case_predictability"))) / 4
     rows = df.withColumn("risk_score", score)
-    t = rows.select(c(fold).alias("__t")).distinct()
-    prior = rows.select(fold, "risk_score").join(t, c(fold) < c("__t")).groupBy("__t").agg(F.percentile("risk_score", F.lit(0.75)).alias("threshold"))
+    scaled = rows.select(c(fold).alias("fold"), (c("risk_score") / 2).alias("__half"))  # the operator takes values up to one half
+    prior = prior_quantiles(scaled, "__half", {"__q": 0.75}).select(c("fold").alias("__t"), (2 * c("__q")).alias("threshold"))
     return rows.join(prior, c(fold) == c("__t"), "left").drop("__t").withColumn("flagged", c("risk_score") > c("threshold"))
 
 

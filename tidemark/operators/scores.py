@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.cols import average_rank, clip, correlation, ratio
+from tidemark.functions.cols import average_rank, clean, clip, correlation, ratio
+from tidemark.functions.quantiles import exact_quantiles
+from tidemark.operators.conformal import at_or_above
 
 c = F.col
 #: Edges of ten equal bins as their nearest doubles (fixed values).
@@ -24,20 +26,47 @@ def bin_of(p: Column) -> Column:
     return sum((F.when(p >= e, 1).otherwise(0) for e in EDGES[1:]), F.lit(0))
 
 
+def checked(p: Column) -> Column:
+    """p, or an error where it is not a probability."""
+    return F.when(p.isNull() | ((p >= 0) & (p <= 1)), p).otherwise(F.raise_error(F.concat(F.lit("not a probability: "), p.cast("string"))))
+
+
 def binary_metrics(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Per keys: n, logloss, brier, accuracy, ece over ten bins, and roc_auc by rank sums (null with one class)."""
+    """Per keys: n, logloss, brier, accuracy, ece over ten bins, and roc_auc by rank sums (null with one class).
+
+    Rows without outcome or probability are left out; a probability outside [0, 1] is an
+    error. Equal probabilities are counted first, and their ranks are summed up from those
+    of narrow buckets, so no task sorts the rows of a key.
+    """
     keys = list(keys)
-    rows = df.where(c(p).isNotNull() & c(y).isNotNull()).withColumn("__rank", average_rank(c(p), keys))
-    one = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(log_loss(c(y), c(p))).alias("logloss"), F.avg((c(p) - c(y)) ** 2).alias("brier"),
-        F.avg(F.when((c(p) >= 0.5) == (c(y) == 1), 1.0).otherwise(0.0)).alias("accuracy"),
-        F.sum(c(y).cast("double")).alias("__n1"), F.sum(F.when(c(y) == 1, c("__rank"))).alias("__s1"),
+    rows = df.where(c(p).isNotNull() & c(y).isNotNull()).select(*keys, checked(c(p).cast("double")).alias("__p"), c(y).cast("double").alias("__y"))
+    each = rows.groupBy(*keys, "__p").agg(F.count("*").alias("__n"), F.sum("__y").alias("__n1"))
+    q, n, n1 = c("__p"), c("__n"), c("__n1")
+    each = each.withColumn("__bucket", F.floor(q * 4096).cast("int"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("__rank", F.sum(n).over(inside) - n + (n + 1) / 2)  # mean rank within the bucket
+    buckets = each.groupBy(*keys, "__bucket").agg(F.sum(n).alias("__b"), F.sum(n1).alias("__b1"), F.sum(n1 * c("__rank")).alias("__r"), *[
+        F.sum(x).alias(name) for name, x in {
+            "__l": n1 * log_loss(F.lit(1.0), q) + (n - n1) * log_loss(F.lit(0.0), q), "__s": n1 * (1 - q) ** 2 + (n - n1) * q**2, "__a": F.when(q >= 0.5, n1).otherwise(n - n1),
+            **{f"__p{k}": F.when(bin_of(q) == k, n * q) for k in range(10)}, **{f"__n{k}": F.when(bin_of(q) == k, n) for k in range(10)}, **{f"__y{k}": F.when(bin_of(q) == k, n1) for k in range(10)},
+        }.items()
+    ])
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,097 buckets a key
+    buckets = buckets.withColumn("__r", c("__r") + c("__b1") * F.coalesce(F.sum("__b").over(before), F.lit(0)))
+    one = buckets.groupBy(*keys).agg(F.sum("__b").alias("n"), *[F.sum(x).alias(x) for x in ("__b1", "__r", "__l", "__s", "__a", *[f"__{t}{k}" for t in "pny" for k in range(10)])])
+    total, ones = c("n").cast("double"), c("__b1")
+    gap = sum((F.coalesce(F.abs(c(f"__p{k}") - c(f"__y{k}")), F.lit(0.0)) for k in range(10)), F.lit(0.0))
+    return one.where("n > 0").select(
+        *keys, "n", (c("__l") / total).alias("logloss"), (c("__s") / total).alias("brier"), (c("__a") / total).alias("accuracy"),
+        ratio(c("__r") - ones * (ones + 1) / 2, ones * (total - ones)).alias("roc_auc"), (gap / total).alias("ece"),
     )
-    n0 = c("n") - c("__n1")
-    one = one.withColumn("roc_auc", ratio(c("__s1") - c("__n1") * (c("__n1") + 1) / 2, c("__n1") * n0)).drop("__n1", "__s1")
-    bins = rows.groupBy(*keys, bin_of(c(p)).alias("__bin")).agg(F.count("*").alias("__b"), F.abs(F.avg(p) - F.avg(y)).alias("__gap"))
-    ece = bins.groupBy(*keys).agg((F.sum(c("__b") * c("__gap")) / F.sum("__b")).alias("ece"))
-    return one.join(ece, keys) if keys else one.join(F.broadcast(ece))  # one row each
+
+
+def mean_metrics(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Mean of each metric over the rows where it is finite; columns that are no numbers are left out."""
+    kinds = dict(rows.dtypes)
+    numbers = [m for m in metrics if kinds.get(m) in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds.get(m, "").startswith("decimal")]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), *[F.avg(clean(c(m))).alias(m) for m in numbers])
 
 
 def segment_metrics(df: DataFrame, dimensions: Sequence[str], sets: Sequence[Sequence[str]], least: int = 30) -> DataFrame:
@@ -56,14 +85,12 @@ def rank_ic(df: DataFrame, group: str, y: str, signal: str, least: int = 5) -> D
 
 
 def conformal_p_values(calibration: DataFrame, test: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
-    """p = (1 + calibration scores not below the test score) / (n + 1), by one window over both."""
+    """(keys, score, row_id, p_value): p = (1 + calibration scores not below the test score) / (n + 1)."""
     keys = list(keys)
-    both = calibration.select(*keys, score, F.lit(1).alias("__cal"), F.lit(None).cast("string").alias("row_id")).union(
-        test.select(*keys, score, F.lit(0).alias("__cal"), c("row_id").cast("string"))
-    )
-    w = Window.partitionBy(*keys).orderBy(c(score).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    n = F.sum("__cal").over(Window.partitionBy(*keys))
-    return both.withColumn("p_value", (1 + F.sum("__cal").over(w)) / (n + 1)).where("__cal = 0").drop("__cal")
+    counts = at_or_above(calibration.select(*keys, c(score).alias("score")), test.select(*keys, c(score).alias("t")), keys)
+    counts = counts.select(*[c(k).alias(f"__{k}") for k in keys], "t", ((1 + c("above")) / (c("n") + 1)).alias("p_value"))
+    on = [*[c(k).eqNullSafe(c(f"__{k}")) for k in keys], c(score) == c("t")]
+    return test.select(*keys, score, c("row_id").cast("string").alias("row_id")).join(counts, on).select(*keys, score, "row_id", "p_value")
 
 
 def residual_interval(df: DataFrame, keys: Sequence[str], order: str, residual: str, alpha: float = 0.2, window: int = 252, least: int = 200) -> DataFrame:
@@ -152,30 +179,64 @@ def error_overlap(df: DataFrame, case: Sequence[str]) -> DataFrame:
     return both.groupBy(c("model").alias("model_a"), "model_b").agg(correlation(c("e"), c("e_b")).alias("error_corr"), ratio(F.sum(F.when(c("w") & c("w_b"), 1.0).otherwise(0.0)), either.cast("double")).alias("error_jaccard"))
 
 
-def drift_score(reference: DataFrame, query: DataFrame, features: Sequence[str], least: int = 20) -> DataFrame:
-    """Mean over five quantiles of the shift over the larger of IQR and deviation, averaged over features with enough values."""
-    levels = F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)])
+#: Quantiles by which distributions are compared (fixed values).
+DRIFT_LEVELS = (0.1, 0.25, 0.5, 0.75, 0.9)
+
 
-    def profile(df: DataFrame, tag: str) -> DataFrame:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), c(x).cast("double").alias("x")) for x in features])).alias("z")).select("z.*").where("x is not null")
-        return long.groupBy("feature").agg(F.percentile("x", levels).alias(f"q_{tag}"), F.stddev_pop("x").alias(f"s_{tag}"), F.count("*").alias(f"n_{tag}"))
+def _profiles(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """(keys, feature, q, s, n): quantiles, deviation and number of the values of each feature."""
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), c(x).cast("double").alias("x")) for x in features]))
+    long = df.select(*keys, each.alias("z")).select(*keys, "z.*").where("x is not null")
+    names = [*keys, "feature"]
+    spread = long.groupBy(*[c(k).alias(f"__{k}") for k in names]).agg(F.stddev_pop("x").alias("s"))
+    return exact_quantiles(long, names, "x", DRIFT_LEVELS).join(spread, [c(k).eqNullSafe(c(f"__{k}")) for k in names]).select(*names, "q", "s", "n")
 
-    both = profile(reference, "r").join(profile(query, "q"), "feature").where((c("n_r") >= least) & (c("n_q") >= least))
-    scale = F.greatest(F.element_at("q_r", 4) - F.element_at("q_r", 2), c("s_r"), F.lit(1e-8))
-    shift = F.aggregate(F.zip_with("q_r", "q_q", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b) / 5
-    return both.agg(F.avg(shift / scale).alias("drift"), F.count("*").alias("n_features"))
+
+def _shift(reference: str, query: str, deviation: str) -> Column:
+    scale = F.greatest(F.element_at(reference, 4) - F.element_at(reference, 2), c(deviation), F.lit(1e-8))
+    return F.aggregate(F.zip_with(reference, query, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b) / 5 / scale
+
+
+def drift_score(reference: DataFrame, query: DataFrame, features: Sequence[str], least: int = 20) -> DataFrame:
+    """Mean over five quantiles of the shift over the larger of IQR and deviation, averaged over features with enough values."""
+    one = _profiles(reference, [], features).withColumnsRenamed({"q": "q_r", "s": "s_r", "n": "n_r"})
+    both = one.join(_profiles(query, [], features), "feature").where((c("n_r") >= least) & (c("n") >= least))
+    return both.agg(F.avg(_shift("q_r", "q", "s_r")).alias("drift"), F.count("*").alias("n_features"))
 
 
 def drift_between(df: DataFrame, order: str, features: Sequence[str], least: int = 20) -> DataFrame:
     """(order, drift, n_features): drift_score() of each value of order against the one before it that the table has."""
-    long = df.where(c(order).isNotNull()).select(order, F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), c(x).cast("double").alias("x")) for x in features])).alias("z")).select(order, "z.*")
-    levels = F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)])
-    profile = long.groupBy(order, "feature").agg(F.percentile("x", levels).alias("q"), F.stddev_pop("x").alias("s"), F.count("x").alias("n"))
     line = Window.partitionBy("feature").orderBy(order)
+    profile = _profiles(df.where(c(order).isNotNull()), [order], features)
     both = profile.select(order, "q", "n", *[F.lag(x).over(line).alias(f"{x}_r") for x in ("q", "s", "n")]).where((c("n_r") >= least) & (c("n") >= least))
-    scale = F.greatest(F.element_at("q_r", 4) - F.element_at("q_r", 2), c("s_r"), F.lit(1e-8))
-    shift = F.aggregate(F.zip_with("q_r", "q", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b) / 5
-    return both.groupBy(order).agg(F.avg(shift / scale).alias("drift"), F.count("*").alias("n_features"))
+    return both.groupBy(order).agg(F.avg(_shift("q_r", "q", "s_r")).alias("drift"), F.count("*").alias("n_features"))
+
+
+def transition_matrix(df: DataFrame, keys: Sequence[str], order: str, state: str, states: Sequence[str], alpha: float = 1.0) -> DataFrame:
+    """(from_state, to_state, share) over all pairs of states, each counted alpha times more than it was seen."""
+    n = markov_transitions(df, keys, order, state).select(c("from_state").alias("__f"), c("to_state").alias("__t"), "n")
+    names = F.array(*map(F.lit, states))
+    grid = df.sparkSession.range(1).select(F.explode(names).alias("from_state")).select("from_state", F.explode(names).alias("to_state"))
+    full = grid.join(n, (c("from_state") == c("__f")) & (c("to_state") == c("__t")), "left").withColumn("n", F.coalesce("n", F.lit(0)) + F.lit(float(alpha)))
+    return full.select("from_state", "to_state", (c("n") / F.sum("n").over(Window.partitionBy("from_state"))).alias("share"))
+
+
+def transition_forecasts(df: DataFrame, keys: Sequence[str], order: str, state: str, states: Sequence[str], alpha: float = 1.0) -> DataFrame:
+    """Each row with the shares of what followed its state before: forecast, an array in the order of states.
+
+    A row sees the states before it only, so the last step it counts is that between the two
+    rows before. Counts run along the rows of a key; nothing is collected.
+    """
+    line = Window.partitionBy(*keys).orderBy(order)
+    past = line.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("__from", F.lag(state).over(line))
+    seen = {(a, b): F.coalesce(F.sum(((c("__from") == a) & (c(state) == b)).cast("double")).over(past), F.lit(0.0)) + alpha for a in states for b in states}
+    rows = rows.withColumns({f"__{i}_{j}": seen[a, b] for i, a in enumerate(states) for j, b in enumerate(states)})
+    out = F.lit(None).cast("array<double>")
+    for i, a in enumerate(states):
+        total = sum((c(f"__{i}_{j}") for j in range(len(states))), F.lit(0.0))
+        out = F.when(c(state) == a, F.array(*[c(f"__{i}_{j}") / total for j in range(len(states))])).otherwise(out)
+    return rows.withColumn("forecast", out).drop("__from", *[f"__{i}_{j}" for i in range(len(states)) for j in range(len(states))])
 
 
 def markov_transitions(df: DataFrame, keys: Sequence[str], order: str, state: str) -> DataFrame:

@@ -62,18 +62,35 @@ def last_sessions(df: DataFrame, n: int, date: str = "session_date") -> DataFram
     return df.join(df.select(date).distinct().orderBy(c(date).desc()).limit(n), date, "left_semi")
 
 
+def ranked_by_date(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
+    """df with the place of each row in the order given, which begins with a date: rows are ranked within a date and dates are counted up."""
+    day, rest = order[0], list(order[1:])
+    sizes = df.groupBy(c(day).alias("__d")).agg(F.count("*").alias("__k"))
+    before = sizes.select("__d", F.coalesce(F.sum("__k").over(Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a date
+    inside = F.row_number().over(Window.partitionBy(day).orderBy(*rest))
+    return df.withColumn("__in", inside).join(before, c(day).eqNullSafe(c("__d"))).withColumn(name, c("__before") + c("__in")).drop("__in", "__d", "__before")
+
+
 def cap_training(df: DataFrame, most: int, recent: int, order: Sequence[str], date: str = "session_date") -> DataFrame:
-    """The recent sessions whole and every stride-th older row by order, so that most rows remain."""
-    old_dates = df.select(date).distinct().orderBy(c(date).desc()).limit(recent).agg(F.min(date).alias("__cut"))
-    tagged = df.join(F.broadcast(old_dates)).withColumn("__old", c(date) < c("__cut"))  # one row
-    n = tagged.agg(F.count(F.when(c("__old"), 1)).alias("old"), F.count("*").alias("all")).first()
+    """At most most rows: the recent sessions whole, and of the older rows every stride-th by order, the latest of them.
+
+    Where the recent sessions alone have more, the latest rows of these. order begins with
+    the date and must settle all ties.
+    """
+    first = df.select(date).distinct().orderBy(c(date).desc()).limit(recent).agg(F.min(date)).first()[0]
+    n = df.agg(F.count(F.when(c(date) < first, 1)).alias("old"), F.count("*").alias("all")).first()
     if n["all"] <= most:
         return df
-    budget = max(1, most - (n["all"] - n["old"]))
+    new, budget = n["all"] - n["old"], max(0, most - (n["all"] - n["old"]))
+    old_rows, new_rows = df.where(c(date) < first), df.where((c(date) >= first) | c(date).isNull())
+    if not budget:
+        return ranked_by_date(new_rows, order, "__rn").where(c("__rn") > new - most).drop("__rn")
+    if n["old"] <= budget:
+        return df
     stride = max(2, -(-n["old"] // budget))
-    rank = F.row_number().over(Window.partitionBy("__old").orderBy(*order))
-    kept = tagged.withColumn("__rn", rank).where(~c("__old") | ((c("__rn") - 1) % stride == 0))
-    return kept.drop("__cut", "__old", "__rn")
+    taken = -(-n["old"] // stride)
+    picked = ranked_by_date(old_rows, order, "__rn").where(((c("__rn") - 1) % stride == 0) & (F.floor((c("__rn") - 1) / stride) >= taken - budget)).drop("__rn")
+    return picked.unionByName(new_rows)
 
 
 def quality_report(bars: DataFrame, keys: Sequence[str]) -> DataFrame:

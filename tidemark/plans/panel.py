@@ -188,7 +188,14 @@ def forward_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TS = {
     **{f"ts_ret_{n}": f"close / lag(close, {n}) over line - 1" for n in (1, 2, 3, 5, 10)},
     **{f"ts_return_sign_persistence_{n}": _full("avg(sign(r)::double)", "r", n) for n in (3, 5, 10)},
+    **{f"ts_path_return_{n}": f"close / lag(close, {n}) over line - 1" for n in (3, 5, 10)},
     "ts_return_acceleration_1": "r - lag(r) over line",
+    "ts_return_acceleration_5": "(close / lag(close, 5) over line - 1) - (close / lag(close, 10) over line - 1) / 2",
+    "ts_volatility_3": _full("stddev_samp(r)", "r", 3),
+    "ts_volatility_10": _full("stddev_samp(r)", "r", 10),
+    "ts_volume_log_change_1": "lv - lag(lv) over line",
+    "ts_range_change_1": "rg - lag(rg) over line",
+    "ts_close_location_pressure_5": f"{_full('avg(cl)', 'cl', 5)} - {_full('avg(cl)', 'cl', 20)}",
     "ts_return_acceleration_3": "(close / lag(close, 3) over line - 1) - (close / lag(close, 5) over line - 1) / 2",
     "ts_volatility_ratio_3_10": _div(_full("stddev_samp(r)", "r", 3), _full("stddev_samp(r)", "r", 10)),
     "ts_volume_log_change_3": "lv - lag(lv, 3) over line",
@@ -208,18 +215,23 @@ def temporal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(states.temporal_state(views.bars(spark, sf_dir)).select(*KEY, *_TS))
 
 
-_BASE = f"""{views.BARS_SQL}, rets as (select *, close / lag(close) over w - 1 as ret_1d, (high - low) / nullif(close, 0) as range_pct,
+_BASE = f"""{views.BARS_SQL}, rets as (select *, close / lag(close) over w - 1 as ret_1d, close / lag(close, 20) over w - 1 as ret_20d, (high - low) / nullif(close, 0) as range_pct,
   case when asset_class like 'jp%' then 'jp' else 'us' end as market_family from bars window w as (partition by symbol order by session_date)),
-  base as (select *, case when count(ret_1d) over w = 20 then stddev_samp(ret_1d) over w end as volatility_20
+  base as (select *, case when count(ret_1d) over w = 20 then stddev_samp(ret_1d) over w end as volatility_20,
+           case when count(volume) over w = 20 then volume / nullif(avg(volume) over w, 0) end as volume_ratio_20, case when count(close) over w = 20 then close / nullif(avg(close) over w, 0) - 1 end as price_vs_sma20
            from rets window w as (partition by symbol order by session_date rows between 19 preceding and current row))"""
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = views.bars(spark, sf_dir)
     w = cols.trailing(["asset_class", "symbol"], "session_date", 20)
-    lag = F.lag("close").over(technical.Window.partitionBy("asset_class", "symbol").orderBy("session_date"))
-    b = b.withColumns({"ret_1d": cols.ratio(c("close"), lag) - 1, "range_pct": cols.ratio(c("high") - c("low"), c("close"))})
-    return b.withColumn("volatility_20", cols.rolling(F.stddev_samp, c("ret_1d"), w, 20))
+    lag = lambda n: F.lag("close", n).over(technical.Window.partitionBy("asset_class", "symbol").orderBy("session_date"))
+    b = b.withColumns({"ret_1d": cols.ratio(c("close"), lag(1)) - 1, "ret_20d": cols.ratio(c("close"), lag(20)) - 1, "range_pct": cols.ratio(c("high") - c("low"), c("close"))})
+    volume = c("volume").cast("double")
+    return b.withColumns({
+        "volatility_20": cols.rolling(F.stddev_samp, c("ret_1d"), w, 20), "volume_ratio_20": cols.ratio(volume, cols.rolling(F.avg, volume, w, 20)),
+        "price_vs_sma20": cols.ratio(c("close"), cols.rolling(F.avg, c("close"), w, 20)) - 1,
+    })
 
 
 _RZ = lambda x: (
@@ -359,12 +371,13 @@ def training_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {views.BARS_SQL}, cut as (select min(d) as cut from (select distinct session_date as d from bars order by 1 desc limit 252)),
-    tagged as (select b.*, b.session_date < cut as old from bars b, cut), n as (select count(*) filter (where old) as o, count(*) as a from tagged),
-    numbered as (select *, row_number() over (partition by old order by session_date, asset_class, symbol) as rn from tagged)
-    select asset_class, symbol, session_date from numbered, n where a <= 20000 or not old or (rn - 1) % greatest(2, ceil(o / greatest(1, 20000 - (a - o)))::bigint) = 0"""
+    tagged as (select b.*, b.session_date < cut as old from bars b, cut), n as (select count(*) filter (where old) as o, count(*) as a, greatest(0, 20000 - count(*) filter (where not old)) as budget from tagged),
+    numbered as (select *, row_number() over (partition by old order by session_date, asset_class, symbol) as rn from tagged),
+    strided as (select *, greatest(2, ceil(o / greatest(1, budget))::bigint) as stride from numbered, n)
+    select asset_class, symbol, session_date from strided where a <= 20000 or (not old and (budget > 0 or rn > a - o - 20000)) or (old and budget > 0 and (o <= budget or ((rn - 1) % stride = 0 and (rn - 1) // stride >= ceil(o / stride) - budget)))"""
 )
 def training_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most about 20,000 bars: recent sessions whole, older rows by stride."""
+    """At most 20,000 bars: recent sessions whole, older rows by stride."""
     return upkeep.cap_training(views.bars(spark, sf_dir), 20_000, 252, ["session_date", "asset_class", "symbol"]).select(*KEY)
 
 
@@ -482,12 +495,12 @@ def conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {_BASE}, w as (select *, list(abs(ret_1d)) filter (where ret_1d is not null) over (partition by symbol order by session_date rows between 60 preceding and 1 preceding) as b from base)
-    select asset_class, symbol, session_date, round(case when len(b) >= 40 then list_sort(b)[least(ceil((len(b) + 1) * (1 - 0.2::double)), len(b))::int] end, 4) as half_width from w"""
+    f"""with {_BASE}, w as (select *, list(abs(ret_1d)) filter (where ret_1d is not null) over (partition by symbol order by session_date rows between 252 preceding and 1 preceding) as b from base)
+    select asset_class, symbol, session_date, round(case when len(b) >= 200 then list_sort(b)[least(ceil((len(b) + 1) * (1 - 0.2::double)), len(b))::int] end, 4) as half_width from w"""
 )
 def residual_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conservative quantile of the last 60 absolute residuals before each row."""
-    out = scores.residual_interval(_base(spark, sf_dir), ["asset_class", "symbol"], "session_date", "ret_1d", 0.2, 60, 40)
+    """Conservative quantile of the last 252 absolute residuals before each row."""
+    out = scores.residual_interval(_base(spark, sf_dir), ["asset_class", "symbol"], "session_date", "ret_1d")
     return rounded(out.select(*KEY, "half_width"))
 
 
@@ -563,14 +576,16 @@ def cross_sectional_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     j as (select p.*, r as outcome from preds p join o using (asset_class, symbol, session_date) where not sp and r is not null), s as (select *, -expected_return_1d as rank_score from j),
     q as (select *, count(*) over (partition by prediction_date) as n, (rank() over (partition by prediction_date order by rank_score) + (count(*) over (partition by prediction_date, rank_score) - 1) / 2.0::double) / count(*) over (partition by prediction_date) as pct from s),
     d as (select prediction_date, max(n) as n, avg(outcome) filter (where pct >= 1 - 0.1::double) - avg(outcome) filter (where pct <= 0.1::double) as gross from q where n >= 20 group by all),
-    g as (select *, gross - 2 * cost_bps / 10000 as net from d, (select unnest([0.0::double, 5.0::double, 10.0::double, 20.0::double]) as cost_bps))
-    select prediction_date, cost_bps, n, {_r('gross', 'gross')}, {_r('net', 'net')} from g"""
+    g as (select *, gross - 2 * cost_bps / 10000 as net from d, (select unnest([0.0::double, 5.0::double, 10.0::double, 20.0::double]) as cost_bps)),
+    held as (select *, product(1 + coalesce(net, 0)) over (partition by cost_bps order by prediction_date) as equity from g), k as (select *, equity / nullif(max(equity) over (partition by cost_bps order by prediction_date), 0) - 1 as drawdown from held)
+    select prediction_date, cost_bps, n, {_r('gross', 'gross')}, {_r('net', 'net')}, sign(equity)::int as equity_sign, {_r('ln(abs(nullif(equity, 0)))', 'log_equity')}, {_r('drawdown', 'drawdown')} from k"""
 )
 def backtest_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily long/short returns at four costs."""
     p = _predictions(spark, sf_dir).withColumn("rank_score", -c("expected_return_1d"))
     out = cross.backtest(p, views.bars(spark, sf_dir), sleeve=())
-    return rounded(out.select("prediction_date", "cost_bps", "n", "gross", "net"))
+    out = out.withColumns({"equity_sign": F.signum("equity").cast("int"), "log_equity": F.log(F.abs(F.nullif(c("equity"), F.lit(0.0))))})
+    return rounded(out.select("prediction_date", "cost_bps", "n", "gross", "net", "equity_sign", "log_equity", "drawdown"))
 
 
 @query(
@@ -724,15 +739,14 @@ def outcome_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {views.BARS_SQL}, e as (select distinct asset_class, symbol, make_date(y, 1, 1) as year_start from bars, (select distinct year(session_date) as y from bars)), o as (select distinct asset_class, symbol, date_trunc('year', session_date)::date as year_start from bars)
+    f"""with {views.BARS_SQL}, e as (select asset_class, symbol, week_start from (select distinct asset_class, symbol from bars), (select distinct date_trunc('week', session_date)::date as week_start from bars)), o as (select distinct asset_class, symbol, date_trunc('week', session_date)::date as week_start from bars)
     select * from e except select * from o"""
 )
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instrument-years without a bar: expected less observed."""
+    """Instrument-weeks without a bar: expected less observed."""
     from tidemark.operators.audits import missing_keys
 
-    b = views.bars(spark, sf_dir).select("asset_class", "symbol", F.trunc("session_date", "year").alias("year_start"))
-    years = b.select("year_start").distinct()
-    span = years.agg(F.collect_set("year_start").alias("years"))  # a date a year
-    expected = b.select("asset_class", "symbol").distinct().join(F.broadcast(span)).select("asset_class", "symbol", F.explode("years").alias("year_start"))
-    return missing_keys(expected, b, ["asset_class", "symbol", "year_start"])
+    b = views.bars(spark, sf_dir).select("asset_class", "symbol", F.trunc("session_date", "week").alias("week_start"))
+    span = b.select("week_start").distinct().agg(F.collect_set("week_start").alias("weeks"))  # a date a week
+    expected = b.select("asset_class", "symbol").distinct().join(F.broadcast(span)).select("asset_class", "symbol", F.explode("weeks").alias("week_start"))
+    return missing_keys(expected, b, ["asset_class", "symbol", "week_start"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import conformal as sets
 from tidemark.operators import scores, selection
-from tidemark.plans.panel import _BIN, _CASES, _HIT, _LL, KEY, _base, _r, bank, query, rounded
+from tidemark.plans.panel import _BASE, _BIN, _CASES, _DAY, _HIT, _LL, _RZ, KEY, _base, _r, bank, query, rounded
 from tidemark.scratch import ensure_importable
 from tidemark.sources import views
 
@@ -334,3 +334,58 @@ def yearly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overfit_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe ratio of the daily returns, its penalty for 20 trials, and positive years."""
     return rounded(selection.overfit_figures(_daily(spark, sf_dir), trials=20))
+
+
+# the cross-section with all its columns ------------------------------------------------------------
+
+_CONTEXT = ("ret_1d", "volatility_20", "volume_ratio_20", "range_pct", "price_vs_sma20")
+_FLAGS = {"jp": "asset_class like 'jp\\_%' escape '\\'", "us": "asset_class like 'us\\_%' escape '\\'", "stock": "asset_class like '%\\_stock' escape '\\'", "etf": "asset_class like '%\\_etf' escape '\\'", "reit": "asset_class = 'jp_reit'"}
+_MORE = ("market_median_ret_5d", "market_median_ret_20d", "market_median_vol_20d", "market_dispersion_5d", "market_dispersion_20d", "market_dispersion_vs_20d", "market_ret_iqr_1d", "residual_momentum_20d", "residual_volatility_20d", "sector_ret_1d", "relative_strength_1d", "sector_rank")
+
+
+@query(
+    f"""with {_BASE}, {_DAY}, tagged as (select *, asset_class as sector from base),
+    rolled as (select *, case when count(median_ret) over w5 = 5 then product(1 + median_ret) over w5 - 1 end as market_median_ret_5d, case when count(median_ret) over w20 = 20 then product(1 + median_ret) over w20 - 1 end as market_median_ret_20d,
+      case when count(median_vol) over w20 = 20 then quantile_cont(median_vol, 0.5) over w20 end as market_median_vol_20d, case when count(market_dispersion_1d) over w5 = 5 then quantile_cont(market_dispersion_1d, 0.5) over w5 end as market_dispersion_5d,
+      case when count(market_dispersion_1d) over w20 = 20 then quantile_cont(market_dispersion_1d, 0.5) over w20 end as market_dispersion_20d from day
+      window w5 as (partition by market_family order by session_date rows between 4 preceding and current row), w20 as (partition by market_family order by session_date rows between 19 preceding and current row)),
+    med as (select *, {", ".join(f"quantile_cont({x}, 0.5) over g as m_{x}" for x in _CONTEXT)} from tagged window g as (partition by session_date, market_family)),
+    mad as (select *, {", ".join(f"quantile_cont(abs({x} - m_{x}), 0.5) over g as s_{x}" for x in _CONTEXT)} from med window g as (partition by session_date, market_family)),
+    x as (select m.*, r.* exclude (session_date, market_family), avg(ret_1d) over s as sector_ret_1d,
+      case when ret_1d is not null then (rank() over (partition by session_date, market_family, sector order by ret_1d nulls last) + (count(ret_1d) over (partition by session_date, market_family, sector, ret_1d) - 1) / 2.0::double) / count(ret_1d) over s end as sector_rank
+      from mad m join rolled r using (session_date, market_family) window s as (partition by session_date, market_family, sector)),
+    y as (select *, market_dispersion_1d / nullif(market_dispersion_20d, 0) - 1 as market_dispersion_vs_20d, ret_20d - market_median_ret_20d as residual_momentum_20d, volatility_20 / nullif(market_median_vol_20d, 0) - 1 as residual_volatility_20d, ret_1d - sector_ret_1d as relative_strength_1d from x)
+    select asset_class, symbol, session_date, {", ".join(f"({v})::int::double as asset_is_{k}" for k, v in _FLAGS.items())}, {", ".join(_r(_RZ(x), f"cs_{x}_robust_z") for x in _CONTEXT)}, {", ".join(_r(x, x) for x in _MORE)}
+    from y window g as (partition by session_date, market_family)"""
+)
+def cross_sectional_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of the cross-section; the asset class stands for the sector."""
+    from tidemark.operators import cross
+
+    out = cross.cross_context(_base(spark, sf_dir).withColumn("sector", c("asset_class")))
+    return rounded(out.select(*KEY, *[f"asset_is_{k}" for k in _FLAGS], *[f"cs_{x}_robust_z" for x in _CONTEXT], *_MORE))
+
+
+@query(
+    """with s as (select lag(event_type) over (partition by user_id order by ts, event_id) as a, event_type as b from events), k as (select distinct event_type as t from events), g as (select x.t as from_state, y.t as to_state from k x, k y),
+    n as (select g.*, count(s.b) + 1.0 as n from g left join s on s.a = g.from_state and s.b = g.to_state group by all) select from_state, to_state, round(n / sum(n) over (partition by from_state), 6) as share from n"""
+)
+def smoothed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transition shares between a user's events with every pair counted once more."""
+    e = views.read(spark, sf_dir, "events").withColumn("o", F.struct("ts", "event_id"))
+    states = sorted(r[0] for r in e.select("event_type").distinct().collect())  # a few types
+    return rounded(scores.transition_matrix(e, ["user_id"], "o", "event_type", states), 6)
+
+
+@query(
+    """with k as (select list_sort(list(distinct event_type)) as t from events), r as (select *, lag(event_type) over w as a from events window w as (partition by user_id order by ts, event_id)),
+    p as (select r.event_id, r.user_id, r.event_type, unnest(k.t) as to_state, r.ts, r.a from r, k),
+    h as (select p.event_id, p.event_type, p.to_state, count(q.event_id) + 1.0::double as n from p left join r q on q.user_id = p.user_id and q.a = p.event_type and q.event_type = p.to_state and (q.ts, q.event_id) < (p.ts, p.event_id) group by all),
+    f as (select event_id, to_state, n / sum(n) over (partition by event_id) as share from h) select event_id, round(max(case when to_state = (select t[1] from k) then share end), 6) as first_share, round(max(case when to_state = (select t[2] from k) then share end), 6) as second_share from f group by event_id"""
+)
+def transition_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What followed each event's type before, by user: shares of the first two types in order."""
+    e = views.read(spark, sf_dir, "events").withColumn("o", F.struct("ts", "event_id"))
+    states = sorted(r[0] for r in e.select("event_type").distinct().collect())
+    out = scores.transition_forecasts(e, ["user_id"], "o", "event_type", states)
+    return rounded(out.select("event_id", c("forecast")[0].alias("first_share"), c("forecast")[1].alias("second_share")), 6)
