@@ -578,14 +578,14 @@ def cross_sectional_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     d as (select prediction_date, max(n) as n, avg(outcome) filter (where pct >= 1 - 0.1::double) - avg(outcome) filter (where pct <= 0.1::double) as gross from q where n >= 20 group by all),
     g as (select *, gross - 2 * cost_bps / 10000 as net from d, (select unnest([0.0::double, 5.0::double, 10.0::double, 20.0::double]) as cost_bps)),
     held as (select *, product(1 + coalesce(net, 0)) over (partition by cost_bps order by prediction_date) as equity from g), k as (select *, equity / nullif(max(equity) over (partition by cost_bps order by prediction_date), 0) - 1 as drawdown from held)
-    select prediction_date, cost_bps, n, {_r('gross', 'gross')}, {_r('net', 'net')}, sign(equity)::int as equity_sign, {_r('ln(abs(nullif(equity, 0)))', 'log_equity')}, {_r('drawdown', 'drawdown')} from k"""
+    select prediction_date, cost_bps, n, {_r('gross', 'gross')}, {_r('net', 'net')}, sign(equity)::int as equity_sign, {_r('ln(abs(nullif(equity, 0)))', 'log_equity')}, {_r('ln(1 - drawdown)', 'log_drawdown')} from k"""
 )
 def backtest_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily long/short returns at four costs."""
     p = _predictions(spark, sf_dir).withColumn("rank_score", -c("expected_return_1d"))
     out = cross.backtest(p, views.bars(spark, sf_dir), sleeve=())
-    out = out.withColumns({"equity_sign": F.signum("equity").cast("int"), "log_equity": F.log(F.abs(F.nullif(c("equity"), F.lit(0.0))))})
-    return rounded(out.select("prediction_date", "cost_bps", "n", "gross", "net", "equity_sign", "log_equity", "drawdown"))
+    out = out.withColumns({"equity_sign": F.signum("equity").cast("int"), "log_equity": F.log(F.abs(F.nullif(c("equity"), F.lit(0.0)))), "log_drawdown": F.log(1 - c("drawdown"))})
+    return rounded(out.select("prediction_date", "cost_bps", "n", "gross", "net", "equity_sign", "log_equity", "log_drawdown"))
 
 
 @query(

@@ -28,7 +28,7 @@ def _counts(bank_: str, keys: str, tag: str) -> str:
     {tag}counts as (select {keys}, t, above, n from {tag}seen where ask = 1)"""
 
 
-_SET_COLUMNS = f"""{_r('p0', 'p0', 6)}, {_r('p1', 'p1', 6)}, p0 > 0.1::double as has0, p1 > 0.1::double as has1, (p0 > 0.1::double)::int + (p1 > 0.1::double)::int as set_size"""
+_SET_COLUMNS = f"""{_r('p0', 'p0', 9)}, {_r('p1', 'p1', 9)}, p0 > 0.1::double as has0, p1 > 0.1::double as has1, (p0 > 0.1::double)::int + (p1 > 0.1::double)::int as set_size"""
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +47,7 @@ def conformal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction sets of the second half of each year from the first, by fold and model."""
     cal, test = _halves(spark, sf_dir)
     out = sets.prediction_sets(cal, test, ["fold", "model"])
-    return rounded(out.select(*KEY, "model", "p0", "p1", "has0", "has1", "set_size"), 6)
+    return rounded(out.select(*KEY, "model", "p0", "p1", "has0", "has1", "set_size"), 9)
 
 
 @query(
@@ -61,7 +61,7 @@ def conformal_group_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction sets by asset class, those of all classes where a class has few calibration rows."""
     cal, test = _halves(spark, sf_dir)
     out = sets.group_prediction_sets(cal, test, ["fold", "model"], "asset_class")
-    return rounded(out.select(*KEY, "model", "fallback", "p0", "p1", "has0", "has1", "set_size"), 6)
+    return rounded(out.select(*KEY, "model", "fallback", "p0", "p1", "has0", "has1", "set_size"), 9)
 
 
 @query(
@@ -90,14 +90,14 @@ def conformal_set_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own as (select fold, model, rn, list(case when y = 1 then p1 else p0 end) as covered from v group by all),
     f(fold, model, rn, a) as (select fold, model, rn, 0.1::double from own where rn = 1 union all
       select n.fold, n.model, n.rn, least(greatest(f.a + 0.02 * (0.1::double - len(list_filter(o.covered, lambda x: x <= f.a)) / len(o.covered)), 0.01), 0.5) from f join own o on o.fold = f.fold and o.model = f.model and o.rn = f.rn join own n on n.fold = f.fold and n.model = f.model and n.rn = f.rn + 1)
-    select asset_class, symbol, session_date, v.model, {_r('p0', 'p0', 6)}, {_r('p1', 'p1', 6)}, {_r('a', 'alpha_used', 6)}, (p0 > a)::int + (p1 > a)::int as set_size from v join f on f.fold = v.fold and f.model = v.model and f.rn = v.rn"""
+    select asset_class, symbol, session_date, v.model, {_r('p0', 'p0', 9)}, {_r('p1', 'p1', 9)}, {_r('a', 'alpha_used', 9)}, (p0 > a)::int + (p1 > a)::int as set_size from v join f on f.fold = v.fold and f.model = v.model and f.rn = v.rn"""
 )
 def conformal_adaptive_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction sets whose level and bank of scores follow the sessions."""
     ensure_importable(spark)
     cal, test = _halves(spark, sf_dir)
     out = sets.adaptive_sets(cal, test, ["fold", "model"])
-    return rounded(out.select(*KEY, "model", "p0", "p1", "alpha_used", "set_size"), 6)
+    return rounded(out.select(*KEY, "model", "p0", "p1", "alpha_used", "set_size"), 9)
 
 
 # metrics by quarter, on which the selections work --------------------------------------------------
