@@ -85,12 +85,6 @@ def test_paired_evidence(spark):
     assert s["new"]["n_folds"] == 6 and s["new"]["recent"] < s["new"]["mean"] and s["new"]["signature"] == s["old"]["signature"]
 
 
-def test_adaptive_levels(spark):
-    df = spark.createDataFrame([(1, 0.5), (2, 0.0), (3, 0.1)], "session_date int, miss_rate double")
-    got = [r["alpha_t"] for r in evidence.adaptive_levels(df, 0.1, 0.02).orderBy("session_date").collect()]
-    assert got == pytest.approx([0.1, 0.092, 0.094])
-
-
 def test_row_contract(spark):
     rows = [("2024-01-02T00:00:00Z", "2024-01-01T00:00:00Z", "2024-01-01T00:00:00+00:00"), ("2024-01-02T00:00:00", "2024-01-01T00:00:00Z", "2024-01-01T00:00:01Z"), (None, None, None)]
     got = audits.row_contract(spark.createDataFrame(rows, "prediction_time string, prediction_cutoff string, available_at string")).collect()

@@ -23,9 +23,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, levels: Sequ
     slack = 2.0 / ACCURACY
     asked = [x for q in levels for x in (max(0.0, q - slack), min(1.0, q + slack))]
     sketch = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", asked, ACCURACY).alias("__s"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    few = c("__n") * F.lit(slack) < 2  # a bracket must reach over the neighbours between which the quantile lies
     one = lambda k, q: F.struct(
         F.lit(k).alias("level"), F.lit(float(q)).alias("q"),
-        (F.when(F.lit(q <= slack), c("__min")).otherwise(c("__s")[2 * k])).alias("low"), (F.when(F.lit(q >= 1 - slack), c("__max")).otherwise(c("__s")[2 * k + 1])).alias("high"),
+        F.when(F.lit(q <= slack) | few, c("__min")).otherwise(c("__s")[2 * k]).alias("low"), F.when(F.lit(q >= 1 - slack) | few, c("__max")).otherwise(c("__s")[2 * k + 1]).alias("high"),
     )
     brackets = sketch.select(*[c(k).alias(f"__k_{k}") for k in keys], "__n", F.explode(F.array(*[one(k, q) for k, q in enumerate(levels)])).alias("__b")).select(*[f"__k_{k}" for k in keys], "__n", "__b.*")
     counted = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))

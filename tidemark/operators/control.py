@@ -27,9 +27,10 @@ REGIMES = ("trend_up", "range", "trend_down", "shock", "unknown")
 
 def prior_medians(rows: DataFrame, values: Sequence[str]) -> DataFrame:
     """(fold, m_x and s_x for each value x): exact medians and population deviations over all rows of the earlier folds."""
-    bounds = rows.agg(*[F.min(x).alias(f"lo_{x}") for x in values], *[F.max(x).alias(f"hi_{x}") for x in values]).first()
+    bounds = rows.agg(*[f(x).alias(f"{k}_{x}") for x in values for k, f in (("lo", F.min), ("hi", F.max), ("mid", F.avg))]).first()
     line = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)  # a row a fold
-    per = rows.groupBy("fold").agg(*[y for x in values for y in (F.sum(x).alias(f"a_{x}"), F.sum(c(x) * c(x)).alias(f"q_{x}"), F.count(x).alias(f"n_{x}"))])
+    off = lambda x: c(x) - F.lit(bounds[f"mid_{x}"] or 0.0)  # noqa: E731  sums of squares lose least around the mean
+    per = rows.groupBy("fold").agg(*[y for x in values for y in (F.sum(off(x)).alias(f"a_{x}"), F.sum(off(x) * off(x)).alias(f"q_{x}"), F.count(x).alias(f"n_{x}"))])
     out = per.select("fold", *[
         F.sqrt(F.greatest(ratio(F.sum(f"q_{x}").over(line), F.sum(f"n_{x}").over(line).cast("double")) - ratio(F.sum(f"a_{x}").over(line), F.sum(f"n_{x}").over(line).cast("double")) ** 2, F.lit(0.0))).alias(f"s_{x}") for x in values
     ])

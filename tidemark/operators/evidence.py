@@ -74,20 +74,6 @@ def combinatorial_splits(n: int, groups: int = 6, choose: int = 2, purge: int =
     return out
 
 
-def adaptive_levels(sessions: DataFrame, alpha: float = 0.1, gamma: float = 0.02, session: str = "session_date") -> DataFrame:
-    """(session, alpha_t): the level in force, moved by gamma * (alpha - miss rate) after each session; a fold over sessions."""
-    rows = sessions.agg(F.array_sort(F.collect_list(F.struct(session, "miss_rate"))).alias("rows"))
-
-    def step(acc: Column, row: Column) -> Column:
-        nxt = F.least(F.greatest(acc["a"] + gamma * (alpha - row["miss_rate"]), F.lit(0.001)), F.lit(0.999))
-        return F.struct(nxt.alias("a"), F.concat(acc["out"], F.array(acc["a"])).alias("out"))
-
-    start = F.struct(F.lit(float(alpha)).alias("a"), F.array().cast("array<double>").alias("out"))
-    folded = rows.select("rows", F.aggregate("rows", start, step, lambda acc: acc["out"]).alias("out"))
-    z = folded.select(F.explode(F.arrays_zip(c("rows").alias("r"), c("out").alias("a"))).alias("z"))
-    return z.select(c(f"z.r.{session}").alias(session), c("z.a").alias("alpha_t"))
-
-
 def set_metrics(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Coverage, size, singleton and empty shares of prediction sets (columns has0, has1, y)."""
     size = c("has0").cast("int") + c("has1").cast("int")
@@ -117,14 +103,21 @@ def quantile_metrics(df: DataFrame, keys: Sequence[str], y: str, q: str, level:
     )
 
 
-def fold_summary(metrics: DataFrame, keys: Sequence[str] = ("model",), metric: str = "logloss") -> DataFrame:
-    """Mean, deviation (0 with one fold), recency-weighted mean (weights from 1 to 2 over the folds) and the selection mean of both."""
+def fold_summary(metrics: DataFrame, keys: Sequence[str] = ("model",), metric: str = "logloss", span: tuple[str, str, str] | None = None) -> DataFrame:
+    """Mean, deviation (0 with one fold), recency-weighted mean (weights from 1 to 2 over the folds) and the selection mean of both.
+
+    With a column n its least and largest values are given too. span names the columns of
+    fold, first and last test day; the signature is a digest of these, sorted, so that equal
+    signatures mean the same folds. Without it the fold numbers alone are digested.
+    """
     w = Window.partitionBy(*keys).orderBy("fold")
     n = F.count("*").over(Window.partitionBy(*keys))
     rows = metrics.where(c(metric).isNotNull()).withColumn("__w", F.when(n >= 3, 1 + (F.row_number().over(w) - 1) / (n - 1)).otherwise(1.0))
+    named = F.concat_ws(":", *[c(x).cast("string") for x in span]) if span else c("fold").cast("string")
+    sizes = [F.min("n").alias("n_test_min"), F.max("n").alias("n_test_max")] if "n" in metrics.columns else []
     out = rows.groupBy(*keys).agg(
-        F.count("*").alias("n_folds"), F.avg(metric).alias("mean"), F.coalesce(F.stddev_samp(metric), F.lit(0.0)).alias("std"), (F.sum(c("__w") * c(metric)) / F.sum("__w")).alias("recent"),
-        F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set(c("fold").cast("string"))), ","), 256), 1, 16).alias("signature"),
+        F.count("*").alias("n_folds"), F.avg(metric).alias("mean"), F.coalesce(F.stddev_samp(metric), F.lit(0.0)).alias("std"), (F.sum(c("__w") * c(metric)) / F.sum("__w")).alias("recent"), *sizes,
+        F.substring(F.sha2(F.array_join(F.array_sort(F.collect_set(named)), ","), 256), 1, 16).alias("signature"),
     )
     return out.withColumn("selection", 0.5 * c("mean") + 0.5 * c("recent"))
 

@@ -245,19 +245,3 @@ def markov_transitions(df: DataFrame, keys: Sequence[str], order: str, state: st
     pairs = df.select(F.lag(state).over(line).alias("from_state"), c(state).alias("to_state")).where("from_state is not null and to_state is not null")
     n = pairs.groupBy("from_state", "to_state").count().withColumnRenamed("count", "n")
     return n.withColumn("share", c("n") / F.sum("n").over(Window.partitionBy("from_state")))
-
-
-def experience_sums(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Additive counters (n, correct, logloss, brier) for every value of each dimension, in one pass."""
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), c(d).cast("string").alias("segment")) for d in dimensions]))
-    rows = df.select(each.alias("z"), "y", "p").select("z.*", "y", "p")
-    return rows.groupBy("dimension", "segment").agg(
-        F.count("*").alias("n"), F.sum(F.when((c("p") >= 0.5) == (c("y") == 1), 1).otherwise(0)).alias("correct"),
-        F.sum(log_loss(c("y"), c("p"))).alias("logloss_sum"), F.sum((c("p") - c("y")) ** 2).alias("brier_sum"),
-    )
-
-
-def merge_experience(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Counters of both tables added up."""
-    sums = ("n", "correct", "logloss_sum", "brier_sum")
-    return old.unionByName(new).groupBy("dimension", "segment").agg(*[F.sum(x).alias(x) for x in sums])

@@ -28,14 +28,19 @@ def query(sql: str | None = None):
     return add
 
 
+def _off_half(digits: int) -> float:
+    """A little over a thousandth of the last decimal: an exact half would round either way by the last bit of a sum."""
+    return float(f"1.37e-{digits + 3}")
+
+
 def rounded(df: DataFrame, digits: int = 4, **own: int) -> DataFrame:
-    """Doubles rounded, so that the order in which floats were added does not show."""
-    return df.select(*[F.round(x, own.get(x, digits)).alias(x) if t == "double" else c(x) for x, t in df.dtypes])
+    """Doubles rounded, so that the order in which floats were added does not show, and moved off exact halves first."""
+    return df.select(*[F.round(c(x) + F.lit(_off_half(own.get(x, digits))), own.get(x, digits)).alias(x) if t == "double" else c(x) for x, t in df.dtypes])
 
 
 def _r(expr: str, name: str, digits: int = 4) -> str:
     """Rounded as Spark rounds: without a negative zero."""
-    return f"round({expr}, {digits}) + 0::double as {name}"
+    return f"round(({expr}) + {_off_half(digits)!r}, {digits}) + 0::double as {name}"
 
 
 def _full(agg: str, x: str, n: int) -> str:
@@ -484,7 +489,7 @@ def online_experts_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {_CASES}, cal as (select fold, abs(y - p) as score from bank where model = 'momentum' and month(session_date) <= 6), test as (select *, abs(y - p) as score from bank where model = 'momentum' and month(session_date) > 6),
     both_ as (select fold, score, 1 as k, null as row_id from cal union all select fold, score, 0, symbol || '|' || session_date from test)
-    select row_id, fold, round((1 + n_above) / (n + 1), 6) as p_value from (select *, sum(k) over (partition by fold order by score desc range unbounded preceding) as n_above, sum(k) over (partition by fold) as n from both_) where k = 0"""
+    select row_id, fold, {_r('(1 + n_above) / (n + 1)', 'p_value', 6)} from (select *, sum(k) over (partition by fold order by score desc range unbounded preceding) as n_above, sum(k) over (partition by fold) as n from both_) where k = 0"""
 )
 def conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split conformal p-values by fold."""
@@ -496,7 +501,7 @@ def conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {_BASE}, w as (select *, list(abs(ret_1d)) filter (where ret_1d is not null) over (partition by symbol order by session_date rows between 252 preceding and 1 preceding) as b from base)
-    select asset_class, symbol, session_date, round(case when len(b) >= 200 then list_sort(b)[least(ceil((len(b) + 1) * (1 - 0.2::double)), len(b))::int] end, 4) as half_width from w"""
+    select asset_class, symbol, session_date, {_r('case when len(b) >= 200 then list_sort(b)[least(ceil((len(b) + 1) * (1 - 0.2::double)), len(b))::int] end', 'half_width')} from w"""
 )
 def residual_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conservative quantile of the last 252 absolute residuals before each row."""
@@ -521,15 +526,6 @@ def error_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.error_overlap(bank(spark, sf_dir), KEY))
 
 
-@query(
-    f"""with {_CASES}, long as (select unnest([{{'d': 'model', 's': model}}, {{'d': 'asset_class', 's': asset_class}}, {{'d': 'fold', 's': fold::varchar}}]) as z, y, p from bank)
-    select z.d as dimension, z.s as segment, count(*) as n, sum(case when (p >= 0.5) = (y = 1) then 1 else 0 end)::bigint as correct, round(sum({_LL}), 2) as logloss_sum, round(sum((p - y) ** 2), 2) as brier_sum from long group by all"""
-)
-def experience_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Additive counters over several dimensions."""
-    return rounded(scores.experience_sums(bank(spark, sf_dir), ["model", "asset_class", "fold"]), 2)
-
-
 @query(
     f"""with {_CASES}, m as (select fold, model, avg({_LL}) as logloss from bank group by all), t as (select distinct fold as t from m),
     w as (select t, model, power(0.5, (t - fold) / 2.0::double) as w, logloss from m, t where fold < t), g as (select t, model, sum(w * logloss) / sum(w) as mu, sum(w * logloss * logloss) / sum(w) as q, count(*) as n_prior from w group by all)
@@ -696,19 +692,6 @@ def fold_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fold_summary(m))
 
 
-@query(
-    f"""with recursive {_CASES}, s as (select session_date, avg(({_HIT}) * -1 + 1) as miss, row_number() over (order by session_date) as rn from bank where model = 'momentum' group by session_date),
-    f(rn, session_date, a) as (select rn, session_date, 0.1::double from s where rn = 1 union all select n.rn, n.session_date, least(greatest(f.a + 0.02 * (0.1::double - p.miss), 0.001), 0.999) from f join s p on p.rn = f.rn join s n on n.rn = f.rn + 1)
-    select session_date, {_r('a', 'alpha_t', 6)} from f"""
-)
-def adaptive_conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conformal level moved after each session by its miss rate."""
-    from tidemark.operators.evidence import adaptive_levels
-
-    miss = F.avg(F.when((c("p") >= 0.5) == (c("y") == 1), 0.0).otherwise(1.0)).alias("miss_rate")
-    return rounded(adaptive_levels(bank(spark, sf_dir).where("model = 'momentum'").groupBy("session_date").agg(miss)), 6)
-
-
 @query(
     f"""with {_BASE}, l as (select *, -2 * volatility_20 as lo, 2 * volatility_20 as hi, lead(ret_1d) over (partition by symbol order by session_date) as y from base), m as (select *, greatest(lo - y, 0) + greatest(y - hi, 0) as miss from l where y is not null and lo is not null)
     select asset_class, count(*) as n, {_r('avg((hi - lo) + 2 / 0.2::double * miss)', 'interval_score')}, {_r('avg((miss = 0)::int)', 'coverage')}, {_r('avg(hi - lo)', 'width')}, {_r('avg((miss >= 0.05)::int)', 'severe_miss')} from m group by asset_class"""
