@@ -39,13 +39,25 @@ def test_lower_case_words_of_a_slice():
     assert [a[k] for k in whole.codes[whole.offsets[41] : whole.offsets[91]]] == [b[k] for k in part.codes]
 
 
-def test_word_encoder_forgets_but_stays_right():
+@pytest.mark.parametrize("places,most", [(5, 100), (1 << 10, 40), (1 << 10, 1 << 20), (4, 3)])
+def test_word_encoder_forgets_but_stays_right(places, most):
+    rng = random.Random(places * most)
     calls = []
-    enc = common.WordEncoder(lambda w: calls.append(len(w)) or [common.pack_ids([len(x)]) for x in w], limit=5)
-    for n in range(40):
-        vocab = pa.array([("w" * (k + 1)) for k in range(n % 9)])
-        ids, lengths = enc(vocab)
-        assert ids.tolist() == [k + 1 for k in range(n % 9)] and set(lengths.tolist()) <= {1}
+    enc = common.WordEncoder(common.each_word(lambda words: calls.append(len(words)) or [list(range(len(w) % 5)) + [len(w)] for w in words]), places, most)
+    for _ in range(60):
+        vocab = [("w" * rng.randint(0, 30)) + rng.choice(["", "é", "日" * 90]) for _ in range(rng.randint(0, 12))]
+        vocab = list(dict.fromkeys(vocab))
+        ids, lengths = enc(pa.array(vocab, pa.large_string()))
+        assert ids.tolist() == [x for w in vocab for x in [*range(len(w) % 5), len(w)]] and lengths.tolist() == [len(w) % 5 + 1 for w in vocab]
+    assert places < 1000 or most < 100 or sum(calls) <= 2 * 31 * 3  # a few share a place
+
+
+def test_word_hashes_tell_words_apart():
+    vocab = ["", "a", "a\x00", "a\x00\x00", "b", "abcdefgh", "abcdefgh\x00", "abcdefghi", "x" * 255, "x" * 256, "x" * 257, "x" * 300 + "y", "x" * 300 + "z", "é", "日本"]
+    whole = common.word_hashes(pa.array(vocab, pa.large_string()))
+    assert len(set(whole[0].tolist())) == len(set(whole[1].tolist())) == len(vocab)
+    part = common.word_hashes(pa.array(["zz", *vocab], pa.large_string()).slice(1))
+    assert (whole == part).all()
 
 
 @pytest.mark.parametrize("widths", [(8, 8, 16), (4, 12, 16), (16, 16)])
@@ -169,7 +181,7 @@ def test_suffix_sorting_against_counting():
                 assert all(home.setdefault(p[i : i + 40], k) == k for i in range(s, s + m))
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 500])
+@pytest.mark.parametrize("hot", [1 << 18, 500])
 def test_repeats_against_counting(spark, small, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
     docs = common.documents(spark, small).select("doc_id", "text")

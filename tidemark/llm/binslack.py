@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import DocumentIds, bpe_encoder, chunks, tokenizer_path
+from tidemark.llm.common import DocumentIds, bpe_encoder, chunks, lean, tokenizer_path
 from tidemark.scratch import ensure_importable, table
 
 
+#: Pieces in a shard, on average.
+SHARD_ROWS = 1 << 19
+
+
 def fullest(available: list[tuple[int, int]], capacity: int) -> list[tuple[int, int]]:
     """Combination of lengths with the largest sum up to capacity.
 
@@ -116,13 +120,9 @@ def pack(
     spark = docs.sparkSession
     ensure_importable(spark)
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16)
-    pieces = table(
-        token_pieces(docs, id_col, text_col, path, end_id, capacity).withColumn(
-            "shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")
-        ),
-        "pack-pieces",
-    )
+    pieces = table(token_pieces(docs, id_col, text_col, path, end_id, capacity), "pack-pieces")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16, -(-pieces.count() // SHARD_ROWS))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
     counts = table(pieces.groupBy("length", "shard").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plans = plan_bins(histogram, capacity)
@@ -152,6 +152,7 @@ def pack(
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         plan = shared.value
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False)

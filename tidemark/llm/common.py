@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
-import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,30 @@ from pyspark.sql import functions as F
 from tidemark.scratch import ensure_importable
 
 #: Bytes of text handled at once inside one Arrow batch.
-CHUNK_BYTES = 6 << 20
-#: Words in one generation of a worker's cache of token ids.
-CACHE_WORDS = 350_000
+CHUNK_BYTES = 4 << 20
+#: Places in a worker's cache of words, and ids that it holds before it starts anew: 40 MB in all.
+CACHE_WORDS, CACHE_IDS = 1 << 19, 5 << 20
+
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """The object of this key, kept in this worker until another operator's task begins here."""
+    if key not in _resident:
+        lean()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def lean() -> None:
+    """Give back to the system what earlier tasks of this worker kept: called as a task begins that has no use for it."""
+    _resident.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,46 +123,102 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Two independent 64-bit hashes of each of an array of strings, eight bytes of all words at a time."""
+    import xxhash
+
+    data, ends = utf8_bytes(words.cast(pa.large_string()))
+    raw = np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
+    eight = np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))
+    start, size = ends[:-1], np.diff(ends)
+    out = np.stack([size.astype(np.uint64) * _M1, ~size.astype(np.uint64) * _M2])
+    at, skip = np.arange(len(size)), 0
+    while skip < 256:
+        at = at[size[at] > skip]
+        if not len(at):
+            break
+        left = np.minimum(size[at] - skip, 8).astype(np.uint64)
+        part = eight[start[at] + skip] & (~np.uint64(0) >> ((np.uint64(8) - left) * np.uint64(8)))
+        for k, (m, turn) in enumerate(((_M1, 29), (_M2, 31))):
+            x = (out[k, at] ^ part) * m
+            x ^= x >> np.uint64(turn)
+            out[k, at] = x * (_M2 if k == 0 else _M1)
+        skip += 8
+    for i in at[size[at] > skip].tolist():  # the rest of very long words
+        rest = raw[start[i] + skip : ends[i + 1]]
+        out[0, i] ^= np.uint64(xxhash.xxh3_64_intdigest(rest))
+        out[1, i] ^= np.uint64(xxhash.xxh64_intdigest(rest))
+    out ^= out >> np.uint64(32)
+    return out
+
+
 class WordEncoder:
     """Ids of words under a tokenizer that never joins text across ASCII white space.
 
-    encode maps a list of words to a list of packed ids (bytes of uint32). Ids are kept in
-    two generations of at most limit words each: when the young one is full it replaces the
-    old one, and words found in the old one move up. So memory stays bounded whatever the
-    vocabulary of the corpus, and frequent words stay.
+    encode maps an array of words to their ids, one after the other, and the number of ids of
+    each. What it gave is kept in a table of fixed size with one place for each hash, so
+    memory is bounded whatever the vocabulary of the corpus: a word gives way to a later one
+    of the same place, and all give way when the ids kept pass a limit. Words are told apart
+    by 128 bits of hash.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_WORDS):
-        self._encode, self._limit, self._young, self._old = encode, limit, {}, {}
-
-    def packed(self, words: list[str]) -> list[bytes]:
-        young, old = self._young, self._old
-        missing = [w for w in words if w not in young]
-        if missing and len(young) + len(missing) > self._limit:
-            old = self._old = young
-            young = self._young = {}
-            missing = words
-        fresh = []
-        for w in missing:
-            found = old.get(w)
-            if found is None:
-                fresh.append(w)
-            else:
-                young[w] = found
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            young.update(zip(part, self._encode(part), strict=True))
-        return [young[w] for w in words]
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], places: int = CACHE_WORDS, most: int = CACHE_IDS):
+        self._encode, self._bits, self._most = encode, max(places - 1, 1).bit_length(), most
+        self._keys = np.zeros((2, 1 << self._bits), np.uint64)
+        self._at, self._n = np.zeros(1 << self._bits, np.int32), np.zeros(1 << self._bits, np.int32)
+        self._pool, self._used = np.zeros(min(most, 1 << 16), np.uint32), 0
+
+    def _keep(self, place: np.ndarray, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        if len(ids) > self._most:
+            return
+        if self._used + len(ids) > self._most:
+            self._keys[:], self._used = 0, 0
+        while len(self._pool) < self._used + len(ids):
+            self._pool = np.concatenate([self._pool, np.zeros(min(len(self._pool), self._most - len(self._pool)), np.uint32)])
+        self._pool[self._used : self._used + len(ids)] = ids
+        last = np.full(1 << self._bits, -1, np.int32)  # of words that share a place, one is kept
+        last[place] = np.arange(len(place))
+        one = last[place] == np.arange(len(place))
+        self._keys[:, place[one]] = hashes[:, one]
+        self._at[place[one]] = (self._used + np.cumsum(lengths) - lengths)[one]
+        self._n[place[one]] = lengths[one]
+        self._used += len(ids)
 
     def __call__(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words of vocab concatenated, number of ids of each word)."""
-        rows = self.packed(vocab.to_pylist())
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        return np.frombuffer(b"".join(rows), np.uint32), lengths
+        hashes = word_hashes(vocab)
+        place = (hashes[0] >> np.uint64(64 - self._bits)).astype(np.int64)
+        hit = (self._keys[0, place] == hashes[0]) & (self._keys[1, place] == hashes[1])
+        lengths = np.where(hit, self._n[place], 0).astype(np.int64)
+        known = self._pool[ragged(self._at[place[hit]].astype(np.int64), lengths[hit])]
+        miss = np.flatnonzero(~hit)
+        if not len(miss):
+            return known, lengths
+        ids, n = self._encode(vocab.take(pa.array(miss)))
+        lengths[miss] = n
+        starts = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.uint32)
+        out[ragged(starts[hit], lengths[hit])] = known
+        out[ragged(starts[miss], lengths[miss])] = ids
+        self._keep(place[miss], hashes[:, miss], ids, lengths[miss])
+        return out, lengths
 
 
-def pack_ids(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+def each_word(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """encode for WordEncoder from a function of a list of words."""
+
+    def run(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = array("I"), []
+        for at in range(0, len(words), 20_000):
+            for one in encode(words.slice(at, 20_000).to_pylist()):
+                ids.extend(one)
+                lengths.append(len(one))
+        return np.frombuffer(ids, np.uint32) if len(ids) else np.zeros(0, np.uint32), np.array(lengths, np.int64)
+
+    return run
 
 
 def tokenizer_path(name: str) -> str:
@@ -151,17 +228,20 @@ def tokenizer_path(name: str) -> str:
 
 
 #: A run of letters whose lower case is one letter each, and one mark: two pre-tokens at most.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,;:!?]?)")
+_PLAIN = "^(?P<stem>[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)(?P<mark>[.,;:!?]?)$"
 
 
-@lru_cache(maxsize=2)
 def bpe_encoder(path: str) -> WordEncoder:
     """Word-wise encoder for a tokenizers file that drops white space and marks word ends.
 
-    Kept for the life of a worker, so tasks share its cache. Plain words are lower-cased,
-    parted from a closing mark and encoded many in one call; the ids that end a word tell
-    them apart again. All other words are encoded one by one.
+    Resident in a worker, so tasks share its cache. Plain words are lower-cased, parted from
+    a closing mark and encoded many in one call; the ids that end a word tell them apart
+    again. All other words are encoded one by one.
     """
+    return resident(("bpe", path), lambda: _bpe_encoder(path))
+
+
+def _bpe_encoder(path: str) -> WordEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -170,40 +250,54 @@ def bpe_encoder(path: str) -> WordEncoder:
     spec = json.loads(model.to_str())
     suffix = spec["model"].get("end_of_word_suffix")
     lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-
-    def one_by_one(words: list[str]) -> list[bytes]:
-        return [pack_ids(e.ids) for e in fast(words, add_special_tokens=False)]
-
+    one_by_one = each_word(lambda words: [e.ids for e in fast(words, add_special_tokens=False)])
     if not (suffix and lowers):
         return WordEncoder(one_by_one)
     vocab = model.get_vocab()
     ends = np.zeros(max(vocab.values()) + 1, bool)
     ends[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
-    marks = {m: pack_ids(model.encode(m, add_special_tokens=False).ids) for m in ".,;:!?"} | {"": b""}
-
-    def together(words: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(words), 2_000):
-            part = words[at : at + 2_000]
-            ids = np.array(model.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            cut = (np.flatnonzero(ends[ids]) + 1) * 4
-            if len(cut) != len(part):
-                out += one_by_one(part)
-                continue
-            raw, start = ids.tobytes(), 0
-            for stop in cut.tolist():
-                out.append(raw[start:stop])
-                start = stop
-        return out
+    marks = [m for m in ".,;:!?" if len(model.encode(m, add_special_tokens=False).ids) == 1]
+    mark_ids = np.array([model.encode(m, add_special_tokens=False).ids[0] for m in marks], np.uint32)
+
+    def together(stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [], []
+        for at in range(0, len(stems), 2_000):
+            part = stems.slice(at, 2_000)
+            got = np.array(model.encode(" ".join(part.to_pylist()), add_special_tokens=False).ids, np.uint32)
+            stop = np.flatnonzero(ends[got]) + 1
+            if len(stop) != len(part):
+                got, n = one_by_one(part)
+            else:
+                n = np.diff(stop, prepend=0)
+            ids.append(got)
+            lengths.append(n)
+        return np.concatenate(ids), np.concatenate(lengths).astype(np.int64)
 
     stems = WordEncoder(together)
 
-    def encode(words: list[str]) -> list[bytes]:
-        plain = [_PLAIN.fullmatch(w) for w in words]
-        stem = stems.packed([m[1].lower() for m in plain if m])
-        rest = iter(one_by_one([w for w, m in zip(words, plain, strict=True) if not m]))
-        known = iter(stem)
-        return [next(known) + marks[m[2]] if m else next(rest) for m in plain]
+    def encode(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.extract_regex(words, pattern=_PLAIN)
+        mark = pc.index_in(pc.struct_field(split, "mark"), pa.array(["", *marks], words.type))
+        plain = pc.is_valid(mark).to_numpy(zero_copy_only=False)
+        at, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        lengths = np.zeros(len(words), np.int64)
+        if len(at):
+            coded = pc.utf8_lower(pc.struct_field(split, "stem").take(pa.array(at))).dictionary_encode()
+            flat, n = stems(coded.dictionary)
+            stem, closing = coded.indices.to_numpy().astype(np.int64), mark.take(pa.array(at)).to_numpy().astype(np.int64)
+            first = (np.cumsum(n) - n)[stem]
+            lengths[at] = n[stem] + (closing > 0)
+        if len(other):
+            rest, lengths[other] = one_by_one(words.take(pa.array(other)))
+        starts = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.uint32)
+        if len(at):
+            out[ragged(starts[at], n[stem])] = flat[ragged(first, n[stem])]
+            closed = closing > 0
+            out[starts[at][closed] + n[stem][closed]] = mark_ids[closing[closed] - 1]
+        if len(other):
+            out[ragged(starts[other], lengths[other])] = rest
+        return out, lengths
 
     return WordEncoder(encode)
 

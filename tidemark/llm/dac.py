@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import DocumentIds, bpe_encoder, chunks, tokenizer_path
+from tidemark.llm.common import DocumentIds, bpe_encoder, chunks, lean, tokenizer_path
 from tidemark.scratch import ensure_importable, table
 
 MAGIC, BLOCK = b"DAC1", 512
+#: Bytes of text that one part is to hold.
+PART_BYTES = 64 << 20
 #: Chunk widths: ids below 2**8, 2**16 and 2**32 take one, two and three chunks.
 WIDTHS = (8, 8, 16)
 
@@ -144,14 +146,20 @@ def write_ids(
     Rows are (part, segment, doc_ids, n_tokens, image): part and segment give the order,
     doc_ids names the documents of a segment, image is the segment in this module's format.
     The images live in a binary Parquet column, so any store that Spark writes will do, and
-    a lost executor costs only its own parts. A null or empty text is the end id alone, null
-    ids come first, repeated ids stand beside each other ordered by a hash of their texts.
+    a lost executor costs only its own parts. Without partitions, there are as many parts as
+    the texts' bytes ask for, but no fewer than spark.sql.shuffle.partitions. A null or empty
+    text is the end id alone, null ids come first, repeated ids stand beside each other
+    ordered by a hash of their texts, and may share several parts. Other columns of docs are
+    left out. An empty table gives an empty segment table.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
     vocabulary = tokenizer or tokenizer_path("word_bpe_49k.json")
     id_type = docs.schema[id_col].dataType.simpleString()
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions
+    if not n:
+        volume = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // PART_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -171,7 +179,7 @@ def write_ids(
 
     ordered = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
     images = ordered.mapInArrow(encode, f"part int, segment int, doc_ids array<{id_type}>, n_tokens long, image binary")
@@ -201,6 +209,7 @@ def read_ids(segments: DataFrame) -> DataFrame:
     )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for base, names, image in zip(batch.column("base").to_pylist(), batch.column("doc_ids"), batch.column("image"), strict=True):
                 segment = Segment(image.as_py())
