@@ -1,9 +1,16 @@
-"""Quality rules from tokeniser fertility, beside word-repetition rules."""
+"""Quality rules from tokeniser fertility, beside word-repetition rules.
+
+Two public vocabularies read every text: a sentencepiece model with byte fallback and a
+multilingual byte-level one. Each gives characters per token, the share of tokens that stand
+for a single byte outside ASCII, and the entropy of its tokens. A document is rejected where
+a measure leaves the band of the document's script.
+"""
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordEncoder, Words, chunks, pack_ids, ragged, texts_of, tokenizer_path, utf8_bytes
+from tidemark.llm.common import WordEncoder, Words, chunks, each_word, ragged, resident, texts_of, tokenizer_path, utf8_bytes
 from tidemark.scratch import ensure_importable
 
 #: Scripts told apart, by ranges of code points; letters elsewhere count as other.
@@ -31,29 +38,38 @@ _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 
 
+#: Names of the vocabularies and their files.
+VOCABULARIES = {"piece": "piece_bpe_32k.model", "multi": "byte_bpe_multi_50k.tiktoken"}
+#: Tokens in a window of which the entropy is taken; characters at which a word is cut for a byte-level vocabulary.
+SPAN, LONGEST = 64, 512
+
+
 @dataclass(frozen=True)
 class Band:
-    """A document is kept while each measure lies in its closed interval.
+    """Closed intervals of the measures of one vocabulary.
 
-    chars_per_token and byte_share come from the byte-fallback vocabulary, entropy (bits)
-    from the same tokens' distribution in the document, divided by the logarithm of the
-    number of tokens, so that it does not depend on length. symbol_share is the share of
-    tokens that hold no letter or digit.
+    chars_per_token: characters of words per token. byte_share: share of tokens that are a
+    single byte outside ASCII. entropy: mean over windows of SPAN tokens of the entropy of
+    their distribution, in parts of the most that a window of that length can have, so that
+    it does not fall with the length of the document.
     """
 
-    chars_per_token: tuple[float, float] = (1.0, 8.0)
-    byte_share: tuple[float, float] = (0.0, 0.2)
-    entropy: tuple[float, float] = (0.3, 1.0)
-    symbol_share: tuple[float, float] = (0.0, 1.0)
+    chars_per_token: tuple[float, float]
+    byte_share: tuple[float, float]
+    entropy: tuple[float, float]
+
 
+MEASURES = tuple(f.name for f in fields(Band))
 
-#: Rejection bands by script; "other" holds for documents of any other or no script.
-BANDS: dict[str, Band] = {
-    "latin": Band((1.5, 6.0), (0.0, 0.02), (0.42, 1.0), (0.0, 0.17)),
-    "cyrillic": Band((1.2, 6.0), (0.0, 0.05), (0.40, 1.0), (0.0, 0.30)),
-    "greek": Band((0.9, 4.0), (0.0, 0.25), (0.40, 1.0), (0.0, 0.30)),
-    "cjk": Band((0.4, 3.0), (0.0, 0.75), (0.40, 1.0), (0.0, 0.30)),
-    "other": Band((0.25, 6.0), (0.0, 1.0), (0.30, 1.0), (0.0, 0.40)),
+#: Bands by script and vocabulary. Those of latin script hold all but about a thousandth of the
+#: clean texts of four languages on either side (see bands_of) and leave room for plainer
+#: prose, which has more characters a token; "other" holds for any other or no script.
+BANDS: dict[str, dict[str, Band]] = {
+    "latin": {"piece": Band((1.6, 6.5), (0.0, 0.02), (0.83, 0.99)), "multi": Band((1.7, 7.0), (0.0, 0.05), (0.835, 0.99))},
+    "cyrillic": {"piece": Band((1.2, 6.0), (0.0, 0.05), (0.75, 0.99)), "multi": Band((1.0, 7.0), (0.0, 0.2), (0.75, 0.99))},
+    "greek": {"piece": Band((0.7, 4.0), (0.0, 0.25), (0.65, 0.99)), "multi": Band((0.7, 6.0), (0.0, 0.3), (0.65, 0.99))},
+    "cjk": {"piece": Band((0.35, 3.0), (0.0, 0.8), (0.6, 1.0)), "multi": Band((0.35, 4.0), (0.0, 0.8), (0.6, 1.0))},
+    "other": {"piece": Band((0.25, 6.5), (0.0, 1.0), (0.5, 1.0)), "multi": Band((0.25, 7.0), (0.0, 1.0), (0.5, 1.0))},
 }
 
 
@@ -66,16 +82,35 @@ def _script_table() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=2)
-def piece_encoder(path: str) -> tuple[WordEncoder, np.ndarray, np.ndarray]:
-    """Word-wise encoder of a sentencepiece model; which ids are bytes; which hold no letter or digit."""
+def vocabulary_encoder(path: str) -> tuple[WordEncoder, np.ndarray]:
+    """Word-wise encoder of a sentencepiece or tiktoken file, and which of its ids are a single byte outside ASCII."""
+    return _piece_encoder(path) if path.endswith(".model") else _byte_encoder(path)
+
+
+def _piece_encoder(path: str) -> tuple[WordEncoder, np.ndarray]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = model.get_piece_size()
-    is_byte = np.array([model.is_byte(i) for i in range(n)])
-    symbol = np.array([not any(c.isalnum() for c in model.id_to_piece(i)) for i in range(n)]) & ~is_byte
-    return WordEncoder(lambda words: [pack_ids(x) for x in model.encode(words, num_threads=1)]), is_byte, symbol
+    is_byte = np.array([model.is_byte(i) and int(model.id_to_piece(i)[1:-1], 16) > 127 for i in range(model.get_piece_size())])
+    return WordEncoder(each_word(lambda words: model.encode(words, num_threads=1))), is_byte
+
+
+def _byte_encoder(path: str) -> tuple[WordEncoder, np.ndarray]:
+    """Words are encoded with a blank before them, long ones in parts, as the merges of a long run take quadratic time."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    is_byte = np.zeros(max(ranks.values()) + 1, bool)
+    is_byte[[i for piece, i in ranks.items() if len(piece) == 1 and piece[0] > 127]] = True
+    one = model.encode_ordinary
+
+    def encode(words: list[str]) -> list[list[int]]:
+        return [one(" " + w) if len(w) <= LONGEST else [i for at in range(0, len(w), LONGEST) for i in one(w[at : at + LONGEST])] for w in words]
+
+    return WordEncoder(each_word(encode)), is_byte
 
 
 def _repeat_lines(text: str) -> int:
@@ -85,10 +120,35 @@ def _repeat_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def measure(texts: pa.Array, encoder: WordEncoder, is_byte: np.ndarray, symbol: np.ndarray, scripts: np.ndarray) -> dict:
-    """Measures of each text as numpy columns."""
-    texts = texts_of(texts)
-    words = Words(texts)
+def fertility(words: Words, encoder: WordEncoder, is_byte: np.ndarray, word_chars: np.ndarray) -> dict[str, np.ndarray]:
+    """The measures of Band for each text."""
+    n, codes = len(words.counts), words.codes
+    flat, lengths = encoder(words.vocab)
+    starts = np.cumsum(lengths) - lengths
+    before = np.concatenate([[0], np.cumsum(lengths[codes])])[words.offsets]
+    tokens = np.diff(before)
+    ids = flat[ragged(starts[codes], lengths[codes])].astype(np.int64)
+    byte = np.concatenate([[0], np.cumsum(is_byte[ids])])[before]
+
+    # windows of SPAN tokens tile a text; a rest of up to half a window stands only for itself
+    spans = np.maximum(-(-(tokens - SPAN // 2) // SPAN), np.minimum(tokens, 1))
+    first = np.cumsum(spans) - spans
+    at = np.arange(len(ids)) - np.repeat(before[:-1], tokens)
+    inside = at < np.repeat(spans * SPAN, tokens)
+    window = (at // SPAN + np.repeat(first, tokens))[inside]
+    size = np.bincount(window, minlength=int(spans.sum()))
+    key = np.sort(window * len(is_byte) + ids[inside])
+    edge = np.flatnonzero(np.diff(key, prepend=-1))
+    times = np.diff(np.append(edge, len(key)))
+    spent = np.bincount(key[edge] // len(is_byte), weights=times * np.log2(times), minlength=len(size))
+    most = np.log2(np.maximum(size, 2))
+    entropy = np.bincount(np.repeat(np.arange(n), spans), weights=np.clip((np.log2(np.maximum(size, 1)) - spent / np.maximum(size, 1)) / most, 0, 1), minlength=n)
+    total = np.maximum(tokens, 1)
+    return {"chars_per_token": word_chars / total, "byte_share": np.diff(byte) / total, "entropy": entropy / np.maximum(spans, 1)}
+
+
+def word_measures(words: Words, texts: pa.Array) -> dict[str, np.ndarray]:
+    """Counts of words, their characters, symbols, repeated lines and repeated words of each text; and its script."""
     n = len(words.counts)
     doc = words.doc_of_word()
     sums = lambda values: np.bincount(doc, weights=values, minlength=n).astype(np.int64)
@@ -120,28 +180,8 @@ def measure(texts: pa.Array, encoder: WordEncoder, is_byte: np.ndarray, symbol:
             covered[hit + k] = True
     out["n_repeat_words"] = sums(covered[: len(codes)])
 
-    flat, lengths = encoder(words.vocab)
-    starts = np.cumsum(lengths) - lengths
-    share = lambda flags: np.add.reduceat(np.append(flags[flat], 0), starts) * (lengths > 0) if len(lengths) else lengths
-    tokens = sums(lengths[words.codes])
-    out["n_tokens"] = tokens
-    out["n_byte_tokens"] = sums(share(is_byte)[words.codes])
-    out["n_symbol_tokens"] = sums(share(symbol)[words.codes])
-    ids = flat[ragged(starts[words.codes], lengths[words.codes])].astype(np.int64)
-    key = np.repeat(doc, lengths[words.codes]).astype(np.int64) * len(is_byte) + ids
-    key.sort()
-    edge = np.flatnonzero(np.diff(key, prepend=-1))
-    times = np.diff(np.append(edge, len(key)))
-    owner = key[edge] // len(is_byte)
-    total = np.maximum(tokens, 1)
-    plogp = np.bincount(owner, weights=times * np.log2(times), minlength=n) if len(key) else np.zeros(n)
-    bits = np.log2(total) - plogp / total
-    out["entropy"] = np.where(tokens > 1, np.clip(bits / np.maximum(np.log2(total), 1e-9), 0, 1), 0.0)
-    out["chars_per_token"] = out["word_chars"] / total
-    out["byte_share"] = out["n_byte_tokens"] / total
-    out["symbol_share"] = out["n_symbol_tokens"] / total
-
     # the script most letters belong to, counted by distinct word
+    scripts = _script_table()
     points = np.frombuffer("".join(words.vocab.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = scripts[np.minimum(points, len(scripts) - 1)]
     best, most = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -155,36 +195,39 @@ def measure(texts: pa.Array, encoder: WordEncoder, is_byte: np.ndarray, symbol:
 
 
 LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MEASURES = ("chars_per_token", "byte_share", "entropy", "symbol_share")
 
 
-def _judge(vocabulary: str | None, bands: Mapping[str, Band] | None, min_words: int, max_repeat_percent: int):
-    """Function of an array of texts: (measures, base_failed, kept)."""
-    path = vocabulary or tokenizer_path("piece_bpe_32k.model")
-    bands = dict(bands or BANDS)
-    limits = np.array(
-        [[*b.chars_per_token, *b.byte_share, *b.entropy, *b.symbol_share] for b in (bands.get(s, bands["other"]) for s in ("other", *SCRIPTS))]
-    )
+class _Judge:
+    """Measures and verdict of an array of texts."""
 
-    def judge(texts: pa.Array) -> tuple[dict, np.ndarray, np.ndarray]:
-        encoder, is_byte, symbol = piece_encoder(path)
-        m = measure(texts, encoder, is_byte, symbol, _script_table())
-        failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
-        low_high = limits[m["script"]]
-        kept = ~failed
-        for k, c in enumerate(MEASURES):
-            kept &= (m[c] >= low_high[:, 2 * k]) & (m[c] <= low_high[:, 2 * k + 1])
-        return m, failed, kept
+    def __init__(self, vocabularies: Mapping[str, str] | None, bands: Mapping[str, Mapping[str, Band]] | None, min_words: int, max_repeat_percent: int):
+        self.paths = dict(vocabularies or {k: tokenizer_path(v) for k, v in VOCABULARIES.items()})
+        bands = dict(bands or BANDS)
+        self.min_words, self.max_repeat_percent = min_words, max_repeat_percent
+        self.scripts = ["other", *SCRIPTS]
+        self.names = [f"{v}_{m}" for v in self.paths for m in MEASURES]
+        self.limits = np.array([[getattr(bands.get(s, bands["other"])[v], m) for v in self.paths for m in MEASURES] for s in self.scripts])
 
-    return judge
+    def __call__(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        texts = texts_of(texts)
+        words = Words(texts)
+        out = word_measures(words, texts)
+        encoders = resident(("fertility", *self.paths.values()), lambda: [vocabulary_encoder(p) for p in self.paths.values()])
+        for v, (encoder, is_byte) in zip(self.paths, encoders, strict=True):
+            out |= {f"{v}_{m}": x for m, x in fertility(words, encoder, is_byte, out["word_chars"]).items()}
+        out["base_failed"] = (out["n_words"] < self.min_words) | (100 * out["n_repeat_words"] > self.max_repeat_percent * out["n_words"])
+        band = self.limits[out["script"]]
+        out["outside"] = np.column_stack([(out[c] < band[:, k, 0]) | (out[c] > band[:, k, 1]) for k, c in enumerate(self.names)])
+        out["kept"] = ~out["base_failed"] & ~out["outside"].any(1)
+        return out
 
 
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vocabulary: str | None = None,
-    bands: Mapping[str, Band] | None = None,
+    vocabularies: Mapping[str, str] | None = None,
+    bands: Mapping[str, Mapping[str, Band]] | None = None,
     min_words: int = 50,
     max_repeat_percent: int = 50,
 ) -> DataFrame:
@@ -192,39 +235,61 @@ def quality_rules(
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of the words in
     repeated 3-word windows. kept: not base_failed, and characters per token, byte-fallback
-    share, token entropy and symbol share all lie in the band of the document's script
-    (bands, "other" where a script has none). Words are encoded one by one, which drops
-    white space; a word costs one encoding per batch however often it occurs. A null text
-    counts as empty: no words, base_failed, not kept. Rows are independent: ties, repeats
-    and extra columns change nothing, an empty table gives an empty result.
+    share and token entropy of each vocabulary (name: path) lie in the band of the document's
+    script (bands, "other" where a script has none). rejected_by lists the measures outside
+    their bands. Words are encoded one by one, which drops white space; a word costs one
+    encoding per batch however often it occurs. A null text counts as empty: no words,
+    base_failed, not kept. Rows are independent: ties, repeats and extra columns change
+    nothing, an empty table gives an empty result.
     """
     ensure_importable(docs.sparkSession)
-    judge = _judge(vocabulary, bands, min_words, max_repeat_percent)
-    names, longs, doubles = ["other", *SCRIPTS], LONGS, MEASURES
+    judge = _Judge(vocabularies, bands, min_words, max_repeat_percent)
+    names = judge.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                m, failed, kept = judge(part.column("text"))
+                m = judge(part.column("text"))
+                by = [[c for c, x in zip(names, row, strict=True) if x] if row.any() else [] for row in m["outside"]]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[pa.array(m[c], pa.int64()) for c in longs], pa.array(failed), pa.array(kept), *[pa.array(m[c], pa.float64()) for c in doubles], pa.array([names[k] for k in m["script"]])],
-                    names=["doc_id", *longs, "base_failed", "kept", *doubles, "script"],
+                    [part.column("doc_id"), *[pa.array(m[c], pa.int64()) for c in LONGS], pa.array(m["base_failed"]), pa.array(m["kept"]), *[pa.array(m[c], pa.float64()) for c in names], pa.array([judge.scripts[k] for k in m["script"]], pa.string()), pa.array(by, pa.list_(pa.string()))],
+                    names=["doc_id", *LONGS, "base_failed", "kept", *names, "script", "rejected_by"],
                 )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, {', '.join(f'{c} long' for c in longs)}, base_failed boolean, kept boolean, {', '.join(f'{c} double' for c in doubles)}, script string"
+    schema = f"doc_id {id_type}, {', '.join(f'{c} long' for c in LONGS)}, base_failed boolean, kept boolean, {', '.join(f'{c} double' for c in names)}, script string, rejected_by array<string>"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def rejections(judged: DataFrame) -> DataFrame:
+    """(script, measure, rejected, documents) of a result of quality_rules, among the documents that pass the base rules."""
+    passed = judged.where("not base_failed")
+    total = passed.groupBy("script").agg(F.count("*").alias("documents"))
+    by = passed.select("script", F.explode("rejected_by").alias("measure")).groupBy("script", "measure").agg(F.count("*").alias("rejected"))
+    return by.withColumnRenamed("script", "b_script").join(total, F.col("b_script") == F.col("script")).select("script", "measure", "rejected", "documents")
+
+
+def bands_of(judged: DataFrame, tail: float = 0.001) -> DataFrame:
+    """(script, measure, low, high): quantiles of each measure among the documents that pass the base rules.
+
+    What a fitted band would be: low and high leave a share of tail on either side. The
+    quantiles are Spark's approximate ones, whose rank error is a tenth of tail at most.
+    """
+    names = [c for c in judged.columns if any(c.endswith(f"_{m}") for m in MEASURES)]
+    long = judged.where("not base_failed").select("script", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names))).alias("measure", "x"))
+    q = F.percentile_approx("x", [tail, 1 - tail], int(10 / tail))
+    return long.groupBy("script", "measure").agg(q.alias("q")).select("script", "measure", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
 def keep_good(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
     """The rows of docs that quality_rules keeps, with all their columns, in one pass without a join."""
     ensure_importable(docs.sparkSession)
-    judge = _judge(rules.get("vocabulary"), rules.get("bands"), rules.get("min_words", 50), rules.get("max_repeat_percent", 50))
+    judge = _Judge(rules.get("vocabularies"), rules.get("bands"), rules.get("min_words", 50), rules.get("max_repeat_percent", 50))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                kept = pa.array(judge(part.column("text"))[2])
+                kept = pa.array(judge(part.column("text"))["kept"])
                 yield pa.RecordBatch.from_arrays([part.column("text").filter(kept), part.column("row").filter(kept)], names=["text", "row"])
 
     others = [c for c in docs.columns if c != text_col]
