@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, chunks, texts_of
-from tidemark.scratch import ensure_importable, release, table
+from tidemark.llm.common import Words, chunks, lean, texts_of, word_hashes
+from tidemark.scratch import drop, ensure_importable, table
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 5, 32
 HASHES = BANDS * ROWS
-#: Members of a hub compared in one group, and members of a block.
-SPLIT, BLOCK = 64, 256
+#: Members of a hub compared in one group, members of a block, and bytes of signatures and sets that one task compares.
+SPLIT, BLOCK, UNIT_BYTES = 64, 256, 4 << 20
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -47,10 +47,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; fewer words than size make one shingle."""
-    import xxhash
-
     words = Words(texts, lower=True)
-    of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, (w.encode() for w in words.vocab.to_pylist())), np.uint64, len(words.vocab))
+    of_word = word_hashes(words.vocab)[0]
     h = of_word[words.codes] if len(of_word) else np.zeros(0, np.uint64)
     poly = np.zeros(max(len(h) - size + 1, 0), np.uint64)
     for k in range(size):
@@ -165,54 +163,66 @@ def components(edges: DataFrame) -> DataFrame:
     both = table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     labels = table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = table(
-            both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low")), "labels-near"
-        )
+        near = table(both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low")), "labels-near")
         hooked = table(labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("label", "low").alias("label"), F.col("label").alias("old")), "labels-hooked")
         top = hooked.select(F.col("node").alias("t_node"), F.col("label").alias("t_label"))
         jumped = table(hooked.join(top, F.col("label") == F.col("t_node"), "left").select("node", F.coalesce("t_label", "label").alias("label"), (F.coalesce("t_label", "label") != F.col("old")).alias("moved")), "labels")
-        labels = jumped.select("node", "label")
+        drop(labels, near, hooked)
+        labels = jumped
         if jumped.where("moved").isEmpty():
+            drop(both)
             return labels
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    percent: int = 80,
-    miss: float = 1e-6,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
-
-    Documents are linked when 100 * common >= percent * union of their sets of five-word
-    shingles (ASCII letters in lower case); component_id is the smallest id reachable, kept
-    tells whether that is the document's own. With fewer words the whole sequence is one
-    shingle; a null, empty or blank text has no shingle and links with nothing. A pair at the
-    threshold escapes all bands with probability (1 - t**5)**32, 3e-6 at 0.8 and 7e-9 at 0.85,
-    and is pruned wrongly with the posterior probability miss at each batch; accepted links
-    are always verified on full sets of 64-bit shingle hashes. Rows with a null id are not
-    linked: their component is null and they are kept. Rows that repeat an id each get the
-    component of their own text. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    ensure_importable(spark)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    limits = least_matches(percent / 100, miss)
+def _sketches(rows: DataFrame, id_type: str) -> DataFrame:
+    """(doc_id, digest, n_shingles, node, keys) of rows (doc_id, text): digests of text and set, and band keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", 2 << 20):
                 sets = shingle_sets(texts_of(part.column("text")))
                 node = [hashlib.md5(s).digest() if len(s) else None for s in sets]
                 keys = [bands(signature(s)) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "node", "keys"],
-                )
+                    [part.column("doc_id"), part.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "digest", "n_shingles", "node", "keys"],
+                )
+
+    asked = rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("digest"))
+    return table(asked.mapInArrow(sketch, f"doc_id {id_type}, digest binary, n_shingles long, node binary, keys array<long>"), "sketches")
+
+
+def _sets(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(k_node, bytes, sig, shingles) of the classes in candidates (c_node, rep)."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            for part in chunks(batch, "text", 2 << 20):
+                sets = shingle_sets(texts_of(part.column("text")))
+                # a repeated id may bring a text of another class along
+                keep = [i for i, (s, c) in enumerate(zip(sets, part.column("c_node").to_pylist(), strict=True)) if hashlib.md5(s).digest() == c]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("c_node").take(pa.array(keep, pa.int64())), pa.array([8 * len(sets[i]) + 4 * HASHES for i in keep], pa.int64()), pa.array([signature(sets[i]).tobytes() for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
+                    names=["k_node", "bytes", "sig", "shingles"],
+                )
+
+    # texts are never joined by a broadcast: the plan is the same at every size
+    wanted = rows.join(candidates.hint("merge"), F.col("doc_id") == F.col("rep")).select("c_node", "text")
+    return table(wanted.mapInArrow(full, "k_node binary, bytes long, sig binary, shingles binary").dropDuplicates(["k_node"]), "candidate-sets")
+
+
+def _units(spark, rows: DataFrame, sizes: DataFrame, times: str) -> int:
+    """Number of groups of about UNIT_BYTES for rows (node) that stand times each."""
+    volume = rows.join(sizes, F.col("node") == F.col("k_node")).agg(F.sum(F.expr(times) * F.col("bytes"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // UNIT_BYTES))
+
 
-    sketched = table(rows.mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, node binary, keys array<long>"), "sketches")
+def _class_components(rows: DataFrame, sketched: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Scratch table (f_node, label, component_id) of all classes of sketched rows with an id."""
+    spark = rows.sparkSession
+    limits = least_matches(percent / 100, miss)
     classes = table(
         sketched.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")),
         "classes",
@@ -222,31 +232,16 @@ def near_duplicates(
     inside = table(
         exploded.join(shared, (F.col("band") == F.col("s_band")) & (F.col("key") == F.col("s_key"))).select("node", "band", "key", "n"), "bucket-members"
     )
+    drop(shared)
     degree = table(inside.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree")), "degrees")
     ranked = inside.join(degree.withColumnRenamed("node", "d_node"), F.col("node") == F.col("d_node"))
     hubs = table(
         ranked.groupBy("band", "key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")).withColumnsRenamed({"band": "h_band", "key": "h_key"}), "hubs"
     )
     candidates = degree.select(F.col("node").alias("c_node")).join(classes.select("node", "rep"), F.col("c_node") == F.col("node")).select("c_node", "rep")
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
-                sets = shingle_sets(texts_of(part.column("text")))
-                # a repeated id may bring a text of another class along
-                keep = [i for i, (s, c) in enumerate(zip(sets, part.column("c_node").to_pylist(), strict=True)) if hashlib.md5(s).digest() == c]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("c_node").take(pa.array(keep, pa.int64())), pa.array([signature(sets[i]).tobytes() for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())],
-                    names=["node", "sig", "shingles"],
-                )
-
-    wanted = rows.join(candidates, F.col("doc_id") == F.col("rep")).select("c_node", "text")
-    known = table(wanted.mapInArrow(full, "node binary, sig binary, shingles binary").dropDuplicates(["node"]), "candidate-sets")
-    known = known.withColumnRenamed("node", "k_node")
-    release(spark)
-
-    def units(n: int) -> int:
-        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2000))
+    known = _sets(rows, candidates)
+    sizes = known.select("k_node", "bytes")
+    drop(degree)
 
     # hubs against the members of their buckets; a hub with many members is dealt over several groups
     pairs = table(
@@ -254,6 +249,7 @@ def near_duplicates(
         .where(F.col("node") != F.col("hub")).select("hub", "node").distinct(),
         "hub-pairs",
     )
+    drop(hubs)
     spread = table(pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPLIT).cast("long").alias("parts")).withColumnRenamed("hub", "p_hub"), "hub-parts")
     dealt = pairs.join(spread, F.col("hub") == F.col("p_hub")).select("hub", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     centres = spread.select(F.col("p_hub").alias("hub"), F.col("p_hub").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
@@ -270,26 +266,31 @@ def near_duplicates(
             found += [(hub, nodes[i]) for i in survivors(sigs[h], sigs, limits) if i != h and linked(sets[h], sets[i], percent)]
         return _edges(found)
 
-    n_units = units(pairs.count())
+    n_units = _units(spark, pairs, sizes, "2")
     first = table(
         star.withColumn("unit", F.pmod(F.xxhash64("hub", "part"), F.lit(n_units))).groupBy("unit").applyInArrow(lambda g: compare_star(g), "a binary, b binary"), "star-links"
     )
-    release(spark)
+    drop(pairs, spread)
     labels = components(first)
 
     # buckets that several components still share
     named = inside.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select("node", "band", "key", F.coalesce("label", "node").alias("label"))
     named = table(named, "bucket-labels")
+    drop(inside)
     mixed = table(
         named.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low <> high").select(F.col("band").alias("m_band"), F.col("key").alias("m_key"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")),
         "mixed-buckets",
     )
-    open_ = named.join(mixed, (F.col("band") == F.col("m_band")) & (F.col("key") == F.col("m_key"))).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    open_ = table(
+        named.join(mixed, (F.col("band") == F.col("m_band")) & (F.col("key") == F.col("m_key"))).select("node", "band", "key", "label", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("own")),
+        "open-members",
+    )
+    drop(named, mixed)
     # block x meets block y >= x in group (x, y)
     met = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select("band", "key", "node", "label", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    met = met.join(known, F.col("node") == F.col("k_node")).drop("k_node")
+    met = met.join(known, F.col("node") == F.col("k_node")).drop("k_node", "bytes")
 
     def compare_blocks(group: pa.Table) -> pa.Table:
         found = []
@@ -312,22 +313,82 @@ def near_duplicates(
                         found.append((nodes[i], nodes[j]))
         return _edges(found)
 
-    n_units = units(open_.agg(F.sum("blocks")).first()[0] or 0)
+    n_units = _units(spark, open_, sizes, "blocks")
     second = table(
         met.withColumn("unit", F.pmod(F.xxhash64("band", "key", "x", "y"), F.lit(n_units))).groupBy("unit").applyInArrow(lambda g: compare_blocks(g), "a binary, b binary"), "block-links"
     )
-    release(spark)
+    drop(open_, known)
     if not second.isEmpty():
+        drop(labels)
         labels = components(first.union(second))
+    drop(first, second)
     reps = classes.select("node", "rep").join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
     reps = table(reps.select("node", "rep", F.coalesce("label", "node").alias("label")), "class-labels")
+    drop(classes, labels)
     lowest = table(reps.groupBy("label").agg(F.min("rep").alias("component_id")).withColumnRenamed("label", "c_label"), "component-ids")
-    final = table(reps.join(lowest, F.col("label") == F.col("c_label")).select(F.col("node").alias("f_node"), "component_id"), "class-components")
+    final = table(reps.join(lowest, F.col("label") == F.col("c_label")).select(F.col("node").alias("f_node"), "label", "component_id"), "class-components")
+    drop(reps, lowest)
+    return final
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    percent: int = 80,
+    miss: float = 1e-6,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document.
+
+    Documents are linked when 100 * common >= percent * union of their sets of five-word
+    shingles (ASCII letters in lower case); component_id is the smallest id reachable, kept
+    tells whether that is the document's own. With fewer words the whole sequence is one
+    shingle; a null, empty or blank text has no shingle and links with nothing. A pair at the
+    threshold escapes all bands with probability (1 - t**5)**32, 3e-6 at 0.8 and 7e-9 at 0.85,
+    and is pruned wrongly with the posterior probability miss at each batch; accepted links
+    are always verified on full sets of 64-bit shingle hashes. Rows with a null id are not
+    linked: their component is null and they are kept. Rows that repeat an id each get the
+    component of their own text. An empty table gives an empty result.
+    """
+    ensure_importable(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sketched = _sketches(rows, docs.schema[id_col].dataType.simpleString())
+    final = _class_components(rows, sketched, percent, miss)
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(final, F.col("node") == F.col("f_node"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """The rows of docs without those that a row of their group stands for, all columns kept.
+
+    Groups are those of near_duplicates, decided by row: of each group the row with the
+    smallest id stays, and of several with that id the one with the least digest of its text,
+    once. So rows that repeat an id go only for their own text. Rows without an id and rows
+    without words stay.
+    """
+    ensure_importable(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sketched = _sketches(rows, docs.schema[id_col].dataType.simpleString())
+    final = _class_components(rows, sketched, percent, miss)
+    named = sketched.where(F.col("doc_id").isNotNull()).select("doc_id", "digest", "node").join(final, F.col("node") == F.col("f_node"))
+    named = table(named.groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n")), "group-rows")
+    drop(sketched, final)
+    # written by itself, so that Spark can split the rows of a large group in the join
+    best = table(named.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("best")).select(F.col("label").alias("w_label"), "best"), "group-best")
+    judged = named.join(best, F.col("label") == F.col("w_label")).select("doc_id", "digest", "n", (F.struct("doc_id", "digest") == F.col("best")).alias("stays"))
+    judged = table(judged.where("not stays or n > 1").withColumnsRenamed({"doc_id": "j_id", "digest": "j_digest"}), "group-verdicts")
+    drop(named, best)
+
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.unhex(F.md5(text_col)).alias("digest"))
+    same = (F.col("doc_id") == F.col("j_id")) & (F.col("digest") == F.col("j_digest"))
+    kept = packed.join(judged.hint("merge"), same, "left_anti")
+    again = judged.where("stays")
+    if not again.isEmpty():  # rows repeated with id and text, of which one stays
+        kept = kept.unionByName(packed.join(again.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "digest"]))
+    return kept.select("row.*")
+
+
 #: All pairs by an inverted index, and reachability, for small tables.
 NEARDUP_SQL = """
 with recursive words as (
