@@ -6,8 +6,8 @@ that share the place of their minimizer form a strand; strands whose minimizer o
 are done with, equal strands are counted, and only minimizers with several different strands
 are sorted: their bytes form the text of a unit of bounded size, whose suffixes are sorted
 one bucket at a time, long ties being resolved by the ranks of a difference-cover sample.
-Minimizers with too many bytes for one unit deal their windows out again by a hash of the
-whole window, so no unit grows with the data.
+Minimizers with too many bytes for one unit deal their different strands out again in the
+same way by longer seeds, at last by whole windows, so no unit grows with the data.
 """
 
 from __future__ import annotations
@@ -17,21 +17,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, texts_of, utf8_bytes
-from tidemark.scratch import ensure_importable, release, table
+from tidemark.llm.common import chunks, lean, utf8_bytes
+from tidemark.scratch import drop, ensure_importable, table
 
 LENGTH, SEED = 200, 64
+#: Times the seed's bytes at the next level, for minimizers with too many bytes.
+LONGER = 2
 #: Period of the difference cover, the cover, and suffixes sorted in one bucket.
 PERIOD, COVER, BUCKET = 16, (0, 1, 2, 5, 8), 1 << 16
-#: Window starts handled at once in a text; bytes of strands sorted as one unit; bytes at which a minimizer is dealt out again.
-PIECE, UNIT, HOT = 1 << 20, 1 << 20, 1 << 20
+#: Window starts handled at once in a text; bytes of strands sorted as one unit; bytes above which a minimizer is dealt out again.
+PIECE, UNIT, HOT = 1 << 20, 1 << 20, 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = np.random.default_rng(77).integers(0, 1 << 63, 256, dtype=np.uint64)
-_TABLE2 = np.random.default_rng(78).integers(0, 1 << 63, 256, dtype=np.uint64)
 _SHIFT = np.array([[next(d for d in range(PERIOD) if (i + d) % PERIOD in COVER and (j + d) % PERIOD in COVER) for j in range(PERIOD)] for i in range(PERIOD)])
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -47,13 +49,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def rolling(data: np.ndarray, k: int, values: np.ndarray = _TABLE) -> np.ndarray:
+def rolling(data: np.ndarray, k: int) -> np.ndarray:
     """Mixed polynomial hash modulo 2**64 of every k-byte string."""
     n = len(data)
     if n < k:
         return np.zeros(0, np.uint64)
     up, down = _power_tables(n)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(values[data] * up[:n], dtype=np.uint64)])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * up[:n], dtype=np.uint64)])
     x = (sums[k:] - sums[:-k]) * down[: n - k + 1]
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -233,27 +235,29 @@ def _packed(spans: list[tuple[int, int]]) -> bytes:
     return np.array(spans, np.int64).reshape(-1).tobytes()
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(digest, spans) of the texts in rows (digest, text) that have a repeated window.
+def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """Scratch table (digest, spans) of the byte strings in rows (digest, tag, bytes) that have a repeated window.
 
-    digest must tell texts apart; spans holds pairs of int64: the starts and ends of runs of
-    window starts, as bytes. A row counts as one occurrence of each of its windows.
+    digest must tell strings apart; tag tells apart rows of one digest as far as it can, so
+    that few of them are read for their bytes. spans holds pairs of int64: the starts and
+    ends of runs of window starts, as bytes. A row counts as one occurrence of each of its
+    windows.
     """
     spark = rows.sparkSession
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        lean()
         for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
-                texts = texts_of(part.column("text"))
-                data, ends = utf8_bytes(texts)
+            for part in chunks(batch, "bytes", 2 << 20):
+                data, ends = utf8_bytes(pc.fill_null(part.column("bytes"), b"").cast(pa.large_binary()))
                 got: list[list] = [[], [], [], [], []]
-                for i in range(len(texts)):
+                for i in range(part.num_rows):
                     body = data[ends[i] : ends[i + 1]]
                     for base in range(0, max(len(body) - length + 1, 0), PIECE):
                         piece = body[base : base + PIECE + length - 1]
-                        key, a, n = strands(piece, length)
+                        key, a, n = strands(piece, length, seed)
                         raw = piece.tobytes()
                         got[0].append(np.full(len(key), i))
                         got[1].append(key.view(np.int64))
@@ -266,33 +270,39 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                     names=["digest", "key", "body", "start", "n"],
                 )
 
-    all_strands = table(rows.mapInArrow(cut, "digest binary, key long, body long, start long, n long"), "strands")
+    all_strands = table(rows.select("digest", "bytes").mapInArrow(cut, "digest binary, key long, body long, start long, n long"), "strands")
     repeated = table(all_strands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("r_key")), "repeated-seeds")
     # written before it is grouped: grouping on top of the join would keep Spark from splitting a hot minimizer
     near = table(all_strands.join(repeated, F.col("key") == F.col("r_key"), "left_semi"), "near-strands")
+    drop(all_strands, repeated)
     met = table(near.groupBy("digest", "key", "body", "start", "n").agg(F.count("*").alias("c")), "met-strands")
-    release(spark)
+    drop(near)
     distinct = table(met.groupBy("key", "body").agg(F.sum("c").alias("c"), F.min(F.struct("digest", "start", "n")).alias("at")), "distinct-strands")
     keys = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("at.n") + (length - 1)).alias("bytes")).where("kinds > 1")
     keys = table(keys.select(F.col("key").alias("k_key"), "bytes"), "open-seeds")
-    volume = keys.agg(F.sum("bytes")).first()[0] or 0
-    units = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // UNIT))
-    whole = distinct.where("c > 1").select("key", "body", F.lit(None).cast("binary").alias("spans"))
+    volume, largest = keys.agg(F.sum("bytes"), F.max("bytes")).first()
+    units = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(volume or 0) // UNIT))
+    hot = HOT if seed < length else int(largest or 0)  # windows that agree in the whole of their length are one strand
+    whole = table(distinct.where("c > 1").select("key", "body", F.lit(None).cast("binary").alias("spans")), "whole-strands")
 
-    # the bytes of each different strand, from one of the texts that hold it
-    asked = distinct.join(keys, F.col("key") == F.col("k_key")).select("at.digest", F.struct("key", "body", "at.start", "at.n", (F.col("bytes") > HOT).alias("hot")).alias("s"))
+    # the bytes of each different strand, from one of the rows that hold it
+    asked = distinct.join(keys, F.col("key") == F.col("k_key")).select("at.digest", F.struct("key", "body", "at.start", "at.n", (F.col("bytes") > hot).alias("hot")).alias("s"))
     asked = table(asked.groupBy(F.col("digest").alias("a_digest")).agg(F.collect_list("s").alias("asked")), "asked-strands")
+    drop(distinct, keys)
+    holders = rows.select("digest", "tag").join(asked.select("a_digest"), F.col("digest") == F.col("a_digest"), "left_semi")
+    holders = table(holders.groupBy(F.col("digest").alias("h_digest")).agg(F.min("tag").alias("h_tag")), "strand-holders")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         done = set()
         for batch in batches:
             out: dict[str, list] = {"key": [], "body": [], "hot": [], "bytes": []}
-            for digest, text, asked in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-                if digest in done:
+            for digest, raw, asked in zip(batch.column("digest"), batch.column("bytes"), batch.column("asked"), strict=True):
+                if (digest := digest.as_py()) in done:
                     continue
                 done.add(digest)
-                raw = text.encode()
-                for s in asked:
+                raw = raw.as_py()
+                for s in asked.as_py():
                     out["key"].append(s["key"])
                     out["body"].append(s["body"])
                     out["hot"].append(s["hot"])
@@ -302,12 +312,14 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 names=list(out),
             )
 
-    fetched = rows.join(asked, F.col("digest") == F.col("a_digest")).select("digest", "text", "asked").mapInArrow(fetch, "key long, body long, hot boolean, bytes binary")
+    # texts are never joined by a broadcast: the plan is the same at every size
+    one = rows.join(holders.hint("merge"), (F.col("digest") == F.col("h_digest")) & (F.col("tag") == F.col("h_tag"))).select("digest", "bytes")
+    fetched = one.join(asked.hint("merge"), F.col("digest") == F.col("a_digest")).select("digest", "bytes", "asked").mapInArrow(fetch, "key long, body long, hot boolean, bytes binary")
     fetched = table(fetched, "strand-bytes")
-    release(spark)
+    drop(asked, holders)
 
     def sort_unit(group: pa.Table) -> pa.Table:
-        # copies of a text read by several tasks bring a strand more than once
+        # rows alike in digest and tag that several tasks read bring a strand more than once
         rows = sorted({(k, b): x for k, b, x in zip(group.column("key").to_pylist(), group.column("body").to_pylist(), group.column("bytes").to_pylist(), strict=True)}.items())
         flags = repeated_windows([x for _, x in rows], length)
         found = [(k, b, _packed(_spans(f))) for ((k, b), _), f in zip(rows, flags, strict=True) if f.any()]
@@ -319,18 +331,27 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         .groupBy("unit").applyInArrow(lambda g: sort_unit(g), "key long, body long, spans binary")
     )
     marked = whole.union(cold)
-    if not keys.where(F.col("bytes") > HOT).isEmpty():
-        marked = marked.union(_hot_windows(fetched.where("hot").dropDuplicates(["key", "body"]).select("key", "body", "bytes"), units, length))
+    deeper = None
+    if int(largest or 0) > hot:
+        # each different strand of a hot minimizer is a string of its own, whose windows meet again by longer seeds
+        again = fetched.where("hot").dropDuplicates(["key", "body"]).select(F.concat(F.unhex(F.lpad(F.hex("key"), 16, "0")), F.unhex(F.lpad(F.hex("body"), 16, "0"))).alias("digest"), F.lit(0).cast("long").alias("tag"), "bytes")
+        again = table(again, "hot-strands")
+        deeper = repeated_spans(again, length, min(length, LONGER * seed))
+        drop(again)
+        number = lambda at: F.conv(F.hex(F.substring("digest", at, 8)), 16, -10).cast("long")
+        marked = marked.union(deeper.select(number(1), number(9), "spans"))
     marked = table(marked.withColumnsRenamed({"key": "m_key", "body": "m_body"}), "marked-strands")
+    drop(whole, fetched, *([deeper] if deeper is not None else []))
 
     hits = met.join(marked, (F.col("key") == F.col("m_key")) & (F.col("body") == F.col("m_body"))).select("digest", F.struct("start", "n", "spans").alias("s"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             out = []
-            for hits in batch.column("hits").to_pylist():
+            for hits in batch.column("hits"):
                 runs = []
-                for s in hits:
+                for s in hits.as_py():
                     if s["spans"] is None:
                         runs.append((s["start"], s["start"] + s["n"]))
                     else:
@@ -338,66 +359,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(_packed(sorted(map(tuple, runs))))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(out, pa.binary())], names=["digest", "spans"])
 
-    return table(hits.groupBy("digest").agg(F.collect_list("s").alias("hits")).mapInArrow(place, "digest binary, spans binary"), "repeated-spans")
-
-
-def _hot_windows(pieces: DataFrame, units: int, length: int) -> DataFrame:
-    """(key, body, spans) for strands of minimizers with many bytes, by 128-bit hashes of whole windows.
-
-    A task marks what repeats among its own strands and asks once about every hash; the
-    questions of all tasks meet by hash, so a window that all strands hold is asked once a task.
-    """
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(k, b, x) for batch in batches for k, b, x in zip(batch.column("key").to_pylist(), batch.column("body").to_pylist(), batch.column("bytes").to_pylist(), strict=True)]
-        kind = ["unit", "key", "body", "spans", "asked"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        for at in range(0, len(rows), 4_000):
-            part = rows[at : at + 4_000]
-            data = np.frombuffer(b"".join(x for _, _, x in part), np.uint8)
-            sizes = np.array([len(x) for _, _, x in part])
-            ends = np.cumsum(sizes)
-            valid = np.zeros(len(data), bool)
-            for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-                valid[s : e - length + 1] = True
-            pos = np.flatnonzero(valid)
-            h = np.stack([rolling(data, length)[pos], rolling(data, length, _TABLE2)[pos]], 1)
-            order = np.lexsort((h[:, 1], h[:, 0]))
-            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]).any(1)])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(order)))
-            flags = np.zeros(len(data), bool)
-            flags[pos[order[np.repeat(times > 1, times)]]] = True
-            done = []
-            for (k, b, _), s, e in zip(part, (ends - sizes).tolist(), ends.tolist(), strict=True):
-                if (f := flags[s : e - length + 1]).any():
-                    done.append((None, k, b, _packed(_spans(f)), None))
-            one = order[first]
-            owner = np.searchsorted(ends, pos[one], side="right")
-            keys = np.array([(k, b) for k, b, _ in part], np.int64)
-            record = np.column_stack([h[one].view(np.int64), keys[owner], pos[one] - (ends - sizes)[owner], times > 1]).astype(np.int64)
-            unit = (h[one][:, 0] % np.uint64(units)).astype(np.int64)
-            by = np.argsort(unit, kind="stable")
-            edges = np.flatnonzero(np.diff(unit[by], prepend=-1))
-            for rows_of in np.split(by, edges[1:]) if len(by) else []:
-                done.append((int(unit[rows_of[0]]), None, None, None, record[rows_of].tobytes()))
-            columns = list(zip(*done, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=kind)
-
-    asked = table(pieces.mapInArrow(ask, "unit long, key long, body long, spans binary, asked binary"), "hot-windows")
-
-    def answer(group: pa.Table) -> pa.Table:
-        r = np.frombuffer(b"".join(group.column("asked").to_pylist()), np.int64).reshape(-1, 6)
-        r = r[np.lexsort((r[:, 1], r[:, 0]))]
-        same = (r[1:, :2] == r[:-1, :2]).all(1)
-        hit = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        r = r[hit]
-        return pa.table({"key": pa.array(r[:, 2]), "body": pa.array(r[:, 3]), "spans": pa.array([_packed([(o, o + 1)]) for o in r[:, 4].tolist()], pa.binary()), "h1": pa.array(r[:, 0]), "h2": pa.array(r[:, 1])})
-
-    found = asked.where("asked is not null").select("unit", "asked").groupBy("unit").applyInArrow(lambda g: answer(g), "key long, body long, spans binary, h1 long, h2 long")
-    local = asked.where("spans is not null").select("key", "body", "spans")
-    # what another task's question answered also holds for the same hash inside the task, which it has marked itself
-    return local.union(found.select("key", "body", "spans"))
+    found = table(hits.groupBy("digest").agg(F.collect_list("s").alias("hits")).mapInArrow(place, "digest binary, spans binary"), "repeated-spans")
+    drop(met, marked)
+    return found
 
 
 def remove_spans(raw: bytes, spans: bytes | None, length: int) -> tuple[bytes, int, int]:
@@ -426,20 +390,25 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     included; strings never cross texts and are judged on the input. With output "text" all
     columns of docs are kept and text_col holds what is left, a character cut apart by the
     removal being dropped whole. With output "digest" the columns of docs but text_col are
-    followed by n_bytes, n_removed, n_spans and kept_sha256 of the bytes left. A null text
-    stays null in "text" and counts as empty in "digest"; texts shorter than length are kept.
+    followed by n_bytes, n_removed, n_spans and kept_sha256 of the bytes left; columns of
+    docs that have these names are left out. A null text stays null in "text" and counts as
+    empty in "digest"; texts shorter than length are kept. Rows are judged one by one
+    whatever their ids: repeated rows, and rows without an id, repeat each other's strings.
+    An empty table gives an empty result.
     """
     ensure_importable(docs.sparkSession)
     digest = F.unhex(F.md5(F.col("text")))
-    rows = docs.select(F.col(text_col).alias("text")).where(F.octet_length("text") >= length).select(digest.alias("digest"), "text")
+    others = [c for c in docs.columns if c != text_col and not (output == "digest" and c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))]
+    tag = F.xxhash64(*[F.col(c) for c in others if "map" not in docs.schema[c].dataType.simpleString()]) if others else F.lit(0).cast("long")
+    rows = docs.select(F.col(text_col).alias("text"), tag.alias("tag")).where(F.octet_length("text") >= length)
+    rows = rows.select(digest.alias("digest"), "tag", F.col("text").cast("binary").alias("bytes"))
     spans = repeated_spans(rows, length).select(F.col("digest").alias("s_digest"), "spans")
-    others = [c for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(text_col).alias("text"))
-    release(docs.sparkSession)
-    joined = packed.join(spans, F.unhex(F.md5(F.col("text"))) == F.col("s_digest"), "left").select("row", "text", "spans")
+    joined = packed.join(spans.hint("merge"), F.unhex(F.md5(F.col("text"))) == F.col("s_digest"), "left").select("row", "text", "spans")
     fields = [joined.schema["row"]]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             texts, measures = [], []
             for text, span in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
