@@ -11,12 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, chunks, remainder, texts_of, utf8_bytes
+from tidemark.llm.common import bounded_sample, chunks, lean, remainder, texts_of, utf8_bytes
 from tidemark.scratch import ensure_importable
 
 WINDOW, WIDTHS, FILTERS, DIMS = 256, (2, 3, 4), 16, 8
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is in one of Unicode's letter categories."""
+    return _LETTER.search(text) is not None or any(map(str.isalpha, text))
 
 
 def _alphabet() -> np.ndarray:
@@ -171,16 +176,17 @@ def identify(
                 )
 
     drawn = bounded_sample(known, training_documents, "doc_id")
-    sample = drawn.mapInArrow(spread, "w binary, lang string").limit(2 * training_documents * windows_each).toArrow()
+    # repeated ids may bring more rows than were drawn; in a fixed order a rerun learns from the same
+    sample = drawn.mapInArrow(spread, "w binary, lang string").orderBy(F.xxhash64("w"), "w", "lang").limit(2 * training_documents * windows_each).toArrow()
     langs = sorted(set(sample.column("lang").to_pylist()))
     net = None
     if langs:
         symbols = np.frombuffer(b"".join(sample.column("w").to_pylist()), np.uint8).reshape(-1, WINDOW)
         target = np.array([langs.index(x) for x in sample.column("lang").to_pylist()])
-        order = np.lexsort([target, *symbols.T[:16]])
-        net = train(symbols[order], target[order], len(langs))
+        net = train(symbols, target, len(langs))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in chunks(batch, "text", 2 << 20):
                 texts = texts_of(part.column("text"))
@@ -194,7 +200,7 @@ def identify(
                     mean /= np.maximum(np.bincount(owner, weights=weight, minlength=n), 1)[:, None]
                     best = mean.argmax(1)
                     for i, text in enumerate(texts.to_pylist()):
-                        if _LETTER.search(text):
+                        if has_letter(text):
                             label[i], score[i] = langs[best[i]], min(float(mean[i, best[i]]), 1.0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(label, pa.string()), pa.array(score)],

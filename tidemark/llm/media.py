@@ -15,16 +15,14 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks
+from tidemark.llm.common import chunks, lean
 from tidemark.scratch import ensure_importable, table
 
 TILE, SIDE, PAD = 576, 24, 255
@@ -180,35 +178,35 @@ def one_each(store: DataFrame) -> DataFrame:
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Media store and pages of documents whose texts are kept as 8-bit media.
 
-    Returns (store, pages): store rows (digest, n_bytes, media) hold each distinct payload of
-    a batch once; a page (doc_id, html) is a figure whose image refers to the payload by
-    digest, with a caption. A null text counts as empty.
+    Returns (store, pages): store rows (digest, media) hold each distinct payload of a batch
+    once; a page (doc_id, html) has a heading, a figure whose image refers to the payload by
+    digest, with a caption that tells its bytes, and a closing line. A null text counts as
+    empty.
     """
     ensure_importable(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in chunks(batch, "text"):
-                digests, sizes, media, pages, seen = [], [], [], [], set()
+                digests, media, pages, seen = [], [], [], set()
                 for text in part.column("text").to_pylist():
                     raw = (text or "").encode()
                     body = payload(raw)
                     digest = hashlib.sha256(body).hexdigest()
-                    # a text may itself end in byte 255 only if it is not UTF-8, so a payload has one length
-                    pages.append(f'<article><figure><img src="{SCHEME}{digest}"><figcaption>{len(raw)} {escape("bytes")}</figcaption></figure></article>')
+                    pages.append(f'<article><h1>Text</h1><figure><img src="{SCHEME}{digest}"><figcaption>{len(raw)} bytes</figcaption></figure><p>End</p></article>')
                     digests.append(digest)
-                    sizes.append(len(raw))
                     media.append(None if digest in seen else to_image(body))
                     seen.add(digest)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(pages, pa.string())],
-                    names=["doc_id", "digest", "n_bytes", "media", "html"],
-                )
+                    [part.column("doc_id"), pa.array(digests, pa.string()), pa.array(media, pa.binary()), pa.array(pages, pa.string())],
+                    names=["doc_id", "digest", "media", "html"],
+                )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kept = table(rows.mapInArrow(write, f"doc_id {id_type}, digest string, n_bytes long, media binary, html string"), "media")
-    return kept.where(F.col("media").isNotNull()).select("digest", "n_bytes", "media"), kept.select("doc_id", "html")
+    kept = table(rows.mapInArrow(write, f"doc_id {id_type}, digest string, media binary, html string"), "media")
+    return kept.where(F.col("media").isNotNull()).select("digest", "media"), kept.select("doc_id", "html")
 
 
 def describe(store: DataFrame) -> DataFrame:
@@ -221,21 +219,22 @@ def describe(store: DataFrame) -> DataFrame:
             for stored in batch.column("media"):
                 stored = stored.as_py()
                 body = from_image(stored)
-                rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), image_feature(body)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                # no byte of UTF-8 is 255, so what stands before the padding is the text
+                rows.append((len(body.rstrip(bytes([PAD]))), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), image_feature(body)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("digest"), pc.cast(batch.column("n_bytes"), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
+                [batch.column("digest"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
                 names=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    return store.select("digest", "n_bytes", "media").mapInArrow(
+    return store.select("digest", "media").mapInArrow(
         read, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, ..., feature) of every whole text kept as media.
+    """(doc_id, n_bytes, payload_bytes, ..., feature, position, caption) of every whole text kept as media.
 
     Texts go to the store, their pages are parsed, and each page's reference is joined by
     digest with what the stored bytes give. The columns are computed once for each stored
@@ -246,5 +245,5 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     store, pages = store_texts(docs, id_col, text_col)
     found = one_each(describe(store))
     seen = resolve(sequences(pages, "doc_id", "html"), found, "doc_id")
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"]
     return seen.select("doc_id", *names)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, bounded_sample, chunks, remainder, texts_of, utf8_bytes
+from tidemark.llm.common import Words, bounded_sample, chunks, lean, remainder, texts_of, utf8_bytes
 from tidemark.scratch import ensure_importable, table
 
 #: Byte classes whose shares are statistics.
@@ -69,6 +69,14 @@ def statistics(texts: pa.Array) -> np.ndarray:
     )
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solution y of factor @ y = b for a lower triangular factor, row by row."""
+    y = np.empty_like(b)
+    for i in range(len(factor)):
+        y[i] = (b[i] - factor[i, :i] @ y[:i]) / factor[i, i]
+    return y
+
+
 @dataclass
 class Discriminant:
     """Class means, Cholesky factors of shrunken covariances and the calibration of their log-density difference."""
@@ -85,7 +93,7 @@ class Discriminant:
         z = np.clip((x - self.shift) / self.scale, -12, 12)
         logs = []
         for mean, factor in zip(self.means, self.factors, strict=True):
-            y = np.linalg.solve(factor, (z - mean).T)
+            y = forward(factor, (z - mean).T)
             logs.append(-0.5 * (y**2).sum(0) - np.log(np.diag(factor)).sum())
         return logs[1] - logs[0]
 
@@ -162,7 +170,8 @@ def quality_scores(
 
     Statistics of all documents are computed once and kept in a scratch table. The model
     learns from at most about training_rows labelled rows, drawn by a hash of the id, whose
-    crc32(id as text) mod 5 is not 0; null labels and null ids are not learned from. The
+    crc32(id as text) mod 5 is not 0; null labels and null ids are not learned from, and a
+    label or a text that occurs twice for one id counts twice. The
     driver fits the discriminant and caches its Cholesky factors. A null text counts as
     empty and gets a score as well; without any label the score is 0.5. Repeated rows get
     equal scores; an empty table gives an empty result.
@@ -171,6 +180,7 @@ def quality_scores(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for part in chunks(batch, "text"):
                 x = statistics(part.column("text"))
@@ -183,8 +193,7 @@ def quality_scores(
         F.col("y").isin(0, 1) & (remainder(F.col("l_id"), 5) != 0)
     )
     training = bounded_sample(described.join(known, F.col("doc_id") == F.col("l_id")), training_rows, "doc_id")
-    got = training.select("doc_id", "x", "y").limit(2 * training_rows).toArrow()
-    got = got.sort_by([("doc_id", "ascending")]) if got.num_rows else got
+    got = training.select("doc_id", "x", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "x", "y").limit(2 * training_rows).toArrow()
     width = len(STATISTICS)
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, width)
     y = np.array(got.column("y").to_pylist(), int)
