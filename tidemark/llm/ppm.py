@@ -7,17 +7,20 @@ symbols), and symbols of longer contexts are excluded from shorter ones. As coun
 of all suffixes, the symbols of a context are among those of each of its suffixes, so what is
 excluded at one order are just the symbols one order up.
 
-The trie is never in one place. Texts are dealt into blocks of bounded size. A block names
-the strings and words it holds, with its training counts; strings that share the last two
-context bytes meet in one group, which sums their counts, codes each string once and sends
-the code lengths back to the blocks that asked. Orders 0 and 1, at most 65,536 counts, are
-shared by all groups.
+The trie is never in one place. Texts are gathered into blocks of bounded size, in the order
+in which they are read. A block names the strings and words it holds, with its training
+counts, dealt into cells by a hash of the string; a cell sums the counts of all blocks that
+name its strings. What is left, each different string of the corpus once, is dealt by the
+last two context bytes, so that a group holds whole contexts and codes each string; the code
+lengths go back to the cells, and the cells answer the blocks in the order in which they
+asked. So the part that needs a context together grows with the different strings and not
+with the blocks. Orders 0 and 1, at most 65,536 counts, are shared by all groups.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, remainder, texts_of
-from tidemark.scratch import ensure_importable, release, table
+from tidemark.llm.common import Words, chunks, lean, remainder, texts_of, utf8_bytes
+from tidemark.scratch import drop, ensure_importable, table
 
 ORDER = 5
-#: Bytes of text in a block, and those handled at once inside it.
-BLOCK_BYTES, STEP_BYTES = 8 << 20, 2 << 20
+#: Bytes of text in a block, and those handled at once inside it; blocks to a cell; different strings in a group of contexts.
+BLOCK_BYTES, STEP_BYTES, CELL_BLOCKS, GROUP_STRINGS = 8 << 20, 2 << 20, 4, 1 << 18
 END = b"\n"
-
-_ASKED = "kind int, q long, block long, keys binary, counts binary, n long"
+#: Kinds of rows: words, strings, counts of two-byte strings, training documents (0) and words (1).
+WORDS, STRINGS, PAIRS, TOTALS = range(4)
 
 
 def stream(text: str) -> bytes:
@@ -61,11 +64,22 @@ def strings(streams: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return value[keep], ends
 
 
+def _scatter(x: np.ndarray, n: int) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(20)).astype(np.int64) % n
+
+
 def _group(keys: np.ndarray, n: int) -> np.ndarray:
     """Group of a string by the two context bytes next to its symbol."""
-    two = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
-    two = two * np.uint64(0x9E3779B97F4A7C15)
-    return ((two >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+    return _scatter((keys >> np.uint64(8)) & np.uint64(0xFFFF), n)
+
+
+def _split(home: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, places) of each different value of home, in ascending order; places ascend as well."""
+    by = np.argsort(home, kind="stable")
+    edges = np.flatnonzero(np.diff(home[by], prepend=-1))
+    for places in np.split(by, edges[1:]) if len(by) else []:
+        yield int(home[places[0]]), places
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,121 +180,183 @@ def _steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def _squeeze(x: np.ndarray | bytes) -> bytes:
-    return pa.compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
-
-
 def _frame(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + _squeeze(raw)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unframe(raw: bytes) -> bytes:
     return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
 
 
-def _ask(group: pa.Table, order: int, groups: int) -> pa.Table:
-    """What one block needs to know: kind 0 words, 1 strings, 2 counts of two-byte strings, 3 training documents and tokens."""
-    import xxhash
-
-    block = group.column("block")[0].as_py()
-    texts = texts_of(group.column("text"))
-    held = np.array(group.column("held_out").to_pylist(), bool)
-    counts: dict[str, int] = {}
-    parts = []
-    for a, b in _steps(texts):
-        part, train = texts.slice(a, b - a), ~held[a:b]
-        words = Words(part, lower=True)
-        inside = np.repeat(train, words.counts)
-        n = np.bincount(words.codes[inside], minlength=len(words.vocab)).tolist()
-        for w, c in zip(words.vocab.to_pylist(), n, strict=True):
-            counts[w] = counts.get(w, 0) + c
-        streams = list(map(stream, part.to_pylist()))
-        for flag in (True, False):
-            value, _ = strings([s for s, t in zip(streams, train, strict=True) if t == flag], order)
-            value.sort()
-            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, int)
-            parts.append((value[first], np.diff(np.append(first, len(value))) * flag))
-        if len(parts) > 16:
-            parts = [_merge(parts)]
-    keys, n = _merge(parts)
-    rows = []
-    home = _group(keys, groups)
-    by = np.argsort(home, kind="stable")
-    edges = np.flatnonzero(np.diff(home[by], prepend=-1))
-    for at in np.split(by, edges[1:]) if len(by) else []:
-        rows.append((1, int(home[at[0]]), block, _frame(keys[at].tobytes()), _frame(n[at].tobytes()), None))
-    dealt: dict[int, list[str]] = {}
-    for w in counts:
-        dealt.setdefault(xxhash.xxh3_64_intdigest(w.encode()) % groups, []).append(w)
-    for q, listed in dealt.items():
-        listed.sort()
-        rows.append((0, q, block, _frame("\n".join(listed).encode()), _frame(np.array([counts[w] for w in listed], np.int64).tobytes()), None))
-    seen = n > 0
-    two, c = _merge([(keys[seen] & np.uint64(0xFFFF), n[seen])])
-    rows += [(2, int(k), block, None, None, int(v)) for k, v in zip(two, c, strict=True)]
-    rows += [(3, 0, block, None, None, int((~held).sum())), (3, 1, block, None, None, sum(counts.values()))]
-    return _rows(rows)
-
-
-def _rows(rows: list[tuple]) -> pa.Table:
+def _numbers(x: np.ndarray) -> bytes:
+    """Frame of 8-byte numbers, the first bytes of all before the second: high bytes hardly differ."""
+    return _frame(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _read_numbers(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unframe(raw), np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+
+
+def _values(x: np.ndarray) -> bytes:
+    """Frame of numbers of which many are equal: the different ones, and where each stands."""
+    different, at = np.unique(x, return_inverse=True)
+    return len(different).to_bytes(8, "little") + _frame(different.tobytes() + np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _read_values(raw: bytes, kind: type) -> np.ndarray:
+    n, body = int.from_bytes(raw[:8], "little"), _unframe(raw[8:])
+    at = np.ascontiguousarray(np.frombuffer(body, np.uint8, offset=8 * n).reshape(4, -1).T).reshape(-1).view("<u4")
+    return np.frombuffer(body, kind, n)[at]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (block, size, doc_ids, held, ends, texts) of the rows (doc_id, held_out, text) of a task."""
+    from pyspark import TaskContext
+
+    lean()
+    number, parts, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def block() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        data, ends = utf8_bytes(texts_of(rows.column("text")))
+        listed = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(c).combine_chunks()) for c in ("doc_id", "held_out")]
+        frames = [pa.array([_numbers(ends[1:])], pa.binary()), pa.array([_frame(data.tobytes())], pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(data) + 64 * rows.num_rows], pa.int64()), *listed, *frames], names=["block", "size", "doc_ids", "held", "ends", "texts"])
+
+    for batch in batches:
+        for part in chunks(batch, "text", BLOCK_BYTES):
+            more = (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0) + 64 * part.num_rows
+            if parts and size + more > BLOCK_BYTES:
+                yield block()
+                number, parts, size = number + 1, [], 0
+            parts.append(part)
+            size += more
+    if parts:
+        yield block()
+
+
+class _Block:
+    """What a block holds: its texts' words and strings, and how they are dealt into cells."""
+
+    def __init__(self, row: dict, order: int, cells: int):
+        import xxhash
+
+        ends = _read_numbers(row["ends"], np.int64)
+        raw = _unframe(row["texts"])
+        texts = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(raw))
+        held = np.array(row["held"], bool)
+        self.n, self.train = len(ends), ~held
+        self.words, self.values, self.ends = [], [], []
+        counts: dict[str, int] = {}
+        parts = []
+        for a, b in _steps(texts):
+            part, train = texts.slice(a, b - a), self.train[a:b]
+            words = Words(part, lower=True)
+            n = np.bincount(words.codes[np.repeat(train, words.counts)], minlength=len(words.vocab)).tolist()
+            for w, c in zip(words.vocab.to_pylist(), n, strict=True):
+                counts[w] = counts.get(w, 0) + c
+            self.words.append(words)
+            value, stops = strings(list(map(stream, part.to_pylist())), order)
+            self.values.append(value)
+            self.ends.append(stops)
+            learnt = np.repeat(train, np.diff(stops, prepend=0))
+            by = np.argsort(value, kind="stable")
+            first = np.flatnonzero(np.diff(value[by], prepend=~value[by[:1]]).astype(bool)) if len(by) else by
+            parts.append((value[by[first]], np.add.reduceat(learnt[by].astype(np.int64), first) if len(first) else first))
+        self.keys, self.counts = _merge(parts)
+        self.cells = list(_split(_scatter(self.keys, cells)))
+        self.word_counts = counts
+        dealt: dict[int, list[str]] = {}
+        for w in counts:
+            dealt.setdefault(xxhash.xxh3_64_intdigest(w.encode()) % cells, []).append(w)
+        self.word_cells = [(k, sorted(dealt[k])) for k in sorted(dealt)]
+
+
+_ASKED = "kind int, cell long, block long, keys binary, counts binary, n long"
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+
+
+def _rows(rows: Sequence[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[]] * 6
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
-    return pa.table({k: pa.array(c, t) for k, c, t in zip(("kind", "q", "block", "keys", "counts", "n"), columns, types, strict=True)})
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=["kind", "cell", "block", "keys", "counts", "n"])
 
 
-def _answer(group: pa.Table, pairs: np.ndarray, order: int) -> pa.Table:
-    """Replies to the blocks: kind 0 words' counts, 1 strings' code lengths, 4 distinct training words of the group."""
-    blocks = group.column("block").to_pylist()
-    raw = [_unframe(x) for x in group.column("keys").to_pylist()]
-    counts = [np.frombuffer(_unframe(x), np.int64) for x in group.column("counts").to_pylist()]
+def _ask(row: dict, order: int, cells: int) -> pa.RecordBatch:
+    """What one block needs to know. Cells of words come after those of strings."""
+    it, block = _Block(row, order, cells), row["block"]
+    out = [(STRINGS, k, block, _numbers(it.keys[at]), _values(it.counts[at]), None) for k, at in it.cells]
+    for k, listed in it.word_cells:
+        out.append((WORDS, cells + k, block, _frame("\n".join(listed).encode()), _values(np.array([it.word_counts[w] for w in listed], np.int64)), None))
+    seen = it.counts > 0
+    two, c = _merge([(it.keys[seen] & np.uint64(0xFFFF), it.counts[seen])])
+    out += [(PAIRS, int(k), block, None, None, int(v)) for k, v in zip(two, c, strict=True)]
+    out += [(TOTALS, 0, block, None, None, int(it.train.sum())), (TOTALS, 1, block, None, None, sum(it.word_counts.values()))]
+    return _rows(out)
+
+
+def _sum_cell(group: pa.Table) -> pa.Table:
+    """The different strings of a cell with their counts; n tells how many."""
+    cell = group.column("cell")[0].as_py()
+    asked = zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)
+    keys, n = _merge([(_read_numbers(k, np.uint64), _read_values(c, np.int64)) for k, c in asked])
+    return pa.Table.from_batches([_rows([(STRINGS, cell, -1, _numbers(keys), _values(n), len(keys))])])
+
+
+def _code_group(group: pa.Table, pairs: np.ndarray, order: int) -> pa.Table:
+    """Code lengths of the strings of a group of contexts, one row for each cell that sent some."""
+    cells = group.column("cell").to_pylist()
+    lists = [_read_numbers(x, np.uint64) for x in group.column("keys").to_pylist()]
+    keys, n = _merge(list(zip(lists, [_read_values(x, np.int64) for x in group.column("counts").to_pylist()], strict=True)))
+    codes = code_lengths(keys, n, pairs, order)
+    return pa.Table.from_batches([_rows([(STRINGS, c, -1, _numbers(x), _values(codes[np.searchsorted(keys, x)]), None) for c, x in zip(cells, lists, strict=True)])])
+
+
+def _answer(asked: pa.Table, coded: pa.Table) -> pa.Table:
+    """A cell's replies: values in the order asked, and for words how many different ones were trained on."""
     rows = []
-    if group.column("kind")[0].as_py() == 0:
+    cell, kind = asked.column("cell")[0].as_py(), asked.column("kind")[0].as_py()
+    questions = list(zip(asked.column("block").to_pylist(), asked.column("keys").to_pylist(), asked.column("counts").to_pylist(), strict=True))
+    if kind == WORDS:
         total: dict[bytes, int] = {}
-        lists = [x.split(b"\n") for x in raw]
-        for words, c in zip(lists, counts, strict=True):
-            for w, k in zip(words, c.tolist(), strict=True):
-                total[w] = total.get(w, 0) + k
-        for block, keys, words in zip(blocks, raw, lists, strict=True):
-            rows.append((0, 0, block, _frame(keys), _frame(np.array([total[w] for w in words], np.int64).tobytes()), None))
-        rows.append((4, 0, -1, None, None, sum(c > 0 for c in total.values())))
+        for _, k, c in questions:
+            for w, n in zip(_unframe(k).split(b"\n"), _read_values(c, np.int64).tolist(), strict=True):
+                total[w] = total.get(w, 0) + n
+        for block, k, _ in questions:
+            rows.append((WORDS, cell, block, None, _values(np.array([total[w] for w in _unframe(k).split(b"\n")], np.int64)), None))
+        rows.append((TOTALS, cell, -1, None, None, sum(c > 0 for c in total.values())))
     else:
-        lists = [np.frombuffer(x, np.uint64) for x in raw]
-        keys, n = _merge(list(zip(lists, counts, strict=True)))
-        codes = code_lengths(keys, n, pairs, order)
-        for block, x, mine in zip(blocks, raw, lists, strict=True):
-            rows.append((1, 0, block, _frame(x), _frame(codes[np.searchsorted(keys, mine)].tobytes()), None))
-    return _rows(rows)
-
-
-def _score(docs: pa.Table, replies: pa.Table, order: int) -> pa.Table:
+        lists = [_read_numbers(x, np.uint64) for x in coded.column("keys").to_pylist()]
+        keys, codes = np.concatenate(lists), np.concatenate([_read_values(x, np.float64) for x in coded.column("counts").to_pylist()])
+        by = np.argsort(keys)
+        keys, codes = keys[by], codes[by]
+        for block, k, _ in questions:
+            rows.append((STRINGS, cell, block, None, _values(codes[np.searchsorted(keys, _read_numbers(k, np.uint64))]), None))
+    return pa.Table.from_batches([_rows(rows)])
+
+
+def _score(blocks: pa.Table, replies: pa.Table, order: int, cells: int) -> pa.Table:
+    row = blocks.to_pylist()[0]
+    it = _Block(row, order, cells)
+    got = {c: x for c, x in zip(replies.column("cell").to_pylist(), replies.column("counts").to_pylist(), strict=True)}
     known: dict[str, int] = {}
-    keys, codes = [np.zeros(0, np.uint64)], [np.zeros(0)]
-    for kind, k, c in zip(replies.column("kind").to_pylist(), replies.column("keys").to_pylist(), replies.column("counts").to_pylist(), strict=True):
-        if kind == 0:
-            known.update(zip(_unframe(k).decode().split("\n"), np.frombuffer(_unframe(c), np.int64).tolist(), strict=True))
-        else:
-            keys.append(np.frombuffer(_unframe(k), np.uint64))
-            codes.append(np.frombuffer(_unframe(c), np.float64))
-    keys, codes = np.concatenate(keys), np.concatenate(codes)
-    by = np.argsort(keys)
-    find = _lookup(keys[by], codes[by]) if len(keys) else None
-    texts = texts_of(docs.column("text"))
+    for k, listed in it.word_cells:
+        known.update(zip(listed, _read_values(got[cells + k], np.int64).tolist(), strict=True))
+    codes = np.zeros(len(it.keys))
+    for k, at in it.cells:
+        codes[at] = _read_values(got[k], np.float64)
+    find = _lookup(it.keys, codes) if len(codes) else None
     out: list[list] = [[], [], [], []]
-    for a, b in _steps(texts):
-        part = texts.slice(a, b - a)
-        words = Words(part, lower=True)
+    for words, value, ends in zip(it.words, it.values, it.ends, strict=True):
         count = np.array([known[w] for w in words.vocab.to_pylist()], np.int64)[words.codes] if len(words.vocab) else np.zeros(0, np.int64)
-        doc = words.doc_of_word()
-        n = len(part)
+        doc, n = words.doc_of_word(), len(words.counts)
         out[0].append(words.counts + 1)
         out[1].append(np.bincount(doc, weights=count > 0, minlength=n).astype(np.int64))
         out[2].append(np.bincount(doc, weights=np.log10(count + 1), minlength=n))
-        value, ends = strings(list(map(stream, part.to_pylist())), order)
         sums = np.concatenate([[0.0], np.cumsum(find(value))])
         out[3].append(np.diff(sums[np.concatenate([[0], ends])]))
     cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
     return pa.table(
-        {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_words_known": pa.array(cols[1], pa.int64()), "log_counts": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())}
+        {"doc_id": blocks.column("doc_ids").combine_chunks().flatten(), "held_out": blocks.column("held").combine_chunks().flatten(), "n_tokens": pa.array(cols[0], pa.int64()), "n_words_known": pa.array(cols[1], pa.int64()), "log_counts": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())}
     )
 
 
@@ -292,34 +368,54 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end, the same events that base_score has as tokens. score is its log10 probability under
     the trie (see the module); base_score adds log10((c + 1) / (N + V + 1)) over the tokens.
     A null text counts as empty and is its end alone; a null id is not held out; repeated
-    rows train as often as they occur. An empty table gives an empty result.
+    rows train as often as they occur, and blocks are made by position, so rows of one id
+    gather nowhere. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ensure_importable(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    volume = docs.agg(F.sum(F.octet_length(text_col) + 64)).first()[0] or 0
-    blocks = -(-volume // BLOCK_BYTES) or 1
-    groups = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.coalesce(remainder(F.col(id_col), modulus) == held, F.lit(False)).alias("held_out"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("block"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    asked = table(rows.groupBy("block").applyInArrow(lambda g: _ask(g, order, groups), _ASKED), "ppm-asked")
-    release(spark)
+    blocks = table(rows.mapInArrow(_blocks, f"block long, size long, doc_ids array<{id_type}>, held array<boolean>, ends binary, texts binary"), "ppm-blocks")
+    volume = blocks.agg(F.sum("size")).first()[0] or 0
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(shuffles, -(-volume // (BLOCK_BYTES * CELL_BLOCKS)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield _ask(batch.slice(k, 1).to_pylist()[0], order, cells)
+
+    asked = table(blocks.mapInArrow(ask, _ASKED), "ppm-asked")
     pairs = np.zeros(65536, np.int64)
-    for r in asked.where("kind = 2").groupBy("q").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
-        pairs[r["q"]] = r["n"]
-    totals = {r["q"]: r["n"] for r in asked.where("kind = 3").groupBy("q").agg(F.sum("n").alias("n")).collect()}
+    for r in asked.where(F.col("kind") == PAIRS).groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        pairs[r["cell"]] = r["n"]
+    totals = {r["cell"]: r["n"] for r in asked.where(F.col("kind") == TOTALS).groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     train_docs, train_words = totals.get(0, 0), totals.get(1, 0)
-    questions = asked.where("kind < 2")
-    replies = table(questions.groupBy("kind", "q").applyInArrow(lambda g: _answer(g, pairs, order), _ASKED), "ppm-replies")
-    release(spark)
-    distinct = (replies.where("kind = 4").agg(F.sum("n")).first()[0] or 0) + (train_docs > 0)
+
+    summed = table(asked.where(F.col("kind") == STRINGS).groupBy("cell").applyInArrow(lambda g: _sum_cell(g), _ASKED), "ppm-strings")
+    groups = max(shuffles, -(-(summed.agg(F.sum("n")).first()[0] or 0) // GROUP_STRINGS))
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, k, c in zip(batch.column("cell").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                keys, n = _read_numbers(k, np.uint64), _read_values(c, np.int64)
+                yield _rows([(STRINGS, cell, g, _numbers(keys[at]), _values(n[at]), None) for g, at in _split(_group(keys, groups))])
+
+    # here block is the number of the group
+    coded = table(summed.mapInArrow(regroup, _ASKED).groupBy("block").applyInArrow(lambda g: _code_group(g, pairs, order), _ASKED), "ppm-codes")
+    drop(summed)
+    questions = asked.where(F.col("kind") <= STRINGS)
+    replies = table(questions.groupBy("cell").cogroup(coded.groupBy("cell")).applyInArrow(lambda a, c: _answer(a, c), _ASKED), "ppm-replies")
+    drop(asked, coded)
+    distinct = (replies.where(F.col("kind") == TOTALS).agg(F.sum("n")).first()[0] or 0) + (train_docs > 0)
     tokens = train_words + train_docs
-    scored = rows.groupBy("block").cogroup(replies.where("kind < 2").groupBy("block")).applyInArrow(
-        lambda d, r: _score(d, r, order), f"doc_id {id_type}, held_out boolean, n_tokens long, n_words_known long, log_counts double, score double"
+    scored = blocks.groupBy("block").cogroup(replies.where(F.col("kind") <= STRINGS).select("cell", "block", "counts").groupBy("block")).applyInArrow(
+        lambda b, r: _score(b, r, order, cells), f"doc_id {id_type}, held_out boolean, n_tokens long, n_words_known long, log_counts double, score double"
     )
     base = F.col("log_counts") + math.log10(train_docs + 1) - F.col("n_tokens") * math.log10(tokens + distinct + 1)
     known = F.col("n_words_known") + int(train_docs > 0)
