@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import binslack, fertility, mixing, neardup, suffix
 from tidemark.llm.common import documents
-from tidemark.scratch import table
+from tidemark.scratch import drop, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group at a similarity of 0.8 or more; one row of a repeated id.
-
-    Documents that go are named and taken out, so those without an id stay.
-    """
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    rows = docs.join(table(gone, "stage-gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = docs.groupBy(F.col("doc_id").alias("__again")).count().where("count > 1 and __again is not null").select("__again")
-    again = table(again, "stage-again")
-    once = rows.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    return once.unionByName(rows.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group of documents at a similarity of 0.8 or more; rows without an id or without words stay."""
+    return neardup.one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +60,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        after = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = table(docs, f"stage-{k}")
+            after = table(after, f"stage-{k}")
+            drop(docs)
+        docs = after
     return docs
