@@ -23,7 +23,7 @@ def cases(spark):
 
 @pytest.mark.parametrize("name", ["logistic", "boosted"])
 def test_direction_models_learn(cases, name):
-    scored = models.fit_probability(cases.where("i < 400"), cases.where("i >= 400").select("i", "a", "b", "y"), ["a", "b"], name)
+    scored = models.fit_probability(cases.where("i < 400"), cases.where("i >= 400").select("i", "a", "b", "y"), ["a", "b"], name, {"boosted": 15})
     hit = scored.agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int"))).first()[0]
     assert scored.count() == 200 and hit > 0.65
 
@@ -45,8 +45,10 @@ def test_calibrators_lower_the_loss(cases, name):
 
 def test_one_class_calibrates_to_a_constant(spark):
     df = spark.createDataFrame([(1, 0.2), (1, 0.9)], "y int, p double")
-    got = df.select(models.Platt().fit(df).apply(F.col("p")).alias("v")).collect()
-    assert got[0]["v"] == got[1]["v"] > 0.99
+    for name in ("platt", "temperature"):
+        got = df.select(models.CALIBRATORS[name]().fit(df).apply(F.col("p")).alias("v")).collect()
+        assert got[0]["v"] == got[1]["v"] > 0.99
+    assert (models.SIZES["forest"], models.SIZES["boosted"], models.SIZES["boosted_conservative"]) == (300, 300, 500)
 
 
 def test_blend_skips_unknown(spark):

@@ -124,10 +124,6 @@ def market_probabilities(frame: DataFrame, date: str = "session_date", least: in
     return frame.select("family", date, "close", *[c(f) for f in MARKET_FEATURES]).groupBy("family").applyInArrow(lambda g: run(g), f"family {frame.schema['family'].dataType.simpleString()}, p_up_1d double")
 
 
-def next_weekday(day: Column) -> Column:
-    return F.date_add(day, F.when(F.dayofweek(day) == 6, 3).when(F.dayofweek(day) == 7, 2).otherwise(1))
-
-
 def latest_usable(predictions: DataFrame, watch: DataFrame, cutoff: Column, keys: Sequence[str] = ("asset_class", "symbol"), target: str | None = None) -> DataFrame:
     """Each watched instrument with its latest prediction that was made, and whose inputs were known, by the cutoff.
 

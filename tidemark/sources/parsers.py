@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import local_time, next_weekday, ratio
+from tidemark.operators.upkeep import keep_last
 from tidemark.scratch import ensure_importable
 
 c = F.col
@@ -42,12 +43,13 @@ def series_json(raw: DataFrame, column: str = "value", db: str = "") -> DataFram
 
 
 def yield_curve(spark: SparkSession, path: str) -> DataFrame:
-    """Daily curve of an Atom feed: tenors, spreads, curvature and their changes over one and five rows."""
+    """Daily curve of an Atom feed: tenors, spreads, curvature and their changes over one and five rows; of a day's entries the first."""
     entry = spark.read.option("rowTag", "entry").xml(path, schema="content struct<`m:properties`:struct<`d:NEW_DATE`:string,`d:BC_1MONTH`:string,`d:BC_3MONTH`:string,`d:BC_6MONTH`:string,`d:BC_1YEAR`:string,`d:BC_2YEAR`:string,`d:BC_5YEAR`:string,`d:BC_10YEAR`:string,`d:BC_30YEAR`:string>>")
-    p = entry.select(c("content")["m:properties"].alias("p"))
     names = {"1m": "BC_1MONTH", "3m": "BC_3MONTH", "6m": "BC_6MONTH", "1y": "BC_1YEAR", "2y": "BC_2YEAR", "5y": "BC_5YEAR", "10y": "BC_10YEAR", "30y": "BC_30YEAR"}
-    rows = p.select(F.to_date(F.substring(c("p")["d:NEW_DATE"], 1, 10)).alias("session_date"), *[c("p")[f"d:{v}"].try_cast("double").alias(f"treasury_{k}") for k, v in names.items()])
-    return curve_features(rows.where("session_date is not null").dropDuplicates(["session_date"]))
+    place = F.struct(c("_metadata.file_path"), F.monotonically_increasing_id()).alias("__place")  # a file's rows keep their order in it
+    p = entry.select(c("content")["m:properties"].alias("p"), place)
+    rows = p.select(F.to_date(F.substring(c("p")["d:NEW_DATE"], 1, 10)).alias("session_date"), *[c("p")[f"d:{v}"].try_cast("double").alias(f"treasury_{k}") for k, v in names.items()], "__place")
+    return curve_features(keep_last(rows.where("session_date is not null"), ["session_date"], [c("__place").asc()]).drop("__place"))
 
 
 def curve_features(rows: DataFrame) -> DataFrame:
