@@ -130,7 +130,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     """Two independent 64-bit hashes of each of an array of strings, eight bytes of all words at a time."""
     import xxhash
 
-    data, ends = utf8_bytes(words.cast(pa.large_string()))
+    data, ends = utf8_bytes(words.cast(pa.large_binary()))
     raw = np.concatenate([data, np.zeros(8, np.uint8)]).tobytes()
     eight = np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))
     start, size = ends[:-1], np.diff(ends)

@@ -28,12 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, chunks, lean, remainder, texts_of, utf8_bytes
+from tidemark.llm.common import Words, chunks, lean, remainder, texts_of, utf8_bytes, word_hashes
 from tidemark.scratch import drop, ensure_importable, table
 
 ORDER = 5
 #: Bytes of text in a block, and those handled at once inside it; blocks to a cell; different strings in a group of contexts.
-BLOCK_BYTES, STEP_BYTES, CELL_BLOCKS, GROUP_STRINGS = 8 << 20, 2 << 20, 4, 1 << 18
+BLOCK_BYTES, STEP_BYTES, CELL_BLOCKS, GROUP_STRINGS = 16 << 20, 1 << 20, 2, 1 << 18
 END = b"\n"
 #: Kinds of rows: words, strings, counts of two-byte strings, training documents (0) and words (1).
 WORDS, STRINGS, PAIRS, TOTALS = range(4)
@@ -235,41 +235,47 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def _counted(value: np.ndarray, learnt: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and how often each occurs, or 0 if they are not learnt from."""
+    value = np.sort(value)
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, int)
+    return value[first], np.diff(np.append(first, len(value))) * learnt
+
+
+def _word_table(words: Sequence[pa.Array], counts: Sequence[np.ndarray]) -> pa.Table:
+    """The different words (w) in order and the sums of their counts (c)."""
+    rows = pa.table({"w": pa.chunked_array(words, pa.large_binary()), "c": pa.chunked_array([pa.array(x, pa.int64()) for x in counts], pa.int64())})
+    return rows.group_by("w", use_threads=False).aggregate([("c", "sum")]).rename_columns(["w", "c"]).sort_by("w").combine_chunks()
+
+
 class _Block:
     """What a block holds: its texts' words and strings, and how they are dealt into cells."""
 
     def __init__(self, row: dict, order: int, cells: int):
-        import xxhash
-
         ends = _read_numbers(row["ends"], np.int64)
         raw = _unframe(row["texts"])
         texts = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(raw))
-        held = np.array(row["held"], bool)
-        self.n, self.train = len(ends), ~held
-        self.words, self.values, self.ends = [], [], []
-        counts: dict[str, int] = {}
-        parts = []
+        self.train = ~np.array(row["held"], bool)
+        self.words, self.streams = [], []
+        parts, vocab, counts = [], [], []
         for a, b in _steps(texts):
             part, train = texts.slice(a, b - a), self.train[a:b]
             words = Words(part, lower=True)
-            n = np.bincount(words.codes[np.repeat(train, words.counts)], minlength=len(words.vocab)).tolist()
-            for w, c in zip(words.vocab.to_pylist(), n, strict=True):
-                counts[w] = counts.get(w, 0) + c
-            self.words.append(words)
-            value, stops = strings(list(map(stream, part.to_pylist())), order)
-            self.values.append(value)
-            self.ends.append(stops)
+            vocab.append(words.vocab.cast(pa.large_binary()))
+            counts.append(np.bincount(words.codes[np.repeat(train, words.counts)], minlength=len(words.vocab)))
+            coded = list(map(stream, part.to_pylist()))
+            value, stops = strings(coded, order)
             learnt = np.repeat(train, np.diff(stops, prepend=0))
-            by = np.argsort(value, kind="stable")
-            first = np.flatnonzero(np.diff(value[by], prepend=~value[by[:1]]).astype(bool)) if len(by) else by
-            parts.append((value[by[first]], np.add.reduceat(learnt[by].astype(np.int64), first) if len(first) else first))
+            parts += [_counted(value[learnt], True), _counted(value[~learnt], False)]
+            self.words.append(words)
+            self.streams.append(coded)
+            if len(parts) > 16:
+                parts = [_merge(parts)]
         self.keys, self.counts = _merge(parts)
         self.cells = list(_split(_scatter(self.keys, cells)))
-        self.word_counts = counts
-        dealt: dict[int, list[str]] = {}
-        for w in counts:
-            dealt.setdefault(xxhash.xxh3_64_intdigest(w.encode()) % cells, []).append(w)
-        self.word_cells = [(k, sorted(dealt[k])) for k in sorted(dealt)]
+        held = _word_table(vocab, counts)
+        self.vocab, self.word_counts = held.column("w").combine_chunks(), held.column("c").to_numpy()
+        self.word_cells = list(_split((word_hashes(self.vocab)[0] % np.uint64(cells)).astype(np.int64)))
 
 
 _ASKED = "kind int, cell long, block long, keys binary, counts binary, n long"
@@ -285,12 +291,11 @@ def _ask(row: dict, order: int, cells: int) -> pa.RecordBatch:
     """What one block needs to know. Cells of words come after those of strings."""
     it, block = _Block(row, order, cells), row["block"]
     out = [(STRINGS, k, block, _numbers(it.keys[at]), _values(it.counts[at]), None) for k, at in it.cells]
-    for k, listed in it.word_cells:
-        out.append((WORDS, cells + k, block, _frame("\n".join(listed).encode()), _values(np.array([it.word_counts[w] for w in listed], np.int64)), None))
+    out += [(WORDS, cells + k, block, _frame(b"\n".join(it.vocab.take(pa.array(at)).to_pylist())), _values(it.word_counts[at]), None) for k, at in it.word_cells]
     seen = it.counts > 0
     two, c = _merge([(it.keys[seen] & np.uint64(0xFFFF), it.counts[seen])])
     out += [(PAIRS, int(k), block, None, None, int(v)) for k, v in zip(two, c, strict=True)]
-    out += [(TOTALS, 0, block, None, None, int(it.train.sum())), (TOTALS, 1, block, None, None, sum(it.word_counts.values()))]
+    out += [(TOTALS, 0, block, None, None, int(it.train.sum())), (TOTALS, 1, block, None, None, int(it.word_counts.sum()))]
     return _rows(out)
 
 
@@ -317,13 +322,12 @@ def _answer(asked: pa.Table, coded: pa.Table) -> pa.Table:
     cell, kind = asked.column("cell")[0].as_py(), asked.column("kind")[0].as_py()
     questions = list(zip(asked.column("block").to_pylist(), asked.column("keys").to_pylist(), asked.column("counts").to_pylist(), strict=True))
     if kind == WORDS:
-        total: dict[bytes, int] = {}
-        for _, k, c in questions:
-            for w, n in zip(_unframe(k).split(b"\n"), _read_values(c, np.int64).tolist(), strict=True):
-                total[w] = total.get(w, 0) + n
-        for block, k, _ in questions:
-            rows.append((WORDS, cell, block, None, _values(np.array([total[w] for w in _unframe(k).split(b"\n")], np.int64)), None))
-        rows.append((TOTALS, cell, -1, None, None, sum(c > 0 for c in total.values())))
+        lists = [pa.array(_unframe(k).split(b"\n"), pa.large_binary()) for _, k, _ in questions]
+        total = _word_table(lists, [_read_values(x, np.int64) for _, _, x in questions])
+        known, sums = total.column("w").combine_chunks(), total.column("c").to_numpy()
+        for (block, _, _), mine in zip(questions, lists, strict=True):
+            rows.append((WORDS, cell, block, None, _values(sums[pc.index_in(mine, known).to_numpy()]), None))
+        rows.append((TOTALS, cell, -1, None, None, int((sums > 0).sum())))
     else:
         lists = [_read_numbers(x, np.uint64) for x in coded.column("keys").to_pylist()]
         keys, codes = np.concatenate(lists), np.concatenate([_read_values(x, np.float64) for x in coded.column("counts").to_pylist()])
@@ -338,16 +342,18 @@ def _score(blocks: pa.Table, replies: pa.Table, order: int, cells: int) -> pa.Ta
     row = blocks.to_pylist()[0]
     it = _Block(row, order, cells)
     got = {c: x for c, x in zip(replies.column("cell").to_pylist(), replies.column("counts").to_pylist(), strict=True)}
-    known: dict[str, int] = {}
-    for k, listed in it.word_cells:
-        known.update(zip(listed, _read_values(got[cells + k], np.int64).tolist(), strict=True))
+    known = np.zeros(len(it.vocab), np.int64)
+    for k, at in it.word_cells:
+        known[at] = _read_values(got[cells + k], np.int64)
     codes = np.zeros(len(it.keys))
     for k, at in it.cells:
         codes[at] = _read_values(got[k], np.float64)
     find = _lookup(it.keys, codes) if len(codes) else None
     out: list[list] = [[], [], [], []]
-    for words, value, ends in zip(it.words, it.values, it.ends, strict=True):
-        count = np.array([known[w] for w in words.vocab.to_pylist()], np.int64)[words.codes] if len(words.vocab) else np.zeros(0, np.int64)
+    for words, coded in zip(it.words, it.streams, strict=True):
+        value, ends = strings(coded, order)
+        of_word = pc.index_in(words.vocab.cast(pa.large_binary()), it.vocab).to_numpy(zero_copy_only=False).astype(np.int64)
+        count = known[of_word][words.codes]
         doc, n = words.doc_of_word(), len(words.counts)
         out[0].append(words.counts + 1)
         out[1].append(np.bincount(doc, weights=count > 0, minlength=n).astype(np.int64))
