@@ -279,3 +279,49 @@ def common_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = per.agg(F.count_distinct("fold").alias("all"))
     out = per.groupBy("model").agg(F.count_distinct("fold").alias("n"), F.avg("l").alias("mean_logloss")).join(F.broadcast(n)).where(c("n") == c("all"))  # one row
     return rounded(out.select("model", "n", "mean_logloss"))
+
+
+# aggregation patterns --------------------------------------------------------------------------------
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(spark, sf_dir).select(F.year("session_date").alias("fold"), "y", "p", "risk", c("asset_class").alias("regime"))
+
+
+_SMOOTH = lambda x: f"least(greatest({x}, 1e-6), 1 - 1e-6)"
+_LOGIT = lambda x: f"(ln({x}) - ln(1 - {x}))"
+#: Patterns with an SQL expression over the probabilities pa, pb (mean m, deviation s) and the fold's prior.
+_FORMS = {
+    "equal_mean": "m", "logit_mean": f"1 / (1 + exp(-({_LOGIT('pa')} + {_LOGIT('pb')}) / 2))", "power_mean_0.5": "pow((sqrt(pa) + sqrt(pb)) / 2, 2)", "power_mean_2": "sqrt((pa * pa + pb * pb) / 2)",
+    "odds_mean_2": "sqrt((pow(pa / (1 - pa), 2) + pow(pb / (1 - pb), 2)) / 2) / (1 + sqrt((pow(pa / (1 - pa), 2) + pow(pb / (1 - pb), 2)) / 2))", "disagreement_shrink_0.5": "0.5 + (m - 0.5) * exp(-0.5 * s / 0.10)",
+    "lower_quantile_mix": "0.25 * least(pa, pb) + 0.75 * m", "vote_60": "0.5 + (((pa >= 0.5)::int + (pb >= 0.5)::int) / 2 - 0.5) * 0.6", "shrink_neutral_20": "0.8 * m + 0.1", "agreement_strength_mean_50": f"0.5 + (m - 0.5) * (0.5 + 0.5 * {_clip('1 - 4 * s', 0, 1)})",
+    "prior_outcome_base_rate_shrink_25": "0.75 * m + 0.25 * base_rate", "prior_base_rate_shrink": "0.75 * m + 0.25 * long_run", "prior_quality_t005": "wq * pa + (1 - wq) * pb", "minimax_t005": "wm * pa + (1 - wm) * pb", "recency_h2": "wr * pa + (1 - wr) * pb",
+    "consensus_shrink_q75": f"0.5 + (m - 0.5) * (1 - 0.6 * {_clip('s / greatest(spread, 0.01)', 0, 1)})", "case_low_margin_30": f"(1 - 0.3 * {_clip('1 - 2 * abs(m - 0.5)', 0, 1)}) * m + 0.3 * {_clip('1 - 2 * abs(m - 0.5)', 0, 1)} * base_rate",
+}
+_LATER = ("prior_", "minimax", "recency", "consensus", "case_")
+
+
+@query(
+    f"""with {_CASES}, k as (select year(session_date) as fold, (y_ret > 0)::int as y, {_SMOOTH('pa')} as pa, {_SMOOTH('pb')} as pb, (pa + pb) / 2 as m0 from cases where y_ret is not null), w as (select *, (pa + pb) / 2 as m, abs(pa - pb) / 2 as s from k),
+    per as (select fold, count(*) as n, sum(y) as sy, avg(m0) as lm, avg(-(y * ln(pa) + (1 - y) * ln(1 - pa))) as la, avg(-(y * ln(pb) + (1 - y) * ln(1 - pb))) as lb from w group by fold),
+    pr as (select t.fold, sum(p.sy) / sum(p.n) as base_rate, avg(p.lm) as long_run, 1 / (1 + exp((avg(p.la) - avg(p.lb)) / 0.05)) as wq, 1 / (1 + exp((max(p.la) - max(p.lb)) / 0.05)) as wm,
+      1 / (1 + exp((sum(p.la * pow(0.5, (t.fold - 1 - p.fold) / 2.0::double)) - sum(p.lb * pow(0.5, (t.fold - 1 - p.fold) / 2.0::double))) / sum(pow(0.5, (t.fold - 1 - p.fold) / 2.0::double)) / 0.05)) as wr from per t join per p on p.fold < t.fold group by t.fold),
+    sp as (select t.fold, quantile_cont(w.s, 0.75) as spread from (select distinct fold from w) t join w on w.fold < t.fold group by t.fold), x as (select w.*, base_rate, long_run, wq, wm, wr, spread from w left join pr using (fold) left join sp using (fold)),
+    each as (select fold, y, unnest([{", ".join(f"{{'pattern': '{n}', 'p': {e}}}" for n, e in _FORMS.items())}]) as z from x), rows as (select z.pattern as pattern, fold, y, {_SMOOTH('z.p')} as p from each where z.p is not null and not (fold = (select min(fold) from x) and ({" or ".join(f"starts_with(z.pattern, '{n}')" for n in _LATER)}))),
+    one as (select pattern, fold, count(*) as n, avg({_LL}) as logloss, avg((p - y) ** 2) as brier, avg({_HIT}) as accuracy from rows group by all), bins as (select pattern, fold, {_BIN} as b, count(*) as k, abs(avg(p) - avg(y)) as gap from rows group by all), eces as (select pattern, fold, sum(k * gap) / sum(k) as ece from bins group by all)
+    select pattern, fold::int as fold, n, {_r('logloss', 'logloss')}, {_r('brier', 'brier')}, {_r('accuracy', 'accuracy')}, {_r('ece', 'ece')} from one join eces using (pattern, fold)"""
+)
+def pattern_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the patterns with a closed form, by year."""
+    from tidemark.operators.patterns import evaluate
+
+    out = evaluate(_cases(spark, sf_dir), ["momentum", "reversal"], fitted=False)
+    return rounded(out.where(c("pattern").isin(*_FORMS)).select("pattern", "fold", "n", "logloss", "brier", "accuracy", "ece"))
+
+
+@query()
+def aggregation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every aggregation pattern, the fitted ones included, by year."""
+    from tidemark.operators.patterns import evaluate
+
+    return rounded(evaluate(_cases(spark, sf_dir), ["momentum", "reversal"]))

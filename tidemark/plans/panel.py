@@ -631,14 +631,6 @@ def case_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding"), 6)
 
 
-@query()
-def aggregation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of every aggregation pattern that is built, in every fold; the README names those of the survey that are not."""
-    from tidemark.operators.patterns import evaluate
-
-    return rounded(evaluate(bank(spark, sf_dir), KEY))
-
-
 @query()
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible lines of the web pages."""
