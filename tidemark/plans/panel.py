@@ -639,12 +639,17 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_lines(views.read(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
+@query(
+    r"""with i as (select page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1, 's') as items from pages), u as (select page_id, unnest(items) as x, unnest(range(0, len(items))) as row_no from i)
+    select page_id, row_no::int as row_no, '' as section, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) as cell from u"""
+)
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table rows of the web pages."""
+    """Table rows of the web pages, whose lists stand for tables, as these pages have none."""
     from tidemark.sources.parsers import html_table_rows
 
-    return html_table_rows(views.read(spark, sf_dir, "pages"), "page_id", "html")
+    pages = views.read(spark, sf_dir, "pages")
+    pages = pages.withColumn("html", F.replace(F.replace("html", F.lit("<li>"), F.lit("<tr><td>")), F.lit("</li>"), F.lit("</td></tr>")))
+    return html_table_rows(pages, "page_id", "html").select("page_id", "row_no", "section", c("cells")[0].alias("cell"))
 
 
 @query(
