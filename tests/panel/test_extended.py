@@ -361,3 +361,104 @@ def test_registers_settings_and_choice(spark):
     text = "# c\nmodel:\n  half_life: 252\n  names: [a, 'b']\n  on: true # yes\nlist:\n- x\n- 2.5\nempty:\n"
     want = {"model": {"half_life": 252, "names": ["a", "b"], "on": True}, "list": ["x", 2.5], "empty": None}
     assert filings._plain_yaml(text) == want and filings.config('{"a": 1}') == {"a": 1}
+
+
+def test_prices_that_must_agree(spark):
+    from tidemark.operators import audits
+
+    names = "asset_class string, symbol string, session_date date, open double, high double, low double, close double, volume double, available_at timestamp, retrieved_at timestamp"
+    row = lambda s, d, close=10.0, at=0: ("us", s, dt.date(2024, 1, d), 10.0, 11.0, 9.0, close, 5.0, T(d, 1), T(d + 1 + at))
+    good = spark.createDataFrame([row("A", 1), row("A", 1, at=2), row("B", 1)], names)
+    assert upkeep.canonical_checked(good, ["asset_class", "symbol", "session_date"]).count() == 2
+    with pytest.raises(ValueError, match="rows of one key differ"):
+        upkeep.canonical_checked(good.unionByName(spark.createDataFrame([row("B", 1, 10.5)], names)), ["asset_class", "symbol", "session_date"])
+    keys = ["asset_class", "symbol"]
+    expected = spark.createDataFrame([("us", "A"), ("us", "B")], "asset_class string, symbol string")
+    none = expected.where("false")
+    bars = spark.createDataFrame([row("A", 1), row("B", 1)], names)
+    assert audits.quality_verdict(bars, expected, none, keys, F.lit(T(5)))["status"] == "PASS"
+    assert audits.quality_verdict(bars, expected, none, keys, F.lit(T(40)))["reasons"] == ["stale:2"]
+    more = expected.unionByName(spark.createDataFrame([("us", "C")], expected.schema))
+    assert audits.quality_verdict(bars, more, none, keys, F.lit(T(5)))["reasons"] == ["missing:1"]
+    late = spark.createDataFrame([("us", "C"), ("us", "Q")], expected.schema)
+    got = audits.quality_verdict(bars, more, late, keys, F.lit(T(5)), critical=["C"])
+    assert got["status"] == "FAIL" and got["reasons"][:2] == ["unknown:1", "critical:1"] and got["reasons"][2].startswith("deferred_share:0.333")
+
+
+def test_bootstraps(spark):
+    from tidemark.operators import evidence
+
+    rng = random.Random(9)
+    good = [0.1 + 0.05 * rng.gauss(0, 1) for _ in range(200)]
+    a = evidence.paired_bootstrap(good)
+    assert a["status"] == "OK" and a["low"] < a["mean"] < a["high"] and a["p_two_sided"] < 0.01 and a == evidence.paired_bootstrap(good)
+    assert evidence.paired_bootstrap([0.1] * 5)["status"] == "INSUFFICIENT_CASES"
+    df = spark.createDataFrame([(i // 20, x) for i, x in enumerate(good)], "session_date int, x double")
+    clusters = evidence.session_clusters(df, c("x"))
+    b = evidence.cluster_bootstrap(clusters)
+    assert len(clusters) == 10 and b["mean"] == pytest.approx(a["mean"]) and b["probability_positive"] == 1.0
+    assert evidence.cluster_bootstrap(clusters[:3])["status"] == "INSUFFICIENT_CLUSTERS"
+
+
+def test_catalogue_words(spark):
+    from tidemark.operators import rows
+
+    df = spark.createDataFrame([(["x", "7203", "Toyota"], "個別株", "Toyota"), (["1343"], "上場投資信託", "n"), (["8951", "a"], "", "日本ビルファンド投資法人"), (["bad"], "?", "?")], "cells array<string>, section string, name string")
+    got = [tuple(r) for r in df.select(rows.code_of(c("cells"), "japan"), rows.class_of(c("section"), c("name"), "japan")).collect()]
+    assert got == [("7203", "jp_stock"), ("1343", "jp_etf"), ("8951", "jp_reit"), (None, None)]
+    us = spark.createDataFrame([(["BRK.B", "App, Desk"], "米国株", "Berkshire"), (["SPY"], "x", "An ETF")], "cells array<string>, section string, name string")
+    got = [tuple(r) for r in us.select(rows.code_of(c("cells"), "us"), rows.class_of(c("section"), c("name"), "us"), rows.channels_of(c("cells"), ["app", "web"])).collect()]
+    assert got == [("BRK.B", "us_stock", ["app"]), ("SPY", "us_etf", [])]
+
+
+def test_routes_fall_back_to_what_folds_choose(spark):
+    from tidemark.operators import rows
+
+    df = spark.createDataFrame([("A", "us", "r", "s"), ("B", "jp", "r", "s")], "symbol string, asset_class string, regime string, situation string")
+    tables = {"regime": spark.createDataFrame([("q", "m0")], "regime string, model_id string"), "oos_asset": spark.createDataFrame([("us", "m1")], "asset_class string, model_id string"), "oos_global": spark.createDataFrame([("m2",)], "model_id string")}
+    assert {r["symbol"]: (r["model_id"], r["route_reason"]) for r in rows.route(df, tables).collect()} == {"A": ("m1", "oos_asset"), "B": ("m2", "oos_global")}
+
+
+def test_case_risk_is_learned_from_earlier_folds(spark):
+    rng = random.Random(11)
+    rows = []
+    for f in range(4):
+        for _ in range(150):
+            o = rng.random()
+            rows.append((f, 0.5, o, 0.2, 0.1, 0.6, int(rng.random() < o)))
+    df = spark.createDataFrame(rows, "fold int, case_predictability double, case_ood double, case_failure_risk double, case_disagreement double, prediction double, failed int")
+    got = control.learned_case_risk(df, least=100)
+    assert {r["learned_risk"] for r in got.where("fold = 0").collect()} == {0.5} and got.where("fold = 3").stat.corr("learned_risk", "case_ood") > 0.9
+    assert control.case_signs(df).first()["fixed_risk"] == pytest.approx((0.5 + rows[0][2] + 0.2 + 0.1) / 4)
+
+
+def test_patterns_learn_nothing_from_their_own_fold(spark):
+    from tidemark.operators import patterns
+
+    rng = random.Random(12)
+    rows = [(f, int(rng.random() < 0.5), [rng.random() for _ in range(3)], [rng.random(), None if rng.random() < 0.1 else rng.random()], rng.choice("xy")) for f in range(4) for _ in range(60)]
+    names = "fold int, y int, p array<double>, risk array<double>, regime string"
+    before = {(r["pattern"], r["fold"]): r for r in patterns.evaluate(spark.createDataFrame(rows, names), ["a", "b", "c"], fitted=False).collect()}
+    assert len({p for p, _ in before}) > 170 and all(0 <= r["coverage"] <= 1 and r["n"] <= 60 for r in before.values())
+    flipped = [(f, 1 - y if f == 3 else y, p, r, g) for f, y, p, r, g in rows]
+    after = {(r["pattern"], r["fold"]): r for r in patterns.evaluate(spark.createDataFrame(flipped, names), ["a", "b", "c"], fitted=False).collect()}
+    for (name, fold), r in before.items():
+        if fold < 3:
+            assert after[name, fold]["logloss"] == pytest.approx(r["logloss"])
+        elif r["n"]:  # the same predictions, judged by the other outcome
+            assert after[name, fold]["accuracy"] == pytest.approx(1 - r["accuracy"], abs=1e-9)
+    best = patterns.best_so_far(spark.createDataFrame([(p, f, r["coverage"], r["logloss"]) for (p, f), r in before.items()], "pattern string, fold int, coverage double, logloss double"), 4, least=2)
+    assert {r["fold"] for r in best.collect()} == {2, 3}
+
+
+def test_fitted_patterns(spark):
+    from tidemark.operators import patterns
+
+    rng = random.Random(13)
+    rows = [(f, y, [min(max(0.5 + 0.3 * (y - 0.5) + rng.gauss(0, 0.2), 0.01), 0.99) for _ in range(2)], [], "x") for f in range(2) for y in (0, 1) for _ in range(60)]
+    df = spark.createDataFrame(rows, "fold int, y int, p array<double>, risk array<double>, regime string")
+    got = {r["pattern"]: r for r in patterns.evaluate(df, ["a", "b"]).where("fold = 1").collect()}
+    assert len(got) == len(patterns.PATTERNS) + len(patterns.LEARNED)
+    assert all(math.isfinite(r["logloss"]) for r in got.values() if r["n"])
+    for name in ("stack_logistic_prob_C1", "platt_after_equal_mean", "beta_after_prior_quality", "cal_temperature_equal"):
+        assert got[name]["logloss"] < got["equal_mean"]["logloss"], name

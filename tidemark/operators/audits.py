@@ -58,6 +58,36 @@ def gate(counts: dict[str, int], limits: dict[str, int]) -> dict:
     return {"status": "BLOCKED" if reasons else "PASS", "reasons": reasons}
 
 
+def quality_verdict(bars: DataFrame, expected: DataFrame, deferred: DataFrame, keys: Sequence[str], now: Column, days: int = 10, most_deferred: float = 0.05, critical: Sequence[str] = ()) -> dict:
+    """PASS or FAIL of the price table with the reasons.
+
+    expected and deferred name instruments (keys): those that should have prices, and those
+    that the provider could not give this time. Missing or stale instruments that are not
+    deferred, deferred ones that nobody expects or too large a share of them, invalid rows,
+    and a deferred instrument whose symbol begins with a critical prefix fail the table.
+    """
+    from tidemark.operators.upkeep import quality_report
+
+    report = quality_report(bars, [*keys, "session_date"]).first()
+    one = expected.select(*keys).distinct().withColumn("__e", F.lit(True))
+    put_off = deferred.select(*keys).distinct().withColumn("__d", F.lit(True))
+    seen = bars.where(c("available_at") <= now).groupBy(*keys).agg(F.max("session_date").alias("__last"))
+    both = one.join(put_off, list(keys), "full").join(seen, list(keys), "left")
+    late, gone = F.date_diff(F.to_date(now), c("__last")) > days, c("__e").isNotNull() & c("__last").isNull()
+    known, unknown = c("__d").isNotNull() & c("__e").isNotNull(), c("__d").isNotNull() & c("__e").isNull()
+    prefix = F.lit(False)
+    for x in critical:
+        prefix = prefix | c("symbol").startswith(x)
+    n = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("int"))
+    r = both.agg(n(c("__e").isNotNull()).alias("expected"), n(known).alias("deferred"), n(unknown).alias("unknown"), n(gone & c("__d").isNull()).alias("missing"), n(c("__e").isNotNull() & late & c("__d").isNull()).alias("stale"), n(known & prefix).alias("critical")).first()
+    counts = {x: report[x] for x in ("duplicates", "invalid_bars", "missing_close", "negative_volume")} | {x: r[x] or 0 for x in ("unknown", "missing", "stale", "critical")}
+    reasons = [f"{k}:{v}" for k, v in counts.items() if v]
+    share = (r["deferred"] or 0) / r["expected"] if r["expected"] else 0.0
+    reasons += [f"deferred_share:{share:.6f}"] if share > most_deferred else []
+    reasons += ["no_rows"] if not report["n_rows"] else []
+    return {"status": "FAIL" if reasons else "PASS", "rows": report["n_rows"], "reasons": reasons}
+
+
 def monitor(resolved: DataFrame, segments: Sequence[Sequence[str]], recent: int = 20, least: int = 30, date: str = "session_date") -> dict[str, DataFrame]:
     """Metrics over all resolved predictions, over the recent sessions, and by segment."""
     last = resolved.select(date).distinct().orderBy(c(date).desc()).limit(recent)

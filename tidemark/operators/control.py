@@ -361,3 +361,27 @@ def loss_weights(losses: Column, temperature: float = 0.25, uniform: float = 0.1
 def smoothed_rate(failed: Column) -> Column:
     """Aggregate: failures and a half over rows and one."""
     return (F.sum(failed) + 0.5) / (F.count(failed) + 1.0)
+
+
+#: What a learned model of case failures reads (fixed values).
+CASE_SIGNS = ("case_predictability", "case_ood", "case_failure_risk", "case_disagreement")
+
+
+def case_signs(rows: DataFrame) -> DataFrame:
+    """rows with the signs held in [0, 1], the prediction's confidence and entropy, and the fixed score: the mean of four risks."""
+    p = clip(c("prediction"), 0.0, 1.0)
+    q = clip(p, 1e-12, 1 - 1e-12)
+    held = {x: clip(c(x), 0.0, 1.0) for x in CASE_SIGNS}
+    out = rows.withColumns(held)
+    fixed = (1 - c("case_predictability") + c("case_ood") + c("case_failure_risk") + c("case_disagreement")) / 4
+    return out.withColumns({"case_confidence": 2 * F.abs(p - 0.5), "case_entropy": -(q * F.log(q) + (1 - q) * F.log(1 - q)) / math.log(2.0), "fixed_risk": fixed})
+
+
+def learned_case_risk(rows: DataFrame, frozen_from: int | None = None, least: int = 240) -> DataFrame:
+    """rows (fold, CASE_SIGNS, prediction, failed) with learned_risk, by a logistic model of the cases of earlier folds.
+
+    From fold frozen_from on the model stays, so locked outcomes never feed back.
+    """
+    from tidemark.operators.logistic import prequential
+
+    return prequential(case_signs(rows), [*CASE_SIGNS, "case_confidence", "case_entropy"], "failed", "learned_risk", frozen_from=frozen_from, strength=0.25, balanced=True, least=least)

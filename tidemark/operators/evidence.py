@@ -40,6 +40,36 @@ def sign_flip_p_value(x: Sequence[float], replicates: int = 4000, seed: int = 42
     return float((1 + (np.abs((signs * v).mean(1)) >= abs(v.mean()) - 1e-15).sum()) / (replicates + 1))
 
 
+def paired_bootstrap(changes: Sequence[float], replicates: int = 2000, seed: int = 20261002, least: int = 30) -> dict:
+    """Mean of paired changes with a 95 % interval and a two-sided p-value, cases drawn one by one."""
+    v = np.asarray([u for u in changes if u is not None and math.isfinite(u)], float)
+    if len(v) < least:
+        return {"status": "INSUFFICIENT_CASES", "n": len(v)}
+    rng = np.random.default_rng(seed)
+    means = np.array([v[rng.integers(0, len(v), len(v))].mean() for _ in range(replicates)])
+    low, high = np.quantile(means, [0.025, 0.975])
+    p = min(1.0, 2 * min((means <= 0).mean(), (means >= 0).mean()))
+    return {"status": "OK", "n": len(v), "mean": float(v.mean()), "low": float(low), "high": float(high), "p_two_sided": float(p)}
+
+
+def cluster_bootstrap(clusters: Sequence[tuple[float, int]], replicates: int = 1000, seed: int = 42, least: int = 5) -> dict:
+    """The same with whole clusters drawn: clusters are (sum of changes, number of cases), one a session."""
+    kept = [(s, n) for s, n in clusters if n and s is not None and math.isfinite(s)]
+    if len(kept) < least:
+        return {"status": "INSUFFICIENT_CLUSTERS", "n": len(kept)}
+    sums, sizes = np.array([s for s, _ in kept]), np.array([n for _, n in kept], float)
+    drawn = np.random.default_rng(seed).integers(0, len(kept), (replicates, len(kept)))
+    means = sums[drawn].sum(1) / sizes[drawn].sum(1)
+    low, high = np.quantile(means, [0.025, 0.975])
+    return {"status": "OK", "n": len(kept), "mean": float(sums.sum() / sizes.sum()), "low": float(low), "high": float(high), "probability_positive": float((means > 0).mean())}
+
+
+def session_clusters(rows: DataFrame, change: Column, session: str = "session_date") -> list[tuple[float, int]]:
+    """(sum, number) of the changes of each session, which is what cluster_bootstrap draws from."""
+    got = rows.groupBy(session).agg(F.sum(change).alias("s"), F.count(change).alias("n")).orderBy(session).collect()  # a row a session
+    return [(r["s"], r["n"]) for r in got]
+
+
 def paired_folds(metrics: DataFrame, candidate: str, baseline: str, metric: str = "logloss") -> DataFrame:
     """(fold, gain): baseline less candidate on the folds both have."""
     one = metrics.where(c("model") == candidate).select("fold", c(metric).alias("__a"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +75,16 @@ def weighted_success(neighbours: DataFrame, outcomes: DataFrame, id_col: str, va
     o = outcomes.select(F.col(id_col).alias("__o"), F.col(value_col).cast("double").alias("__v"))
     w = 1 / F.greatest(F.col("distance") + 1e-6, F.lit(1e-6))
     return neighbours.join(o, F.col("neighbour_id") == F.col("__o")).groupBy("query_id").agg((F.sum(w * F.col("__v")) / F.sum(w)).alias("success"))
+
+
+def standardised(rows: DataFrame, history: DataFrame, columns: Sequence[str], id_col: str, vector_col: str = "vector") -> DataFrame:
+    """(id, vector): the columns less the history's medians, over its deviations (1 where there is none), missing values as the median."""
+    from tidemark.functions.quantiles import exact_quantiles
+
+    middle = [exact_quantiles(history, [], x, [0.5]).first() for x in columns]
+    spread = history.agg(*[F.stddev_pop(x).alias(x) for x in columns]).first()
+    z = []
+    for x, m in zip(columns, middle, strict=True):
+        level, scale = (m["q"][0] if m else 0.0), spread[x]
+        z.append(F.coalesce((F.col(x).cast("double") - F.lit(level)) / F.lit(scale if scale is not None and scale >= 1e-6 else 1.0), F.lit(0.0)))
+    return rows.select(id_col, F.array(*z).alias(vector_col))

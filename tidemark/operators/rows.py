@@ -71,6 +71,37 @@ def error_tags(p: Column, y: Column, return_error: Column, disagreement: Column)
     )
 
 
+#: Pages of the catalogue, the code that an instrument has there, and the words that tell its class (fixed values).
+CODES = {"japan": "^[0-9]{4}[A-Z]?$", "us": r"^[A-Z][A-Z0-9.\-]{0,7}$"}
+CLASS_WORDS = {
+    "japan": (("jp_reit", ("REIT", "投資法人")), ("jp_etf", ("ETF", "上場投資信託")), ("jp_stock", ("個別", "日本株"))),
+    "us": (("us_etf", ("ETF",)), ("us_stock", ("米国株",))),
+}
+
+
+def code_of(cells: Column, market: str) -> Column:
+    """The first of a row's first four cells that looks like an instrument's code."""
+    return F.get(F.filter(F.slice(cells, 1, 4), lambda x: x.rlike(CODES[market])), F.lit(0))
+
+
+def class_of(section: Column, name: Column, market: str) -> Column:
+    """Asset class by the words of section and name, the first that matches; null without any."""
+    text = F.upper(F.concat_ws(" ", section, name))
+    out = F.lit(None).cast("string")
+    for kind, names in reversed(CLASS_WORDS[market]):
+        hit = F.lit(False)
+        for w in names:
+            hit = hit | F.contains(text, F.lit(w))
+        out = F.when(hit, kind).otherwise(out)
+    return out
+
+
+def channels_of(cells: Column, known: Sequence[str]) -> Column:
+    """Words of the row's cells that name a known trade channel, each once, in the order found."""
+    words = F.flatten(F.transform(cells, lambda x: F.split(F.lower(x), r"[,\s]+")))
+    return F.array_distinct(F.filter(words, lambda x: x.isin(*known)))
+
+
 def situation(regime: Column, gap: Column, vol_ratio: Column, vix: Column, breadth: Column, sma60: Column) -> Column:
     """Finer label of what put a row into its regime."""
     yes = lambda x: F.coalesce(x, F.lit(False))
@@ -124,6 +155,8 @@ def top_per_kind(sources: DataFrame, kind: str, score: str, n: int, tie: Sequenc
 ROUTES = (
     ("symbol_regime", ("symbol", "regime")), ("symbol", ("symbol",)), ("asset_situation", ("asset_class", "situation")), ("situation", ("situation",)),
     ("asset_regime", ("asset_class", "regime")), ("asset", ("asset_class",)), ("regime", ("regime",)), ("global", ()),
+    # behind the frozen routes, what the folds choose
+    ("oos_asset_regime", ("asset_class", "regime")), ("oos_asset", ("asset_class",)), ("oos_regime", ("regime",)), ("oos_global", ()),
 )
 
 

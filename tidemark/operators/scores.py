@@ -114,13 +114,16 @@ def expert_average(sessions: DataFrame, eta: float, delay: int = 0, session: str
     return lost.withColumn("weight", e / F.sum(e).over(day)).drop("__z")
 
 
-def shared_expert_average(sessions: DataFrame, eta: float, share: float, models: Sequence[str], session: str = "session_date") -> DataFrame:
+def shared_expert_average(sessions: DataFrame, eta: float, share: float, models: Sequence[str], session: str = "session_date", delay: int = 0) -> DataFrame:
     """Weights with a fixed share mixed in after each released outcome: a fold over session rows, which are few.
 
-    Returns (session, weights): an array in the order of models, in force before the session.
+    An outcome is released delay sessions after the next one begins; only then are weights
+    moved and shared. Returns (session, weights): an array in the order of models, in force
+    at the session.
     """
     k = len(models)
     day = sessions.groupBy(session).pivot("model", list(models)).agg(F.first("loss")).select(session, F.array(*[F.coalesce(c(f"`{m}`"), F.lit(0.0)) for m in models]).alias("loss"))
+    day = day.withColumn("loss", F.lag("loss", 1 + delay).over(Window.orderBy(session)))
     rows = day.agg(F.array_sort(F.collect_list(F.struct(session, "loss"))).alias("rows"))
     even = F.array_repeat(F.lit(1.0 / k), k)
 
@@ -128,8 +131,8 @@ def shared_expert_average(sessions: DataFrame, eta: float, share: float, models:
         w = acc["w"]
         raw = F.zip_with(w, row["loss"], lambda a, x: a * F.exp(-eta * x))
         total = F.aggregate(raw, F.lit(0.0), lambda a, b: a + b)
-        mixed = F.transform(raw, lambda a: (1 - share) * a / total + share / k)
-        return F.struct(mixed.alias("w"), F.concat(acc["out"], F.array(w)).alias("out"))
+        mixed = F.when(row["loss"].isNull(), w).otherwise(F.transform(raw, lambda a: (1 - share) * a / total + share / k))
+        return F.struct(mixed.alias("w"), F.concat(acc["out"], F.array(mixed)).alias("out"))
 
     start = F.struct(even.alias("w"), F.array().cast("array<array<double>>").alias("out"))
     folded = rows.select("rows", F.aggregate("rows", start, step, lambda acc: acc["out"]).alias("out"))

@@ -227,6 +227,17 @@ def technical_features(bars: DataFrame, keys: Sequence[str] = ("asset_class", "s
     return _by_key(bars, keys, order, names, fn).withColumns({k: v for k, v in calendar.items() if only is None or k in only})
 
 
+def basic_features(bars: DataFrame, keys: Sequence[str] = ("asset_class", "symbol"), order: str = "session_date") -> DataFrame:
+    """Returns over 1, 5 and 20 rows, the 20-row mean price, its volatility and relative volume."""
+
+    def fn(rows: pa.Table) -> dict[str, Array]:
+        close, volume = _numbers(rows, "close"), _numbers(rows, "volume")
+        f = {f"ret_{n}d": div(close, shift(close, n)) - 1 for n in (1, 5, 20)}
+        return f | {"sma_20": mean(close, 20), "volatility_20": std(f["ret_1d"], 20), "volume_ratio_20": div(volume, mean(volume, 20))}
+
+    return _by_key(bars, keys, order, ["ret_1d", "ret_5d", "ret_20d", "sma_20", "volatility_20", "volume_ratio_20"], fn)
+
+
 def targets(bars: DataFrame, keys: Sequence[str] = ("asset_class", "symbol"), order: str = "session_date") -> DataFrame:
     """Forward returns over one and five sessions, masked around splits, and their direction flags.
 

@@ -39,14 +39,15 @@ def asof_each(left: DataFrame, right: DataFrame, each: str, on: str, take: Seque
     that is not known yet maps to nulls; a null time has no map.
     """
     right = right.where(F.col(each).isNotNull())
-    values = F.broadcast(right.select(each).distinct())  # a row a series
-    times = left.select(on).where(F.col(on).isNotNull()).distinct().crossJoin(values)
+    values = sorted(r[0] for r in right.select(each).distinct().collect())  # a few series
+    listed = F.array(*map(F.lit, values)) if values else F.array().cast(f"array<{right.schema[each].dataType.simpleString()}>")
+    times = left.select(on).where(F.col(on).isNotNull()).distinct().withColumn(each, F.explode(listed))
     entry = F.struct(each, F.struct(*take).alias("__v"))
     found = asof(times, right, [each], on, take, tie).groupBy(F.col(on).alias("__on")).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
     return left.join(found, F.col(on) == F.col("__on"), "left").drop("__on")
 
 
-#: Context column of a bar -> (macro family, its column): src/features/context.py:62-76 of the study.
+#: Context column of a bar -> (macro family, its column) (fixed values).
 CONTEXT = {f"{x}_ret_1d_lag1": (x, "ret_1d") for x in ("nikkei", "topix", "sp500", "nasdaq", "usd_jpy", "dxy", "gold", "oil", "hyg")} | {
     "vix_level_lag1": ("vix", "close"), "us10y_level_lag1": ("us10y", "close"),
     "jp_market_volatility_lag1": ("nikkei", "volatility_20"), "us_market_volatility_lag1": ("sp500", "volatility_20"),

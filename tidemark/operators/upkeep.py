@@ -33,6 +33,15 @@ def canonical(bars: DataFrame, keys: Sequence[str], retrieved: str = "retrieved_
     return keep_last(fair, keys, [c(retrieved).desc_nulls_last(), c(available).desc_nulls_last(), c("close").desc(), c("volume").desc()])
 
 
+def canonical_checked(bars: DataFrame, keys: Sequence[str], columns: Sequence[str] = ("open", "high", "low", "close", "volume"), retrieved: str = "retrieved_at", available: str = "available_at") -> DataFrame:
+    """canonical(), or an error where rows of one key differ in the columns: conflicting sources are not settled by time."""
+    fair = bars.where(c(retrieved).isNull() | c(available).isNull() | (c(available) <= c(retrieved))).where(valid_bar())
+    bad = conflicts(fair, keys, columns).select(*keys).first()
+    if bad:
+        raise ValueError(f"rows of one key differ: {tuple(bad)}")
+    return canonical(bars, keys, retrieved, available)
+
+
 def conflicts(bars: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Keys whose rows differ in the given columns; a canonical table must have none."""
     return bars.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(F.struct(*columns)).alias("versions")).where("versions > 1")

@@ -237,3 +237,70 @@ def routed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     served = b.sparkSession.createDataFrame([("served",)], "model_id string")
     out = rows.route(b, {"symbol": symbols, "asset": classes, "regime": one, "global": served})
     return out.select(*KEY, "model_id", c("route_reason").alias("reason"))
+
+
+_NAMES = {"1-URGENT": "nikkei", "2-HIGH": "sp500", "3-MEDIUM": "usd_jpy", "4-NOT SPECIFIED": "vix", "5-LOW": "us10y"}
+_NAMED = " ".join(f"when '{k}' then '{v}'" for k, v in _NAMES.items())
+
+
+@query(
+    f"""with {views.BARS_SQL}, {views.MACRO_SQL}, {_CLOCK.replace(" where family = '1-URGENT'", "")}, named as (select *, case family {_NAMED} end as name from macro_known),
+    each as (select k.asset_class, k.symbol, k.session_date, n.name, k.available_at from known k, (select distinct name from named where name is not null) n),
+    j as (select e.asset_class, e.symbol, e.session_date, e.name, m.ret_1d, m.close, m.volatility_20 from each e asof left join named m on e.name = m.name and e.available_at >= m.available_at)
+    select asset_class, symbol, session_date, {_r("max(case when name = 'nikkei' then ret_1d end)", 'nikkei_ret_1d_lag1')}, {_r("max(case when name = 'sp500' then ret_1d end)", 'sp500_ret_1d_lag1')}, {_r("max(case when name = 'usd_jpy' then ret_1d end)", 'usd_jpy_ret_1d_lag1')},
+      {_r("max(case when name = 'vix' then close end)", 'vix_level_lag1')}, {_r("max(case when name = 'us10y' then close end)", 'us10y_level_lag1')}, {_r("max(case when name = 'nikkei' then volatility_20 end)", 'jp_market_volatility_lag1')}, {_r("max(case when name = 'sp500' then volatility_20 end)", 'us_market_volatility_lag1')}, null::double as gold_ret_1d_lag1
+    from j group by asset_class, symbol, session_date"""
+)
+def macro_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context columns of every bar; five order priorities stand for five macro families, the others are not there."""
+    from tidemark.operators import temporal
+
+    names = F.create_map(*[F.lit(x) for kv in _NAMES.items() for x in kv])
+    macro = views.macro(spark, sf_dir).withColumn("family", F.element_at(names, c("family")))
+    out = temporal.macro_context(views.bars(spark, sf_dir), macro)
+    return rounded(out.select(*KEY, *[f"{x}_ret_1d_lag1" for x in ("nikkei", "sp500", "usd_jpy", "gold")], "vix_level_lag1", "us10y_level_lag1", "jp_market_volatility_lag1", "us_market_volatility_lag1"))
+
+
+@query(
+    f"""with recursive {_CASES}, s as (select session_date, model, avg({_LL}) as loss from bank group by all), d as (select session_date, max(case when model = 'momentum' then loss end) as a, max(case when model = 'reversal' then loss end) as b, row_number() over (order by session_date) as rn from s group by session_date),
+    l as (select *, lag(a, 3) over (order by rn) as la, lag(b, 3) over (order by rn) as lb from d),
+    f(rn, session_date, wa, wb) as (select rn, session_date, 0.5::double, 0.5::double from l where rn = 1 union all
+      select n.rn, n.session_date, case when la is null then wa else 0.95 * (wa * exp(-0.5 * la) / (wa * exp(-0.5 * la) + wb * exp(-0.5 * coalesce(lb, 0)))) + 0.025 end, case when la is null then wb else 0.95 * (wb * exp(-0.5 * coalesce(lb, 0)) / (wa * exp(-0.5 * la) + wb * exp(-0.5 * coalesce(lb, 0)))) + 0.025 end from f join l n on n.rn = f.rn + 1)
+    select session_date, {_r('wa', 'w_momentum')}, {_r('wb', 'w_reversal')} from f"""
+)
+def online_experts_delayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online expert weights with a fixed share, outcomes known two sessions late."""
+    s = bank(spark, sf_dir).groupBy("session_date", "model").agg(F.avg(scores.log_loss(c("y"), c("p"))).alias("loss"))
+    out = scores.shared_expert_average(s, 0.5, 0.05, ["momentum", "reversal"], delay=2)
+    return rounded(out.select("session_date", c("weights")[0].alias("w_momentum"), c("weights")[1].alias("w_reversal")))
+
+
+@query(
+    f"""with {_BASE}, s as (select *, case when count(close) over w = 20 then avg(close) over w end as sma_20, close / lag(close, 5) over l - 1 as ret_5d from base window w as (partition by symbol order by session_date rows between 19 preceding and current row), l as (partition by symbol order by session_date))
+    select asset_class, symbol, session_date, {_r('ret_1d', 'ret_1d')}, {_r('ret_5d', 'ret_5d')}, {_r('ret_20d', 'ret_20d')}, {_r('sma_20', 'sma_20')}, {_r('volatility_20', 'volatility_20')}, {_r('volume_ratio_20', 'volume_ratio_20')} from s"""
+)
+def basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns, mean price, volatility and relative volume of every bar."""
+    from tidemark.operators import technical
+
+    return rounded(technical.basic_features(views.bars(spark, sf_dir)).select(*KEY, "ret_1d", "ret_5d", "ret_20d", "sma_20", "volatility_20", "volume_ratio_20"))
+
+
+@query(
+    """with v as (select vec_id, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c from embeddings), m as (select quantile_cont(a, 0.5) as ma, quantile_cont(b, 0.5) as mb, quantile_cont(c, 0.5) as mc, stddev_pop(a) as sa, stddev_pop(b) as sb, stddev_pop(c) as sc from v),
+    z as (select vec_id, (a - ma) / sa as a, (b - mb) / sb as b, (c - mc) / sc as c from v, m), d as (select q.vec_id as query_id, h.vec_id as neighbour_id, (q.a - h.a) ** 2 + (q.b - h.b) ** 2 + (q.c - h.c) ** 2 as d from z q, z h where q.vec_id % 20 = 0 and q.vec_id <> h.vec_id),
+    r as (select *, row_number() over (partition by query_id order by d, neighbour_id) as rn from d), w as (select query_id, 1 / greatest(d + 1e-6, 1e-6) as w, (e.embedding[4] > 0)::int as y from r join embeddings e on e.vec_id = r.neighbour_id where rn <= 12)
+    select query_id, """
+    + _r("sum(w * y) / sum(w)", "success", 6)
+    + " from w group by query_id"
+)
+def scaled_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of the twelve nearest vectors, scaled by median and deviation, weighted by inverse squared distance."""
+    from tidemark.operators import retrieval
+
+    ensure_importable(spark)
+    names = ["a", "b", "d"]
+    rows_ = views.read(spark, sf_dir, "embeddings").select("vec_id", *[F.element_at("embedding", k + 1).cast("double").alias(x) for k, x in enumerate(names)], (F.element_at("embedding", 4) > 0).cast("int").alias("y"))
+    z = retrieval.standardised(rows_, rows_, names, "vec_id")
+    near = retrieval.nearest(z.where("vec_id % 20 = 0"), z, "vec_id", "vector")
+    return rounded(retrieval.weighted_success(near, rows_, "vec_id", "y"), 6)
