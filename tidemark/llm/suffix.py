@@ -289,8 +289,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     asked = distinct.join(keys, F.col("key") == F.col("k_key")).select("at.digest", F.struct("key", "body", "at.start", "at.n", (F.col("bytes") > hot).alias("hot")).alias("s"))
     asked = table(asked.groupBy(F.col("digest").alias("a_digest")).agg(F.collect_list("s").alias("asked")), "asked-strands")
     drop(distinct, keys)
-    holders = rows.select("digest", "tag").join(asked.select("a_digest"), F.col("digest") == F.col("a_digest"), "left_semi")
-    holders = table(holders.groupBy(F.col("digest").alias("h_digest")).agg(F.min("tag").alias("h_tag")), "strand-holders")
+    first = rows.groupBy(F.col("digest").alias("h_digest")).agg(F.min("tag").alias("h_tag"))  # copies are summed up before they are dealt out
+    holders = table(first.join(asked.select("a_digest"), F.col("h_digest") == F.col("a_digest"), "left_semi"), "strand-holders")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
