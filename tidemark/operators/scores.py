@@ -76,11 +76,11 @@ def segment_metrics(df: DataFrame, dimensions: Sequence[str], sets: Sequence[Seq
     return grouped.agg(F.count("*").alias("n"), F.avg("__l").alias("logloss"), F.avg("__b").alias("brier"), F.avg("__a").alias("accuracy")).where(c("n") >= least)
 
 
-def rank_ic(df: DataFrame, group: str, y: str, signal: str, least: int = 5) -> DataFrame:
+def rank_ic(df: DataFrame, group: Sequence[str], y: str, signal: str, least: int = 5) -> DataFrame:
     """Spearman correlation per group with least rows and two distinct values of each."""
     rows = df.where(c(y).isNotNull() & c(signal).isNotNull())
-    ranked = rows.withColumns({"__ry": average_rank(c(y), [group]), "__rs": average_rank(c(signal), [group])})
-    per = ranked.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(y).alias("__dy"), F.count_distinct(signal).alias("__ds"), correlation(c("__ry"), c("__rs")).alias("rank_ic"))
+    ranked = rows.withColumns({"__ry": average_rank(c(y), group), "__rs": average_rank(c(signal), group)})
+    per = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.count_distinct(y).alias("__dy"), F.count_distinct(signal).alias("__ds"), correlation(c("__ry"), c("__rs")).alias("rank_ic"))
     return per.where((c("n") >= least) & (c("__dy") >= 2) & (c("__ds") >= 2)).drop("__dy", "__ds")
 
 

@@ -286,21 +286,6 @@ _CLOCK = """timed as (select *, (session_date + interval 16 hour) at time zone '
   macro_known as (select *, (session_date + interval 18 hour) at time zone 'America/New_York' at time zone 'UTC' as available_at from macro where family = '1-URGENT')"""
 
 
-@query(
-    f"""with {views.BARS_SQL}, {views.MACRO_SQL}, {_CLOCK}
-    select k.asset_class, k.symbol, k.session_date, {_r('m.ret_1d', 'macro_ret_1d')}, {_r('m.volatility_20', 'macro_volatility_20')}, {_r('m.close', 'macro_close', 6)}
-    from known k asof left join macro_known m on k.available_at >= m.available_at"""
-)
-def market_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of join of one macro series without keys: the latest value available at each bar's time.
-
-    market_context_families joins every series.
-    """
-    m = views.macro(spark, sf_dir).where("family = '1-URGENT'")
-    out = temporal.asof(views.bars(spark, sf_dir), m, [], "available_at", ["ret_1d", "volatility_20", "close"], ["session_date"], "macro_")
-    return rounded(out.select(*KEY, "macro_ret_1d", "macro_volatility_20", "macro_close"), macro_close=6)
-
-
 _CLOCK_ALL = _CLOCK.replace(" where family = '1-URGENT'", "")
 
 
@@ -309,7 +294,7 @@ _CLOCK_ALL = _CLOCK.replace(" where family = '1-URGENT'", "")
     select k.asset_class, k.symbol, k.session_date, k.family, {_r('m.ret_1d', 'macro_ret_1d')}, {_r('m.volatility_20', 'macro_volatility_20')}, {_r('m.close', 'macro_close', 6)}
     from each k asof left join macro_known m on k.family = m.family and k.available_at >= m.available_at"""
 )
-def market_context_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every macro series as of each bar's time: one row a bar and family."""
     take = ["ret_1d", "volatility_20", "close"]
     out = temporal.asof_each(views.bars(spark, sf_dir), views.macro(spark, sf_dir), "family", "available_at", take, ["session_date"], "macro")
@@ -340,21 +325,11 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.keep_last(e, ["user_id", "event_type"], [c("ts").desc(), c("event_id").desc()]).select("user_id", "event_type", "event_id", "ts", "value")
 
 
-@query(
-    """with old as (select event_id % 500 as k, event_id, value from events where event_id % 2 = 0), new as (select event_id % 500 as k, event_id, value * 2 as value from events where event_id % 3 = 0),
-    both_ as (select *, 0 as n from old union all select *, 1 from new) select k, event_id, value from (select *, row_number() over (partition by k order by n desc, event_id desc) as rn from both_) where rn = 1"""
-)
-def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upsert of two thirds of the events: the new row wins, then the largest event. upsert_all_rows reads all."""
-    e = views.read(spark, sf_dir, "events").select((c("event_id") % 500).alias("k"), "event_id", "value")
-    return upkeep.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 3 = 0").withColumn("value", c("value") * 2), ["k"], ["event_id"])
-
-
 @query(
     """with keyed as (select (event_id // 2) % 500 as k, event_id, value from events), both_ as (select k, event_id, value, 0 as n from keyed where event_id % 2 = 0 union all select k, event_id, value * 2, 1 from keyed where event_id % 2 <> 0)
     select k, event_id, value from (select *, row_number() over (partition by k order by n desc, event_id desc) as rn from both_) where rn = 1"""
 )
-def upsert_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upsert of all events, odd ids over even ones."""
     e = views.read(spark, sf_dir, "events").select((F.floor(c("event_id") / 2).cast("long") % 500).alias("k"), "event_id", "value")
     return upkeep.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0").withColumn("value", c("value") * 2), ["k"], ["event_id"])
@@ -450,13 +425,12 @@ def segment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {_CASES}, m as (select * from bank where model = 'momentum'),
-    ranked as (select *, rank() over (partition by session_date order by y_ret) + (count(*) over (partition by session_date, y_ret) - 1) / 2.0::double as ry, rank() over (partition by session_date order by p) + (count(*) over (partition by session_date, p) - 1) / 2.0::double as rs from m)
-    select session_date, count(*) as n, {_r('corr(ry, rs)', 'rank_ic')} from ranked group by session_date having count(*) >= 5 and count(distinct y_ret) >= 2 and count(distinct p) >= 2"""
+    f"""with {_CASES}, ranked as (select *, rank() over (partition by session_date, model order by y_ret) + (count(*) over (partition by session_date, model, y_ret) - 1) / 2.0::double as ry, rank() over (partition by session_date, model order by p) + (count(*) over (partition by session_date, model, p) - 1) / 2.0::double as rs from bank)
+    select session_date, model, count(*) as n, {_r('corr(ry, rs)', 'rank_ic')} from ranked group by session_date, model having count(*) >= 5 and count(distinct y_ret) >= 2 and count(distinct p) >= 2"""
 )
 def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spearman correlation of prediction and outcome per session."""
-    return rounded(scores.rank_ic(bank(spark, sf_dir).where("model = 'momentum'"), "session_date", "y_ret", "p"))
+    """Spearman correlation of prediction and outcome per session and model."""
+    return rounded(scores.rank_ic(bank(spark, sf_dir), ["session_date", "model"], "y_ret", "p"))
 
 
 @query(
@@ -487,16 +461,16 @@ def online_experts_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {_CASES}, cal as (select fold, abs(y - p) as score from bank where model = 'momentum' and month(session_date) <= 6), test as (select *, abs(y - p) as score from bank where model = 'momentum' and month(session_date) > 6),
-    both_ as (select fold, score, 1 as k, null as row_id from cal union all select fold, score, 0, symbol || '|' || session_date from test)
-    select row_id, fold, {_r('(1 + n_above) / (n + 1)', 'p_value', 6)} from (select *, sum(k) over (partition by fold order by score desc range unbounded preceding) as n_above, sum(k) over (partition by fold) as n from both_) where k = 0"""
+    f"""with {_CASES}, cal as (select fold, model, abs(y - p) as score from bank where month(session_date) <= 6), test as (select *, abs(y - p) as score from bank where month(session_date) > 6),
+    both_ as (select fold, model, score, 1 as k, null as row_id from cal union all select fold, model, score, 0, symbol || '|' || session_date from test)
+    select row_id, fold, model, {_r('(1 + n_above) / (n + 1)', 'p_value', 6)} from (select *, sum(k) over (partition by fold, model order by score desc range unbounded preceding) as n_above, sum(k) over (partition by fold, model) as n from both_) where k = 0"""
 )
 def conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split conformal p-values by fold."""
-    rows = bank(spark, sf_dir).where("model = 'momentum'").withColumns({"score": F.abs(c("y") - c("p")), "row_id": F.concat_ws("|", "symbol", c("session_date").cast("string"))})
+    """Split conformal p-values by fold and model."""
+    rows = bank(spark, sf_dir).withColumns({"score": F.abs(c("y") - c("p")), "row_id": F.concat_ws("|", "symbol", c("session_date").cast("string"))})
     first = F.month("session_date") <= 6
-    out = scores.conformal_p_values(rows.where(first), rows.where(~first), ["fold"])
-    return rounded(out.select("row_id", "fold", "p_value"), 6)
+    out = scores.conformal_p_values(rows.where(first), rows.where(~first), ["fold", "model"])
+    return rounded(out.select("row_id", "fold", "model", "p_value"), 6)
 
 
 @query(
@@ -584,18 +558,6 @@ def backtest_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("prediction_date", "cost_bps", "n", "gross", "net", "equity_sign", "log_equity", "log_drawdown"))
 
 
-@query(
-    f"""with {_BASE}, r as (select unnest(['ret_1d', 'range_pct', 'volatility_20']) as feature, unnest([ret_1d, range_pct, volatility_20]) as x, year(session_date) as yr from base),
-    a as (select feature, quantile_cont(x, [0.1, 0.25, 0.5, 0.75, 0.9]) as q, stddev_pop(x) as s, count(x) as n from r where yr = 1998 group by all), b as (select feature, quantile_cont(x, [0.1, 0.25, 0.5, 0.75, 0.9]) as q, count(x) as n from r where yr = 2000 group by all)
-    select {_r('avg((abs(a.q[1] - b.q[1]) + abs(a.q[2] - b.q[2]) + abs(a.q[3] - b.q[3]) + abs(a.q[4] - b.q[4]) + abs(a.q[5] - b.q[5])) / 5 / greatest(a.q[4] - a.q[2], a.s, 1e-8))', 'drift')}, count(*) as n_features
-    from a join b using (feature) where a.n >= 20 and b.n >= 20"""
-)
-def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distribution shift of features between two years; drift_by_year compares all."""
-    b = _base(spark, sf_dir)
-    return rounded(scores.drift_score(b.where("year(session_date) = 1998"), b.where("year(session_date) = 2000"), ["ret_1d", "range_pct", "volatility_20"]))
-
-
 _SHIFT = "(abs(b.q[1] - a.q[1]) + abs(b.q[2] - a.q[2]) + abs(b.q[3] - a.q[3]) + abs(b.q[4] - a.q[4]) + abs(b.q[5] - a.q[5])) / 5 / greatest(a.q[4] - a.q[2], a.s, 1e-8)"
 
 
@@ -604,7 +566,7 @@ _SHIFT = "(abs(b.q[1] - a.q[1]) + abs(b.q[2] - a.q[2]) + abs(b.q[3] - a.q[3]) +
     p as (select feature, yr, quantile_cont(x, [0.1, 0.25, 0.5, 0.75, 0.9]) as q, stddev_pop(x) as s, count(x) as n, row_number() over (partition by feature order by yr) as rn from r group by feature, yr)
     select b.yr, {_r(f'avg({_SHIFT})', 'drift')}, count(*) as n_features from p a join p b on a.feature = b.feature and b.rn = a.rn + 1 where a.n >= 20 and b.n >= 20 group by b.yr"""
 )
-def drift_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution shift of features between each year and the one before."""
     b = _base(spark, sf_dir).withColumn("yr", F.year("session_date"))
     return rounded(scores.drift_between(b, "yr", ["ret_1d", "range_pct", "volatility_20"]))
