@@ -101,7 +101,3 @@ def clear(spark: SparkSession) -> None:
     for path in list(_WRITTEN):
         _delete(spark, path)
     _WRITTEN.clear()
-
-
-def release(spark: SparkSession) -> None:
-    """Nothing to do any more: table() deletes the shuffle files of what it writes."""
