@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,15 +103,16 @@ def test_consensus_learns_from_all_prior_rows(spark):
     rng = random.Random(5)
     rows = [(f, i, [rng.random() * (f + 1) / 3, rng.random()], rng.randint(0, 1)) for f, n in ((0, 300), (1, 3), (2, 40)) for i in range(n)]
     rows += [(1, 100 + i, [0.5, 0.5], 1) for i in range(2)]
-    long = [(f, i, m, p, y) for f, i, ps, y in rows for m, p in zip(("a", "b"), ps)]
-    got = {(r["pattern"], r["fold"]): r for r in patterns.evaluate(spark.createDataFrame(long, "fold int, i int, model string, p double, y int"), ["i"]).collect()}
+    cases = spark.createDataFrame([(f, y, ps, [], "x") for f, _, ps, y in rows], "fold int, y int, p array<double>, risk array<double>, regime string")
+    got = {(r["pattern"], r["fold"]): r for r in patterns.evaluate(cases, ["a", "b"], fitted=False).collect()}
     spread = lambda ps: abs(ps[0] - ps[1]) / 2
     for q in (50, 75, 90):
-        for fold in range(3):
+        assert (f"consensus_shrink_q{q}", 0) not in got
+        for fold in (1, 2):
             prior = sorted(spread(ps) for f, _, ps, _ in rows if f < fold)
             at = (len(prior) - 1) * q / 100
             low = int(at)
-            limit = prior[low] + (at - low) * (prior[min(low + 1, len(prior) - 1)] - prior[low]) if prior else 0.1
+            limit = prior[low] + (at - low) * (prior[min(low + 1, len(prior) - 1)] - prior[low])
             loss = []
             for f, _, ps, y in rows:
                 if f == fold:
@@ -119,20 +121,20 @@ def test_consensus_learns_from_all_prior_rows(spark):
             assert got[f"consensus_shrink_q{q}", fold]["logloss"] == pytest.approx(sum(loss) / len(loss), abs=1e-9)
 
 
-def test_vote_strength_weighs_votes_by_confidence(spark):
-    df = spark.createDataFrame([([0.9, 0.6, 0.3],), ([0.5, 0.5, 0.5],)], "p array<double>")
-    got = [r[0] for r in df.select(patterns.PATTERNS["vote_strength_probability"](F.col("p"), F.col("p"))).collect()]
-    assert got == pytest.approx([0.5 + (2 / 3 - 0.5) * (0.6 + 0.4 * (0.8 + 0.2 + 0.4) / 3), 0.8])
+def test_vote_strength_weighs_votes_by_confidence():
+    x = patterns.Cases(np.array([[0.9, 0.6, 0.3], [0.5, 0.5, 0.5]]), np.zeros((2, 0)), ["x", "x"], None)
+    assert patterns.PATTERNS["vote_strength_probability"](x).tolist() == pytest.approx([0.5 + (2 / 3 - 0.5) * (0.6 + 0.4 * (0.8 + 0.2 + 0.4) / 3), 0.8])
 
 
-def test_patterns(spark):
-    df = spark.createDataFrame([([0.2, 0.4, 0.9], [0.5, 0.25, 0.25])], "p array<double>, w array<double>")
-    got = df.select(*[fn(F.col("p"), F.col("w")).alias(n) for n, fn in patterns.PATTERNS.items()]).first().asDict()
+def test_patterns():
+    x = patterns.Cases(np.array([[0.2, 0.4, 0.9]]), np.array([[1.0, np.nan]]), ["x"], None)
+    got = {n: float(np.atleast_1d(fn(x))[0]) for n, fn in patterns.PATTERNS.items()}
     assert got["equal_mean"] == pytest.approx(0.5) and got["median_probability"] == 0.4 and got["trimmed_mean_1"] == pytest.approx(0.4)
-    assert got["prior_quality"] == pytest.approx(0.425) and got["lower_tail_mean2"] == pytest.approx(0.3) and got["upper_tail_mean2"] == pytest.approx(0.65)
+    assert got["lower_tail_mean2"] == pytest.approx(0.3) and got["upper_tail_mean2"] == pytest.approx(0.65) and got["lower_quantile_mix"] == pytest.approx(0.425)
+    assert got["odds_mean_2"] == pytest.approx((lambda o: o / (1 + o))(((0.25**2 + (2 / 3) ** 2 + 81) / 3) ** 0.5)) and got["rank_mean"] == pytest.approx(0.4)
+    assert got["probit_mean"] == pytest.approx(0.5 + 0.5 * math.erf((-0.841621 - 0.253347 + 1.281552) / 3 / math.sqrt(2)), abs=1e-5)
     assert all(0 <= v <= 1 for v in got.values())
 
-
 def test_nearest_excludes_self(spark):
     df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(30)] + [(30, None)], "i long, v array<double>")
     got = retrieval.nearest(df.where("i = 10"), df, "i", "v", k=3, blocks=4).orderBy("rank").collect()
