@@ -147,6 +147,39 @@ def test_near_duplicates_against_all_pairs(spark):
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
 
 
+def test_links_beyond_the_hubs(spark, monkeypatch):
+    """Unlike texts around one passage share buckets; families among them are found, and nothing else."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    rng = random.Random(10)
+    passage = words(rng, 60).split()
+    texts = []
+    for family in range(12):
+        own = words(rng, 25).split()
+        for copy in range(1 + family % 4):
+            t = passage[:40] + own + passage[40:]
+            if copy:
+                t[rng.randrange(45, 60)] = f"w{family}{copy}"
+            texts.append(" ".join(t))
+    rng.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    for percent in (70, 80, 85):
+        up = list(range(len(texts)))
+
+        def find(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i in range(len(texts)):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                    a, b = find(i), find(j)
+                    up[max(a, b)] = min(a, b)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent=percent).collect()}
+        assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))] and len(set(got.values())) < len(texts)
+
+
 def test_pruning_bound():
     limits = neardup.least_matches(0.85, 1e-6)
     assert len(limits) == neardup.HASHES // neardup.BATCH and all(b > a for a, b in zip(limits, limits[1:]))
