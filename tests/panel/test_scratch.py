@@ -27,8 +27,8 @@ def test_tables_leave_no_shuffle_files(spark):
     from pyspark.sql import functions as F
 
     def files():
-        top = spark.sparkContext._jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(spark.sparkContext._jsc.sc().getConf())
-        return {f for d in top for f in glob.glob(os.path.join(d, "**", "shuffle_*.data"), recursive=True)}
+        own = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in own for f in glob.glob(os.path.join(d.getPath(), "**", "shuffle_*.data"), recursive=True)}
 
     before = files()
     scratch.table(spark.range(100_000).groupBy((F.col("id") % 50_000).alias("k")).count(), "t")
