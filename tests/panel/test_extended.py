@@ -462,3 +462,30 @@ def test_fitted_patterns(spark):
     assert all(math.isfinite(r["logloss"]) for r in got.values() if r["n"])
     for name in ("stack_logistic_prob_C1", "platt_after_equal_mean", "beta_after_prior_quality", "cal_temperature_equal"):
         assert got[name]["logloss"] < got["equal_mean"]["logloss"], name
+
+
+def test_models_of_one_instrument_and_one_series(spark):
+    rng = random.Random(15)
+    names = list(production.SYMBOL_FEATURES)
+    rows = []
+    for s, n in (("A", 260), ("B", 100)):
+        for d in range(n):
+            x = [rng.gauss(0, 1) for _ in names]
+            x[0] = 3.0 if d == n - 1 else x[0]
+            rows.append((s, dt.date(2020, 1, 1) + dt.timedelta(days=d), *[None if rng.random() < 0.02 and k else v for k, v in enumerate(x)], None if d == n - 1 else int(x[0] + 0.3 * rng.gauss(0, 1) > 0)))
+    df = spark.createDataFrame(rows, f"symbol string, session_date date, {', '.join(f'{x} double' for x in names)}, target_up_1d int")
+    got = {r["symbol"]: r for r in production.symbol_models(df, ["symbol"]).collect()}
+    assert got["A"]["p_symbol"] > 0.9 and got["A"]["n_calibration"] == 51 and got["B"]["p_symbol"] is None and got["B"]["n_core"] == 69
+    close, rows = 100.0, []
+    for d in range(200):
+        close *= 1 + 0.01 * rng.gauss(0, 1)
+        for family in ("x", "y")[: 1 + (d < 50)]:
+            rows.append((family, dt.date(2020, 1, 1) + dt.timedelta(days=d), close, T(d)))
+    macro = spark.createDataFrame(rows, "family string, session_date date, close double, available_at timestamp")
+    w = production.Window.partitionBy("family").orderBy("session_date")
+    macro = macro.withColumn("ret_1d", c("close") / F.lag("close").over(w) - 1).withColumn("volatility_20", F.stddev_samp("ret_1d").over(w.rowsBetween(-19, 0)))
+    frame = production.market_frame(macro)
+    p = {r["family"]: r["p_up_1d"] for r in production.market_probabilities(frame).collect()}
+    assert 0 < p["x"] < 1 and p["y"] is None
+    ranges = {r["family"]: r for r in production.market_ranges(frame).collect()}
+    assert ranges["x"]["range_low_1d"] < ranges["x"]["expected_close_1d"] < ranges["x"]["range_high_1d"] and ranges["y"]["prediction_status"].startswith("DEFERRED")
