@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,17 @@ def test_quantiles_are_exact(spark):
     assert whole["q"][0] == pytest.approx(np.median([x for _, x in rows if x is not None])) and whole["n"] == 12003
 
 
+def test_quantiles_of_values_that_come_out_otherwise_each_time(spark):
+    def jitter(batches):  # stands for sums of doubles, whose last bits hang on the order of additions
+        rng = np.random.default_rng()
+        for b in batches:
+            yield b.set_column(1, "x", pa.array(b.column("x").to_numpy() + rng.uniform(-1e-9, 1e-9, b.num_rows)))
+
+    rows = spark.createDataFrame([(k, float(x)) for k in range(40) for x in range(121)], "k int, x double").mapInArrow(jitter, "k int, x double")
+    got = exact_quantiles(rows, ["k"], "x", [0.0, 0.1, 0.9, 1.0]).collect()
+    assert len(got) == 40 and all(r["q"] == pytest.approx([0, 12, 108, 120], abs=1e-6) and r["n"] == 121 for r in got)
+
+
 def test_metrics_against_plain(spark):
     rng = random.Random(2)
     rows = [("m", rng.randint(0, 1), round(rng.random(), 2)) for _ in range(400)] + [("one", 1, 0.3), ("m", None, 0.5), ("m", 1, None)]
