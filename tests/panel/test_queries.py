@@ -56,3 +56,23 @@ def test_upsert_reads_every_event(spark, small):
 def test_drift_has_every_year_but_the_first(spark, small):
     years = sorted(r[0] for r in spark.read.parquet(f"{small}/lineitem.parquet").selectExpr("year(l_shipdate)").distinct().collect())
     assert sorted(r["yr"] for r in panel.QUERIES["drift"](spark, small).collect()) == years[1:]
+
+
+def test_flat_frames_of_technical_features_are_those_of_sql(spark, small, tmp_path):
+    con = duckdb.connect()
+    for t in ("region", "nation", "supplier"):
+        con.execute(f"copy (select * from '{small}/{t}.parquet') to '{tmp_path}/{t}.parquet' (format parquet)")
+    # supplier 0 trades the same quantity on each day, 1 at the same price, 2 does neither
+    con.execute(
+        f"""copy (select d as l_orderkey, 1::bigint as l_partkey, s as l_suppkey, 1 as l_linenumber, q as l_quantity, q * case when s = 1 then 16 else 900 + d * 7919 % 1000 end::double as l_extendedprice,
+        (d * 31 % 11) / 100::double as l_discount, (1 + d * 17 % 8) / 100::double as l_tax, timestamp '1995-01-02' + d * interval 1 day as l_shipdate
+        from (select d, s, case when s = 0 then 7 else 1 + d * 104729 % 50 end::double as q from range(70) x(d), range(3) y(s))) to '{tmp_path}/lineitem.parquet' (format parquet)"""
+    )
+    for t in ("region", "nation", "supplier", "lineitem"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    names = ["symbol", "session_date", "return_autocorr_20", "return_log_volume_corr_5", "return_log_volume_corr_10", "trend_r2_20", "trend_r2_60", "volume_z20", "return_skew_20"]
+    exact = lambda rows: sorted(tuple(str(v) if isinstance(v, float) and math.isnan(v) else v for v in r) for r in rows)
+    got = exact(panel.QUERIES["technical_features"](spark, str(tmp_path)).select(*names).collect())
+    assert got == exact(con.execute(f"select {', '.join(names)} from ({panel.SQL['technical_features']})").fetchall())
+    last = {r[0]: r[2:7] for r in got if r[1].isoformat() == "1995-03-12"}
+    assert last["0"][1:3] == ("nan", "nan") and last["1"] == ("nan", "nan", "nan", 1.0, 1.0) and "nan" not in last["2"]
