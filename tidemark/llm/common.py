@@ -49,6 +49,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def quoted(name: str) -> str:
+    """The name of a column as Spark's parser reads it, dots and back ticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
@@ -67,6 +72,18 @@ def texts_of(column: pa.Array, lower: bool = False) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
+def mapped(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts of a column, nulls as empty, each byte replaced by its entry of a table of 256."""
+    texts = texts_of(column)
+    data, ends = utf8_bytes(texts)
+    return table[data], np.ascontiguousarray(ends)
+
+
+def of_bytes(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Large-string array of UTF-8 bytes cut at offsets."""
+    return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+
+
 def utf8_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of a large-string array without nulls, and the offsets of each."""
     if not len(texts):

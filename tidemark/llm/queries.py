@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import binslack, dac, fertility, langid, media, mixing, neardup, ppm, qda, suffix
+from tidemark.llm import binslack, dac, exact, fertility, langid, media, mixing, neardup, ppm, qda, search, suffix, variants
 from tidemark.llm.common import documents
 
 
@@ -50,6 +51,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binslack.pack(documents(spark, sf_dir))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir), damage=199).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return exact.exact_duplicates(docs.select("doc_id", "text", exact.text_sha256(F.col("text")).alias("text_sha256")))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fertility": op1_fertility,
     "op2_language": op2_language,
@@ -61,6 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
+    "op11_variants": op11_variants,
+    "op12_exact": op12_exact,
+    "op13_search": op13_search,
 }
 
-SQL: dict[str, str] = {"op5_near_duplicates": neardup.NEARDUP_SQL, "op7_mixing": mixing.MIX_SQL, "op9_repeats": suffix.REPEATS_SQL}
+SQL: dict[str, str] = {
+    "op5_near_duplicates": neardup.NEARDUP_SQL, "op7_mixing": mixing.MIX_SQL, "op9_repeats": suffix.REPEATS_SQL,
+    "op11_variants": variants.VARIANTS_SQL, "op12_exact": exact.EXACT_SQL, "op13_search": search.SEARCH_SQL,
+}
