@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that the operators use inside; documents may bring columns of these names.
-CLASHING = ["key", "start", "node", "block", "held_out", "score", "size", "kept", "digest", "row", "spans", "x", "h", "unit", "piece", "length", "copies", "label"]
+CLASHING = ["key", "start", "node", "block", "held_out", "score", "size", "kept", "digest", "row", "spans", "x", "h", "unit", "piece", "length", "copies", "label", "__", "a.b", "keep_id", "digest.row", "place", "tick`ed"]
 
 
 def words(rng: random.Random, n: int) -> str:

@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from tidemark.llm import binslack, dac, fertility, langid, media, mixing, neardup, ppm, qda, suffix
+from tidemark.llm import binslack, dac, exact, fertility, langid, media, mixing, neardup, ppm, qda, suffix
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -30,6 +30,7 @@ OPERATORS = {
     "op8": lambda d: media.text_media(d),
     "op9": lambda d: suffix.remove_repeats(d.select("doc_id", "text"), output="digest"),
     "op10": lambda d: binslack.pack(d),
+    "op12": lambda d: exact.exact_duplicates(d),
 }
 
 

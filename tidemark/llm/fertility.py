@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordEncoder, Words, chunks, each_word, ragged, resident, texts_of, tokenizer_path, utf8_bytes
+from tidemark.llm.common import WordEncoder, Words, chunks, each_word, quoted, ragged, resident, texts_of, tokenizer_path, utf8_bytes
 from tidemark.scratch import ensure_importable
 
 #: Scripts told apart, by ranges of code points; letters elsewhere count as other.
@@ -282,7 +282,7 @@ def bands_of(judged: DataFrame, tail: float = 0.001) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns, in one pass without a join."""
+    """The rows of docs that quality_rules keeps, with all their columns, whatever these are named, in one pass without a join."""
     ensure_importable(docs.sparkSession)
     judge = _Judge(rules.get("vocabularies"), rules.get("bands"), rules.get("min_words", 50), rules.get("max_repeat_percent", 50))
 
@@ -293,6 +293,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("text").filter(kept), part.column("row").filter(kept)], names=["text", "row"])
 
     others = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in others], F.lit(0).alias("__")).alias("row"))
-    good = packed.mapInArrow(run, f"text string, row {packed.schema['row'].dataType.simpleString()}")
+    filler = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so that it is none of them
+    packed = docs.select(F.col(quoted(text_col)).alias("text"), F.struct(*[F.col(quoted(c)) for c in others], F.lit(0).alias(filler)).alias("row"))
+    good = packed.mapInArrow(run, packed.schema)
     return good.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

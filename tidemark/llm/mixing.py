@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import quoted
 from tidemark.scratch import table
 
 #: Bits of the hash that one histogram level resolves, and number of levels.
@@ -82,18 +83,18 @@ def mixed(
     texts are not shuffled.
     """
     _, cut = _thresholds(docs, id_col, text_col, source_col, weights, share, cap)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _hash(id_col).alias("h"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(source_col)).alias("source"), _size(text_col).alias("size"), _hash(id_col).alias("h"))
     taken = rows.join(cut, F.col("source").eqNullSafe(F.col("c_source"))).where("size > 0").withColumn("copies", _copies(F.col("h"), cap).cast("long"))
     each = taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return each.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _size(text_col: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(quoted(text_col)), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def _hash(id_col: str) -> Column:
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    digest = F.md5(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")))
     return F.conv(F.substring(digest, 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long")
 
 
@@ -104,7 +105,7 @@ def _copies(h: Column, cap: float) -> Column:
 def _thresholds(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, h) of all rows, and (c_source, source_size, target, whole, h_end) of all sources."""
     bits = LEVEL_BITS * LEVELS
-    sized = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _hash(id_col).alias("h")), "mix-sizes")
+    sized = table(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(source_col)).alias("source"), _size(text_col).alias("size"), _hash(id_col).alias("h")), "mix-sizes")
     shift = bits - LEVEL_BITS
     level1 = table(
         sized.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s")), "mix-level"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, chunks, lean, texts_of, word_hashes
+from tidemark.llm.common import Words, chunks, lean, quoted, texts_of, word_hashes
 from tidemark.scratch import drop, ensure_importable, table
 
 SHINGLE, BANDS, ROWS, BATCH = 5, 32, 5, 32
@@ -368,7 +368,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without words stay.
     """
     ensure_importable(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     sketched = _sketches(rows, docs.schema[id_col].dataType.simpleString())
     final = _class_components(rows, sketched, percent, miss)
     named = sketched.where(F.col("doc_id").isNotNull()).select("doc_id", "digest", "node").join(final, F.col("node") == F.col("f_node"))
@@ -380,7 +380,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = table(judged.where("not stays or n > 1").withColumnsRenamed({"doc_id": "j_id", "digest": "j_digest"}), "group-verdicts")
     drop(named, best)
 
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.unhex(F.md5(text_col)).alias("digest"))
+    packed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).alias("doc_id"), F.unhex(F.md5(F.col(quoted(text_col)))).alias("digest"))
     same = (F.col("doc_id") == F.col("j_id")) & (F.col("digest") == F.col("j_digest"))
     kept = packed.join(judged.hint("merge"), same, "left_anti")
     again = judged.where("stays")

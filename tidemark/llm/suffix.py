@@ -20,8 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import chunks, lean, utf8_bytes
+from tidemark.llm.common import chunks, lean, quoted, utf8_bytes
 from tidemark.scratch import drop, ensure_importable, table
 
 LENGTH, SEED = 200, 64
@@ -399,13 +400,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     ensure_importable(docs.sparkSession)
     digest = F.unhex(F.md5(F.col("text")))
     others = [c for c in docs.columns if c != text_col and not (output == "digest" and c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))]
-    tag = F.xxhash64(*[F.col(c) for c in others if "map" not in docs.schema[c].dataType.simpleString()]) if others else F.lit(0).cast("long")
-    rows = docs.select(F.col(text_col).alias("text"), tag.alias("tag")).where(F.octet_length("text") >= length)
+    tag = F.xxhash64(*[F.col(quoted(c)) for c in others if "map" not in docs.schema[c].dataType.simpleString()]) if others else F.lit(0).cast("long")
+    rows = docs.select(F.col(quoted(text_col)).alias("text"), tag.alias("tag")).where(F.octet_length("text") >= length)
     rows = rows.select(digest.alias("digest"), "tag", F.col("text").cast("binary").alias("bytes"))
     spans = repeated_spans(rows, length).select(F.col("digest").alias("s_digest"), "spans")
-    packed = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(text_col).alias("text"))
+    packed = docs.select(F.struct(*[F.col(quoted(c)) for c in others]).alias("row"), F.col(quoted(text_col)).alias("text"))
     joined = packed.join(spans.hint("merge"), F.unhex(F.md5(F.col("text"))) == F.col("s_digest"), "left").select("row", "text", "spans")
-    fields = [joined.schema["row"]]
+    row = joined.schema["row"]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -427,11 +428,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                     names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )
 
-    kind = fields[0].dataType.simpleString()
     if output == "text":
-        cleaned = joined.mapInArrow(clean, f"row {kind}, text string")
+        cleaned = joined.mapInArrow(clean, StructType([row, StructField("text", StringType())]))
         return cleaned.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
-    cleaned = joined.mapInArrow(clean, f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    counts = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    cleaned = joined.mapInArrow(clean, StructType([row, *counts, StructField("kept_sha256", StringType())]))
     return cleaned.select(*[F.col("row").getField(c).alias(c) for c in others], "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
