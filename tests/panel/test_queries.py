@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans import control_plane, panel, serving, studies  # noqa: F401 (they add to the panel queries)
+from tidemark.plans import control_plane, forests, panel, serving, studies  # noqa: F401 (they add to the panel queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -21,18 +21,29 @@ def cases(spark):
     return spark.createDataFrame(rows, "i long, a double, b double, y int, y_ret double, p double").cache()
 
 
-@pytest.mark.parametrize("name", ["logistic", "boosted"])
+@pytest.mark.parametrize("name", models.DIRECTION)
 def test_direction_models_learn(cases, name):
-    scored = models.fit_probability(cases.where("i < 400"), cases.where("i >= 400").select("i", "a", "b", "y"), ["a", "b"], name, {"boosted": 15})
+    scored = models.fit_probability(cases.where("i < 400"), cases.where("i >= 400").select("i", "a", "b", "y"), ["a", "b"], name, {"boosted": 8, "boosted_conservative": 8, "forest": 12})
     hit = scored.agg(F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int"))).first()[0]
     assert scored.count() == 200 and hit > 0.65
 
 
 def test_quantiles_in_order(cases):
-    got = models.fit_quantiles(cases.where("i < 400"), cases.where("i >= 400"), ["a", "b"], "i", trees=5).collect()
+    got = models.fit_quantiles(cases.where("i < 400"), cases.where("i >= 400"), ["a", "b"], "i", trees_=5).collect()
     assert len(got) == 200 and all(r["q"][0] <= r["q"][1] <= r["q"][2] for r in got)
 
 
+def test_return_models(cases):
+    train, test = cases.where("i < 400"), cases.where("i >= 400").select("i", "a", "b", "y_ret")
+    sizes = {"mean": 20, "bands": 6}
+    mean = models.fit_return(train, test, ["a", "b"], sizes)
+    error, spread = mean.agg(F.avg(F.pow(F.col("y_ret") - F.col("expected_return"), 2)), F.var_pop("y_ret")).first()
+    bands = models.fit_bands(train, test, ["a", "b"], sizes=sizes).collect()
+    assert error < 0.6 * spread and len(bands) == 200 and all(r["q"] == sorted(r["q"]) for r in bands)
+    inside = sum(r["q"][0] <= r["y_ret"] <= r["q"][2] for r in bands) / 200
+    assert 0.6 < inside < 0.95
+
+
 @pytest.mark.parametrize("name", models.CALIBRATORS)
 def test_calibrators_lower_the_loss(cases, name):
     fitted = models.CALIBRATORS[name]().fit(cases)
