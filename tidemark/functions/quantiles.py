@@ -34,6 +34,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, levels: Sequ
         F.when(F.lit(q <= slack) | few, c("__min")).otherwise(c("__s")[2 * k]).alias("low"), F.when(F.lit(q >= 1 - slack) | few, c("__max")).otherwise(c("__s")[2 * k + 1]).alias("high"),
     )
     brackets = sketch.select(*[c(k).alias(f"__k_{k}") for k in keys], "__n", F.explode(F.array(*[one(k, q) for k, q in enumerate(levels)])).alias("__b")).select(*[f"__k_{k}" for k in keys], "__n", "__b.*")
+    brackets = table(brackets, "quantile-brackets")  # a sketch merged in another order may have other bounds
     counted = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
     on = [c(k).eqNullSafe(c(f"__k_{k}")) for k in keys]
     # a few brackets a key
@@ -54,5 +55,5 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, levels: Sequ
     )
     value_at = c("__a") + (c("__b") - c("__a")) * c("__f")
     out = table(found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("level", value_at.alias("x")))), lambda z: z["x"]).alias(name), F.max("__n").alias("n")), "quantiles")
-    drop(rows)
+    drop(rows, brackets)
     return out

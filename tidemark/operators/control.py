@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import clip, ratio
+from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators.patterns import EPS, deviation, mean, prior_quantiles, total
 from tidemark.operators.scores import binary_metrics, log_loss
-from tidemark.scratch import ensure_importable
+from tidemark.scratch import ensure_importable, table
 
 c = F.col
 STATE = ("mean_probability", "std_probability", "probability_range", "prediction_entropy", "agreement", "data_completeness", "feature_reliability", "feature_drift", "information_shock")
@@ -34,16 +35,17 @@ def prior_medians(rows: DataFrame, values: Sequence[str]) -> DataFrame:
     out = per.select("fold", *[
         F.sqrt(F.greatest(ratio(F.sum(f"q_{x}").over(line), F.sum(f"n_{x}").over(line).cast("double")) - ratio(F.sum(f"a_{x}").over(line), F.sum(f"n_{x}").over(line).cast("double")) ** 2, F.lit(0.0))).alias(f"s_{x}") for x in values
     ])
-    for x in values:
-        low, high = bounds[f"lo_{x}"], bounds[f"hi_{x}"]
-        span = (high - low) if low is not None and high > low else None
-        if span is None:
-            out = out.withColumn(f"m_{x}", F.lit(low).cast("double"))
-            continue
-        scaled = rows.select("fold", ((c(x) - F.lit(low)) / F.lit(2.0 * span)).alias("__v"))
-        found = prior_quantiles(scaled, "__v", {"__m": 0.5}).select(c("fold").alias("__f"), (c("__m") * F.lit(2.0 * span) + F.lit(low)).alias(f"m_{x}"))
-        out = out.join(found, c("fold") == c("__f"), "left").drop("__f")
-    return out
+    spans = {x: (bounds[f"lo_{x}"], bounds[f"hi_{x}"] - bounds[f"lo_{x}"]) for x in values if bounds[f"lo_{x}"] is not None}
+    wide = {x: v for x, v in spans.items() if v[1] > 0}
+    out = out.withColumns({f"m_{x}": F.lit(spans[x][0] if x in spans else None).cast("double") for x in values if x not in wide})
+    if not wide:
+        return out
+    # all values at once, each scaled to [0, 1/2]
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("name"), ((c(x) - F.lit(low)) / F.lit(2.0 * span)).alias("v")) for x, (low, span) in wide.items()]))
+    found = prior_quantiles(table(rows.select("fold", each.alias("z")).select("fold", "z.*"), "prior-values"), "v", {"m": 0.5}, keys=["name"])
+    of = lambda x: F.max(F.when(c("name") == x, c("m"))) * F.lit(2.0 * wide[x][1]) + F.lit(wide[x][0])
+    found = table(found.groupBy(c("fold").alias("__f")).agg(*[of(x).alias(f"m_{x}") for x in wide]), "prior-medians")
+    return out.join(found, c("fold") == c("__f"), "left").drop("__f")
 
 
 def state_vector(cases: DataFrame, n_risk: int, gap: int = 2, volume: int = 1) -> DataFrame:
@@ -65,7 +67,10 @@ def state_vector(cases: DataFrame, n_risk: int, gap: int = 2, volume: int = 1) -
     })
     names = [f"r{k}" for k in range(n_risk)]
     flat = cases.select("fold", *[F.element_at("risk", k + 1).alias(x) for k, x in enumerate(names)])
-    now = flat.groupBy("fold").agg(*[F.percentile(x, F.lit(0.5)).alias(f"c_{x}") for x in names])
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("name"), c(x).alias("v")) for x in names])) if names else F.lit(None).cast("struct<name:string,v:double>")
+    middle = exact_quantiles(flat.select("fold", each.alias("z")).select("fold", "z.*"), ["fold", "name"], "v", [0.5])
+    now = flat.select("fold").distinct().join(middle.withColumnRenamed("fold", "__q"), c("fold") == c("__q"), "left")
+    now = now.groupBy("fold").agg(*[F.max(F.when(c("name") == x, c("q")[0])).alias(f"c_{x}") for x in names])
     past = prior_medians(flat, names).withColumnRenamed("fold", "__f")
     both = now.join(past, c("fold") == c("__f"), "left")
     scale = lambda x: F.when(F.coalesce(c(f"s_{x}"), F.lit(0.0)) < 1e-6, 1.0).otherwise(c(f"s_{x}"))

@@ -9,6 +9,7 @@ from tidemark.operators import control, scores
 from tidemark.plans.panel import _BIN, _CASES, _HIT, _LL, KEY, _base, _r, bank, query, rounded
 from tidemark.scratch import ensure_importable, table
 from tidemark.sources import views
+from tidemark.store import stored
 
 c = F.col
 #: Decimals of columns made of probabilities with six decimals, whose fifth decimal is often an exact half.
@@ -23,7 +24,7 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = rows.groupBy(*KEY).agg(F.max("y").alias("y"), F.max(F.when(c("model") == "momentum", c("p"))).alias("pa"), F.max(F.when(c("model") == "reversal", c("p"))).alias("pb"))
     fold = ((F.year("session_date") - 1992) * 4 + F.quarter("session_date")).cast("int")
     context = _base(spark, sf_dir).select(*KEY, F.array("volatility_20", "volume_ratio_20", "range_pct").alias("risk"))
-    return p.join(context, KEY).select(*KEY, fold.alias("fold"), "y", F.array("pa", "pb").alias("p"), "risk")
+    return stored(p.join(context, KEY).select(*KEY, fold.alias("fold"), "y", F.array("pa", "pb").alias("p"), "risk"), "cases", "quarter")
 
 
 def _clip(x: str, low: float, high: float) -> str:
@@ -52,10 +53,13 @@ _STATES = f"""{_WIDE}, {_prior('wide', ('r0', 'r1', 'r2'), 'past')},
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(_wide(spark, sf_dir), "control-cases")
-    states = table(control.state_vector(rows, 3), "control-states")
-    out = control.predictability(control.ood_score(states))
-    return out.withColumn("strategy", control.policy(c("predictability"), c("ood"), F.lit(0.5), F.lit(0.5)))
+    """States of all cases with their distance, predictability and strategy; computed once for all queries."""
+
+    def build(rows: DataFrame) -> DataFrame:
+        out = control.predictability(control.ood_score(table(control.state_vector(rows, 3), "control-states")))
+        return out.withColumn("strategy", control.policy(c("predictability"), c("ood"), F.lit(0.5), F.lit(0.5)))
+
+    return stored(_wide(spark, sf_dir), "states", "quarter", build)
 
 
 @query(f"with {_STATES} select asset_class, symbol, session_date, fold, strategy, {', '.join(_r(x, x, _EXACT.get(x, 4)) for x in (*control.STATE, 'ood', 'predictability', 'future_predictability'))} from full_")

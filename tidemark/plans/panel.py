@@ -11,6 +11,7 @@ from tidemark.functions import cols
 from tidemark.operators import cross, scores, states, technical, temporal, upkeep
 from tidemark.scratch import ensure_importable
 from tidemark.sources import views
+from tidemark.store import stored
 
 c = F.col
 KEY = ["asset_class", "symbol", "session_date"]
@@ -379,22 +380,22 @@ def pivot_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("family", c("F").alias("f_last"), c("O").alias("o_last"), c("P").alias("p_last"))
 
 
-_CASES = f"""{_BASE}, cases as (
+_CASES = f"""{_BASE}, cases as materialized (
   select *, year(session_date) as fold, case when ret_1d is null then 0.5 else round(1 / (1 + exp(-least(greatest(3 * ret_1d, -50), 50))), 6) end as pa, case when ret_1d is null then 0.5 else round(1 / (1 + exp(-least(greatest(-2 * ret_1d, -50), 50))), 6) end as pb,
          lead(close) over (partition by symbol order by session_date) / close - 1 as y_ret from base),
-  bank as (select asset_class, symbol, session_date, fold, market_family, y_ret, (y_ret > 0)::int as y, 'momentum' as model, pa as p from cases where y_ret is not null
+  bank as materialized (select asset_class, symbol, session_date, fold, market_family, y_ret, (y_ret > 0)::int as y, 'momentum' as model, pa as p from cases where y_ret is not null
            union all select asset_class, symbol, session_date, fold, market_family, y_ret, (y_ret > 0)::int, 'reversal', pb from cases where y_ret is not null)"""
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long table of out-of-sample predictions: two models that read only the past return, folds by year."""
+    """Long table of out-of-sample predictions: two models that read only the past return, folds by year; computed once for all queries."""
     b = _base(spark, sf_dir)
     line = technical.Window.partitionBy("asset_class", "symbol").orderBy("session_date")
     p = lambda k: F.coalesce(F.round(cols.sigmoid(k * c("ret_1d")), 6), F.lit(0.5))
     b = b.withColumns({"fold": F.year("session_date"), "market_family": cols.market_family(c("asset_class")), "y_ret": cols.ratio(F.lead("close").over(line), c("close")) - 1})
     both = F.array(F.struct(F.lit("momentum").alias("model"), p(3.0).alias("p")), F.struct(F.lit("reversal").alias("model"), p(-2.0).alias("p")))
     b = b.where("y_ret is not null").withColumns({"y": (c("y_ret") > 0).cast("int"), "z": F.explode(both)})
-    return b.select(*KEY, "fold", "market_family", "y_ret", "y", "z.model", "z.p")
+    return stored(b.select(*KEY, "fold", "market_family", "y_ret", "y", "z.model", "z.p"), "bank")
 
 
 _LL = "-(y * ln(least(greatest(p, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)))"
