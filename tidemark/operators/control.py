@@ -172,6 +172,21 @@ def update_need(reach: Column, shock: Column, reliability: Column) -> Column:
     return clip(0.35 * reach + 0.25 * shock + 0.20 * (1 - reliability), 0.0, 1.0)
 
 
+def revised(before: float | None, value: float, asks: float, on: bool) -> tuple[str, float]:
+    """(action, output) for a prediction, given the last output of its key (fixed values)."""
+    before = value if before is None else before
+    change = min(max(asks + abs(value - before), 0.0), 1.0)
+    if not on:
+        return "abstain", value
+    if change < 0.25:
+        return "maintain", before
+    if change < 0.45:
+        return "micro_revision", 0.75 * before + 0.25 * value
+    if change < 0.72:
+        return "recompute", value
+    return "deep_recompute", 0.85 * value + 0.15 * 0.5
+
+
 def revisions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], selected: str = "selected", need: str = "update_need", active: str = "active") -> DataFrame:
     """rows with action and output: each key's prediction is kept, moved, or made anew by how much it should change.
 
@@ -185,18 +200,7 @@ def revisions(rows: DataFrame, keys: Sequence[str], order: Sequence[str], select
         group = group.sort_by([(x, "ascending") for x in order])
         before, actions, outputs = None, [], []
         for value, asks, on in zip(group.column(selected).to_pylist(), group.column(need).to_pylist(), group.column(active).to_pylist(), strict=True):
-            before = value if before is None else before
-            change = min(max(asks + abs(value - before), 0.0), 1.0)
-            if not on:
-                action, out = "abstain", value
-            elif change < 0.25:
-                action, out = "maintain", before
-            elif change < 0.45:
-                action, out = "micro_revision", 0.75 * before + 0.25 * value
-            elif change < 0.72:
-                action, out = "recompute", value
-            else:
-                action, out = "deep_recompute", 0.85 * value + 0.15 * 0.5
+            action, out = revised(before, value, asks, on)
             actions.append(action)
             outputs.append(out)
             before = out
