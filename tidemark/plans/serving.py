@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import experience, production, rows, scores, selection
 from tidemark.plans.panel import _BASE, _CASES, _CLOCK, _LL, KEY, _base, _r, bank, query, rounded
-from tidemark.scratch import ensure_importable
+from tidemark.scratch import ensure_importable, scratch_dir, table
 from tidemark.sources import views
+from tidemark.streaming import incremental, stateful
 
 c = F.col
 
@@ -304,3 +307,20 @@ def scaled_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = retrieval.standardised(rows_, rows_, names, "vec_id")
     near = retrieval.nearest(z.where("vec_id % 20 = 0"), z, "vec_id", "vector")
     return rounded(retrieval.weighted_success(near, rows_, "vec_id", "y"), 6)
+
+
+@query(
+    f"""with {_CASES}, s as (select asset_class, session_date, model, avg({_LL}) as loss from bank group by all),
+    z as (select *, -0.5 * coalesce(sum(loss) over (partition by asset_class, model order by session_date rows between unbounded preceding and 2 preceding), 0) as z from s),
+    e as (select *, exp(z - max(z) over (partition by asset_class, session_date)) as e from z) select asset_class, session_date, model, {_r('e / sum(e) over (partition by asset_class, session_date)', 'weight')} from e"""
+)
+def streamed_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Online expert weights of each asset class from a stream of session losses, with state by class and an outcome delay of one session."""
+    losses = bank(spark, sf_dir).groupBy("asset_class", "session_date", "model").agg(F.avg(scores.log_loss(c("y"), c("p"))).alias("loss"))
+    losses = table(losses.withColumn("at", c("session_date").cast("timestamp")).drop("session_date"), "stream-in")
+    own = f"{scratch_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream = incremental.files(spark, losses._scratch_path, losses.schema)
+    weights = stateful.stream_experts(stream, ["asset_class"], "at", "0 seconds", 0.5, 1)
+    weights.writeStream.outputMode("append").format("parquet").option("path", f"{own}/out").option("checkpointLocation", f"{own}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(weights.schema).parquet(f"{own}/out")
+    return rounded(out.select("asset_class", c("at").cast("date").alias("session_date"), "model", "weight"))

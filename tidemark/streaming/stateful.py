@@ -27,30 +27,31 @@ _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStorePro
 class _InOrder(StatefulProcessor):
     """Holds rows until their time has passed, then hands them on in order of time."""
 
-    WAITING = ("ms long, part string", "row string")
     names: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.answer = handle, Row(*self.names)
-        self.waiting = handle.getMapState("waiting", *self.WAITING)
+        self.waiting = handle.getMapState("waiting", "ms long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new: dict[int, dict[str, dict]] = {}
         for r in rows:
-            self.waiting.updateValue((r["__ms"], r["__part"]), (r["__row"],))
-            self.handle.registerTimer(r["__ms"])
+            new.setdefault(r["__ms"], {})[r["__part"]] = json.loads(r["__row"])
+        for ms, parts in new.items():
+            if self.waiting.containsKey((ms,)):
+                parts = json.loads(self.waiting.getValue((ms,))[0]) | parts
+            else:
+                self.handle.registerTimer(ms)
+            self.waiting.updateValue((ms,), (json.dumps(parts),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((k[0], k[1]) for k in self.waiting.keys() if k[0] <= passed)
-        at = 0
-        while at < len(due):
-            same = [k for k in due[at:] if k[0] == due[at][0]]
-            rows = {k[1]: json.loads(self.waiting.getValue(k)[0]) for k in same}
-            yield from self.session(key, same[0][0], rows)
-            for k in same:
-                self.waiting.removeKey(k)
-            at += len(same)
+        if not self.waiting.containsKey((expiredTimerInfo.getExpiryTimeInMs(),)):
+            return  # an earlier timer of this batch has seen to all that is due
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for ms in sorted(k[0] for k in self.waiting.keys() if k[0] <= passed):
+            yield from self.session(key, ms, json.loads(self.waiting.getValue((ms,))[0]))
+            self.waiting.removeKey((ms,))
 
     def session(self, key, ms: int, rows: dict[str, dict]) -> Iterator[Row]:
         raise NotImplementedError
