@@ -62,6 +62,18 @@ def test_build_runs_once(spark, source, name):
     assert calls == [1]
 
 
+def test_a_part_of_its_own_begins_with_nothing(spark, source, name):
+    calls = []
+    build = lambda df: calls.append(1) or df
+    try:
+        for part in ("x", "x", "y"):
+            spark.conf.set(store.PART, f"{name}{part}")
+            assert store.stored(counts(spark, source), name, build=build).count() == 7
+    finally:
+        spark.conf.unset(store.PART)
+    assert calls == [1, 1]
+
+
 def test_without_files_nothing_is_kept(spark, name):
     assert store.stored(spark.range(3), name).count() == 3 and kept(spark, name) == []
 

@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame
 from tidemark.scratch import scratch_dir
 
 
+#: Setting that names a part of the store for a session to use alone; a new name begins with nothing.
+PART = "tidemark.store.part"
+
+
 @cache
 def _code() -> str:
     """Digest of this package's source: a result of other code is another result."""
@@ -49,11 +53,13 @@ def stored(df: DataFrame, name: str, signature: str = "", build: Callable[[DataF
         return build(df) if build else df
     spark = df.sparkSession
     path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    path = f"{scratch_dir(spark).rstrip('/')}/store/{name}-{fingerprint(df, name, signature)}"
+    part = spark.conf.get(PART, None)
+    path = f"{scratch_dir(spark).rstrip('/')}/store/{f'{part}/' if part else ''}{name}-{fingerprint(df, name, signature)}"
     fs = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path_of(path)):
         own = f"{path}.{uuid.uuid4().hex}"
         (build(df) if build else df).write.option("compression", "zstd").parquet(own)
+        fs.mkdirs(path_of(path).getParent())
         if not fs.rename(path_of(own), path_of(path)):  # another run was first
             fs.delete(path_of(own), True)
     return spark.read.parquet(path)
