@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cols import clip
+from tidemark.scratch import drop, ensure_importable, table
 
 c = F.col
 EPS = 1e-6
+#: Scores that a window of counts_before holds, if they spread evenly.
+BUCKET_ROWS = 500_000
 
 
 def nonconformity(y: Column, p: Column) -> Column:
@@ -77,6 +79,62 @@ def group_prediction_sets(calibration: DataFrame, test: DataFrame, keys: Sequenc
     return _sets(found.drop(*[f"__{x}_{y}" for x in "ga" for y in ("n", "p0", "p1")]), float(alpha))
 
 
+def counts_before(bank: DataFrame, asked: DataFrame, key: str, places: int, buckets: int = 1) -> DataFrame:
+    """(key, s, t, above): bank scores (key, s, score) of earlier places s that are not below each asked value (key, s, t).
+
+    The places before s are at most log2(s) blocks of 1, 2, 4, ... places, one a set bit of s,
+    so a score counts in the blocks that hold it and an asked value looks into the blocks
+    before it. Equal scores of a block are counted first; then one window runs over a bucket
+    of width 1 / buckets of a block, and another over the sums of a block's buckets. Scores
+    lie in [0, 1]; places is the largest s; buckets change the size of the windows only. Null scores and null asked values are left out.
+    """
+    n = max(int(places).bit_length() - 1, 0)
+    blocks = f"explode(filter(transform(sequence(0, {n}), x -> struct(x as bit, shiftright(s, x) as b)), z -> (z.b & 1) = %d))"
+    number = lambda b: (c("z.bit").cast("long") * (1 << 32) + b).alias("z")
+    held = bank.where(c("score").isNotNull()).groupBy(key, "s", c("score").alias("t")).agg(F.count("*").alias("k"))
+    held = held.select(key, "t", "k", F.expr(blocks % 0).alias("z")).groupBy(key, number(c("z.b")), "t").agg(F.sum("k").alias("k"))
+    wanted = asked.where(c("t").isNotNull()).select(key, "s", "t").distinct().select(key, "s", "t", F.expr(blocks % 1).alias("z"))
+    wanted = wanted.select(key, number(c("z.b") - 1), "t", F.lit(0).cast("long").alias("k"), "s")
+    both = held.withColumn("s", F.lit(None).cast("int")).unionByName(wanted).withColumn("v", F.floor(c("t") * buckets).cast("int"))
+    both = table(both, "earlier-counts") if buckets > 1 else both
+    down = Window.partitionBy(key, "z", "v").orderBy(c("t").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("above", F.sum("k").over(down)).where("s is not null")
+    if buckets > 1:
+        over = Window.partitionBy(key, "z").orderBy(c("v").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most a row a bucket
+        sums = both.groupBy(key, "z", "v").agg(F.sum("k").alias("k")).select(key, "z", "v", F.coalesce(F.sum("k").over(over), F.lit(0)).alias("higher"))
+        own = own.join(sums, [key, "z", "v"]).withColumn("above", c("above") + c("higher"))
+    return own.groupBy(key, "s", "t").agg(F.sum("above").alias("above"))
+
+
+def session_levels(counts: DataFrame, alpha: float, gamma: float, low: float, high: float) -> DataFrame:
+    """(place, alpha_used) of every session in counts (id, place, s, v, k): k rows of session s, whose number is place, with p-value v.
+
+    The level of a session follows from the misses of those before it, so the sessions of a
+    key (id) are read in their order by one task, which holds one level and two sums.
+    """
+    start = min(max(alpha, low), high)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, at, missed, n = start, None, 0, 0
+        for batch in batches:
+            place, s, v, k = (x.to_numpy() for x in batch.columns)
+            found = []
+            for rows in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1):
+                if len(rows) and place[rows[0]] != at:
+                    if s[rows[0]] == 1:
+                        level = start
+                    elif n:
+                        level = min(max(level + gamma * (alpha - missed / n), low), high)
+                    at, missed, n = place[rows[0]], 0, 0
+                    found.append((at, level))
+                missed += int(k[rows][v[rows] <= level].sum())
+                n += int(k[rows].sum())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64())], names=["place", "alpha_used"])
+
+    ordered = counts.repartition("id").sortWithinPartitions("id", "s").select("place", "s", "v", "k")
+    return ordered.mapInArrow(run, "place long, alpha_used double")
+
+
 def adaptive_sets(
     calibration: DataFrame, test: DataFrame, keys: Sequence[str], session: str = "session_date", alpha: float = 0.1, gamma: float = 0.02, low: float = 0.01, high: float = 0.5
 ) -> DataFrame:
@@ -84,37 +142,41 @@ def adaptive_sets(
 
     A session is scored by the level in force and by the scores known before it; once its
     outcomes are there, the level moves by gamma * (alpha - miss rate), held in [low, high],
-    and its scores join the bank. Adds alpha_used. The sessions of one key are handled in
-    one task; they are the rows of one fold and model.
+    and its scores join the bank. Adds alpha_used. Counts of earlier scores come from blocks
+    of sessions (counts_before); only the level goes from session to session, over counts of
+    different p-values between low and high. A null session comes first. Rows without p have
+    null p-values and, like rows without y, neither count as missed nor join the bank.
     """
-    columns = test.columns
-    both = test.withColumn("__test", F.lit(True)).unionByName(calibration.select(*keys, "y", "p").withColumn("__test", F.lit(False)), allowMissingColumns=True)
-
-    def run(group: pa.Table) -> pa.Table:
-        y = group.column("y").to_numpy().astype(int)
-        p = np.clip(group.column("p").to_numpy(), EPS, 1 - EPS)
-        score = np.where(y == 1, 1 - p, p)
-        is_test = group.column("__test").to_numpy()
-        bank = np.sort(score[~is_test])
-        p0, p1, used = np.zeros(len(p)), np.zeros(len(p)), np.zeros(len(p))
-        level = min(max(alpha, low), high)
-        at = np.flatnonzero(is_test)
-        days = group.column(session).take(pa.array(at)).combine_chunks()
-        order = pc.array_sort_indices(days).to_numpy()
-        codes = np.unique(days.to_numpy(zero_copy_only=False)[order], return_inverse=True)[1] if len(at) else at
-        for rows in np.split(at[order], np.flatnonzero(np.diff(codes)) + 1) if len(at) else []:
-            n = len(bank)
-            p1[rows] = (1 + n - np.searchsorted(bank, 1 - p[rows])) / (n + 1)
-            p0[rows] = (1 + n - np.searchsorted(bank, p[rows])) / (n + 1)
-            used[rows] = level
-            missed = np.where(y[rows] == 1, p1[rows], p0[rows]) <= level
-            level = min(max(level + gamma * (alpha - missed.mean()), low), high)
-            bank = np.sort(np.concatenate([bank, score[rows]]))
-        out = group.select(columns).take(pa.array(at))
-        for name, x in (("p0", p0), ("p1", p1), ("alpha_used", used)):
-            out = out.append_column(name, pa.array(x[at]))
-        return out
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in test.schema)
-    found = both.groupBy(*keys).applyInArrow(lambda g: run(g), f"{kinds}, p0 double, p1 double, alpha_used double")
-    return _sets(found, c("alpha_used"))
+    ensure_importable(test.sparkSession)
+    key = lambda: F.struct(*[c(k) for k in keys]).alias("key")
+    q = clip(F.when(~F.isnan("p"), c("p")), EPS, 1 - EPS)
+    score = F.when(c("y") == 1, 1 - q).when(c("y").isNotNull(), q)
+    old = calibration.select(key(), score.alias("score")).where(c("score").isNotNull())
+    days = test.groupBy(key(), c(session).alias("day")).agg(F.count(score).alias("k"))
+    first = old.groupBy(c("key").alias("k0")).agg(F.count("*").alias("n0"))
+    line = Window.partitionBy("key").orderBy("day")  # a row a session
+    days = days.withColumns({"s": F.row_number().over(line), "n": F.coalesce(F.sum("k").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).join(first, c("key") == c("k0"), "left")
+    days = days.select("key", "day", "s", (c("n") + F.coalesce("n0", F.lit(0))).alias("n"), "k", F.coalesce("n0", F.lit(0)).alias("n0"), F.monotonically_increasing_id().alias("place"))
+    days = table(days, "adaptive-sessions")
+    places, size = days.agg(F.coalesce(F.max("s"), F.lit(0)), F.coalesce(F.sum("k") + F.sum(F.when(c("s") == 1, c("n0"))), F.lit(0))).first()
+    days = days.withColumn("id", F.min("place").over(Window.partitionBy("key")))
+
+    rows = test.select(F.struct(*[c(f"`{x}`") for x in test.columns]).alias("row"), key().alias("rk"), c(session).alias("rd"), q.alias("q"), score.alias("score"), c("y"))
+    rows = rows.join(days, (c("rk") == c("key")) & c("rd").eqNullSafe(c("day"))).select("row", "id", "place", "s", "n", "q", "score", "y")
+    rows = table(rows, "adaptive-rows")
+    old = old.join(days.where("s = 1").select(c("key").alias("k0"), "id"), c("key") == c("k0")).select("id", F.lit(0).alias("s"), "score")
+    asked = rows.select("id", "s", F.explode(F.array("q", 1 - c("q"))).alias("t"))
+    found = counts_before(old.unionByName(rows.select("id", "s", "score")), asked, "id", places, min(1 + size // BUCKET_ROWS, 1 << 16))
+    found = table(found.select(c("id").alias("fk"), c("s").alias("fs"), c("t").alias("ft"), "above"), "adaptive-counts")
+    for name, t in (("p1", 1 - c("q")), ("p0", c("q"))):
+        rows = rows.join(found, (c("id") == c("fk")) & (c("s") == c("fs")) & (t == c("ft")), "left").withColumn(name, F.when(c("q").isNotNull(), (1 + F.coalesce("above", F.lit(0))) / (1 + c("n")))).drop("fk", "fs", "ft", "above")
+    rows = table(rows, "adaptive-scored")
+    drop(found)
+
+    own = F.when(c("y") == 1, c("p1")).when(c("y").isNotNull(), c("p0"))
+    sure = F.when(own <= low, 0.0).when(own > high, 2.0).otherwise(own)  # missed or met whatever the level
+    counts = rows.select("id", "place", "s", sure.alias("v")).where(c("v").isNotNull()).groupBy("id", "place", "s", "v").agg(F.count("*").alias("k"))
+    counts = counts.unionByName(days.select("id", "place", "s", F.lit(2.0).alias("v"), F.lit(0).cast("long").alias("k")))
+    levels = session_levels(counts, alpha, gamma, low, high).withColumnRenamed("place", "at")
+    out = rows.join(levels, c("place") == c("at")).select("row.*", "p0", "p1", "alpha_used")
+    return _sets(out, c("alpha_used"))
