@@ -149,6 +149,42 @@ def failure_risk(labels: DataFrame, last: int = 8) -> DataFrame:
     return out.select("fold", "model", "risk", (1 / F.greatest(c("risk"), F.lit(0.05))).alias("folds_to_failure"))
 
 
+def failure_times(labels: DataFrame) -> DataFrame:
+    """(fold, model, follow_up, event): folds from a fold to the model's next failure, or to its last label where none follows (event 0).
+
+    A failure by the label of the fold itself counts as one fold away. Folds after the last
+    label have no row; a window holds a row a fold.
+    """
+    line = Window.partitionBy("model").orderBy("fold")
+    rest = line.rowsBetween(0, Window.unboundedFollowing)
+    rows = labels.withColumn("__i", F.row_number().over(line))
+    rows = rows.withColumns({"__next": F.min(F.when(c("failed") == 1, c("__i"))).over(rest), "__last": F.max(F.when(c("failed").isNotNull(), c("__i"))).over(rest)})
+    rows = rows.where(c("__last").isNotNull())
+    return rows.select("fold", "model", (F.coalesce("__next", "__last") + 1 - c("__i")).alias("follow_up"), c("__next").isNotNull().cast("int").alias("event"))
+
+
+def failure_time_scores(times: DataFrame, risks: DataFrame) -> DataFrame:
+    """A row a model: how far the folds_to_failure said at each fold lie from the failures that came; censored cases are counted, not scored."""
+    said = risks.select(c("fold").alias("__f"), c("model").alias("__m"), c("folds_to_failure").alias("said"))
+    rows = times.join(said, (c("fold") == c("__f")) & (c("model") == c("__m")))
+    hit = c("event") == 1
+    gap = F.when(hit, F.abs(c("said") - c("follow_up")))
+    return rows.groupBy("model").agg(
+        F.sum("event").alias("event_cases"), F.sum(1 - c("event")).alias("censored_cases"), F.avg("event").alias("event_rate"), F.when(F.sum("event") > 0, F.avg(F.when(hit, c("said")))).otherwise(F.avg("said")).alias("predicted_mean"),
+        F.avg(F.when(hit, c("follow_up"))).alias("observed_mean"), F.avg(gap).alias("mae"), F.median(gap).alias("median_abs_error"),
+    )
+
+
+def failure_hazard(times: DataFrame) -> DataFrame:
+    """(model, horizon, at_risk, events, hazard, survival): discrete hazards by folds ahead, with censored cases at risk as long as they are followed."""
+    per = times.groupBy("model", c("follow_up").alias("horizon")).agg(F.sum("event").alias("events"), F.count("*").alias("__n"))
+    line = Window.partitionBy("model").orderBy("horizon")
+    rows = per.withColumn("at_risk", F.sum("__n").over(line.rowsBetween(0, Window.unboundedFollowing))).withColumn("hazard", c("events") / c("at_risk"))
+    left = F.collect_list("hazard").over(line.rowsBetween(Window.unboundedPreceding, 0))  # a value a horizon
+    survival = F.aggregate(left, F.lit(1.0), lambda acc, h: acc * (1 - h))
+    return rows.select("model", "horizon", "at_risk", "events", "hazard", survival.alias("survival"))
+
+
 def severity(risk: Column) -> Column:
     return F.when(risk >= 0.9, "critical").when(risk >= 0.75, "failure").when(risk >= 0.5, "warning").otherwise("normal")
 

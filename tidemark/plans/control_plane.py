@@ -95,6 +95,39 @@ def failure_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("severity", control.severity(c("risk"))))
 
 
+_TIMES = f"""{_FOLDS}, numbered as (select *, row_number() over (partition by model order by fold) as i from failures),
+  times as (select a.fold, a.model, (coalesce(min(b.i) filter (where b.failed = 1), max(b.i)) + 1 - a.i)::int as follow_up, (count(*) filter (where b.failed = 1) > 0)::int as event
+    from numbered a join numbered b on b.model = a.model and b.i >= a.i and b.failed is not null group by a.fold, a.model, a.i)"""
+
+
+@query(f"with {_TIMES} select fold, model, follow_up, event from times")
+def failure_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds to the next failure of each model, censored where none follows."""
+    return control.failure_times(control.failure_labels(_bank(spark, sf_dir)))
+
+
+@query(
+    f"""with {_TIMES}, said as (select t.*, 1 / greatest(risk, 0.05) as said from times t join risks r on r.fold = t.fold and r.model = t.model)
+    select model, sum(event)::bigint as event_cases, sum(1 - event)::bigint as censored_cases, {_r('avg(event)', 'event_rate')}, {_r('coalesce(avg(said) filter (where event = 1), avg(said))', 'predicted_mean')},
+      {_r('avg(follow_up) filter (where event = 1)', 'observed_mean')}, {_r('avg(abs(said - follow_up)) filter (where event = 1)', 'mae')}, {_r('median(abs(said - follow_up)) filter (where event = 1)', 'median_abs_error')} from said group by model"""
+)
+def failure_time_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of the folds said to be left, over the cases whose failure came."""
+    labels = table(control.failure_labels(_bank(spark, sf_dir)), "failure-labels")
+    return rounded(control.failure_time_scores(control.failure_times(labels), control.failure_risk(labels)))
+
+
+@query(
+    f"""with {_TIMES}, per as (select model, follow_up as horizon, sum(event)::bigint as events, count(*) as k from times group by all),
+    h as (select *, (sum(k) over (partition by model order by horizon desc))::bigint as at_risk from per)
+    select model, horizon, at_risk, events, {_r('events / at_risk', 'hazard')}, {_r('product(1 - events / at_risk) over (partition by model order by horizon)', 'survival')} from h"""
+)
+def failure_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance of a failure at each number of folds ahead, and of none until then."""
+    return rounded(control.failure_hazard(control.failure_times(control.failure_labels(_bank(spark, sf_dir)))))
+
+
+
 _ROUTED = f"""{_FOLDS}, qs as (select fold, max(case when model = 'momentum' then quality end) as qa, max(case when model = 'reversal' then quality end) as qb from quality group by fold),
   rs as (select fold, max(case when model = 'momentum' then risk end) as ra, max(case when model = 'reversal' then risk end) as rb from risks group by fold),
   raw as (select w.*, ra, rb, exp(-abs(pa - pb) / 2 / greatest(abs(pa - pb) / 2, 0.01)) * {_clip('qa', 1e-6, 1 - 1e-6)} as ea, exp(-abs(pa - pb) / 2 / greatest(abs(pa - pb) / 2, 0.01)) * {_clip('qb', 1e-6, 1 - 1e-6)} as eb from wide w join qs using (fold) join rs using (fold)),
