@@ -15,6 +15,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -247,3 +248,67 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     seen = resolve(sequences(pages, "doc_id", "html"), found, "doc_id")
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"]
     return seen.select("doc_id", *names)
+
+
+def illustrate(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Media store and pages of pages whose long text runs are kept as 8-bit media between the short ones.
+
+    A run of at least least characters becomes a figure at its place, with the nearest short
+    run before it as its caption, if there is one; short runs stay text, and media that the
+    page refers to already stay as they are. Returns (store, pages): a store row (digest,
+    media) for each long run, equal ones included, and (id_col, html).
+    """
+    ensure_importable(pages.sparkSession)
+    id_type = pages.schema[id_col].dataType.simpleString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            for part in chunks(batch, "html"):
+                digests, media, pages_ = [], [], []
+                for page in part.column("html").to_pylist():
+                    out, own, images, caption = [], [], [], None
+                    for item in parse(page or ""):
+                        text = item["text"]
+                        if item["kind"] == "media":
+                            src = text if item["digest"] is None else SCHEME + item["digest"]
+                            alt = "" if item["caption"] is None else f' alt="{escape(item["caption"])}"'
+                            out.append(f'<img src="{escape(src)}"{alt}>')
+                        elif len(text) < least:
+                            caption = text
+                            out.append(f"<p>{escape(text)}</p>")
+                        else:
+                            body = payload(text.encode())
+                            own.append(hashlib.sha256(body).hexdigest())
+                            images.append(to_image(body))
+                            below = "" if caption is None else f"<figcaption>{escape(caption)}</figcaption>"
+                            out.append(f'<figure><img src="{SCHEME}{own[-1]}">{below}</figure>')
+                    digests.append(own)
+                    media.append(images)
+                    pages_.append(f"<article>{''.join(out)}</article>")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("k"), pa.array(digests, pa.list_(pa.string())), pa.array(media, pa.list_(pa.binary())), pa.array(pages_, pa.string())], names=["k", "digests", "images", "html"]
+                )
+
+    rows = pages.select(F.col(id_col).alias("k"), F.col(html_col).alias("html"))
+    kept = table(rows.mapInArrow(write, f"k {id_type}, digests array<string>, images array<binary>, html string"), "page-media")
+    images = kept.select(F.explode(F.arrays_zip("digests", "images")).alias("z")).select(F.col("z.digests").alias("digest"), F.col("z.images").alias("media"))
+    return images, kept.select(F.col("k").alias(id_col), "html")
+
+
+def page_media(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 200) -> DataFrame:
+    """(id_col, position, kind, text, caption, n_bytes, payload_sha256, feature) of every item of every page, long text runs as media.
+
+    Pages go through illustrate; what comes back is parsed from the written pages and read
+    from the stored bytes, joined by digest. A text item has its text and no media columns; a
+    media item has no text, but the address of one that is not in the store. A null or empty
+    page has no items; a repeated row has its items again; an empty table gives an empty result.
+    """
+    images, written = illustrate(pages, id_col, html_col, least)
+    items = table(sequences(written, id_col, "html"), "page-items")
+    found = one_each(describe(images))
+    names = ["n_bytes", "payload_sha256", "feature"]
+    seen = resolve(items, found, id_col).select(F.col(id_col), "position", F.lit("media").alias("kind"), F.lit(None).cast("string").alias("text"), "caption", *names)
+    rest = items.select(F.col(id_col), F.explode("items").alias("i")).where(F.col("i.digest").isNull())
+    rest = rest.select(F.col(id_col), "i.position", "i.kind", "i.text", "i.caption", *[F.lit(None).cast(seen.schema[n].dataType).alias(n) for n in names])
+    return seen.unionByName(rest)

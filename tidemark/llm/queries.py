@@ -43,6 +43,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def page_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of all pages with their long text runs as media, read back; positions and captions beside op8's one figure a text."""
+    return media.page_media(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), output="digest")
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_ids": op6_token_ids,
     "op7_mixing": op7_mixing,
     "op8_media": op8_media,
+    "page_media": page_media,
     "op9_repeats": op9_repeats,
     "op10_packing": op10_packing,
     "op11_variants": op11_variants,
