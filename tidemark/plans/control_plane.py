@@ -132,7 +132,7 @@ _ROUTED = f"""{_FOLDS}, qs as (select fold, max(case when model = 'momentum' the
   rs as (select fold, max(case when model = 'momentum' then risk end) as ra, max(case when model = 'reversal' then risk end) as rb from risks group by fold),
   raw as (select w.*, ra, rb, exp(-abs(pa - pb) / 2 / greatest(abs(pa - pb) / 2, 0.01)) * {_clip('qa', 1e-6, 1 - 1e-6)} as ea, exp(-abs(pa - pb) / 2 / greatest(abs(pa - pb) / 2, 0.01)) * {_clip('qb', 1e-6, 1 - 1e-6)} as eb from wide w join qs using (fold) join rs using (fold)),
   routed as (select *, ea / greatest(ea + eb, 1e-6) as wa, eb / greatest(ea + eb, 1e-6) as wb from raw),
-  aware as (select *, wa * greatest(1 - ra, 0.15) as fa, wb * greatest(1 - rb, 0.15) as fb from routed)"""
+  aware as materialized (select *, wa * greatest(1 - ra, 0.15) as fa, wb * greatest(1 - rb, 0.15) as fb from routed)"""
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:

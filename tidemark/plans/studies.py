@@ -16,6 +16,7 @@ c = F.col
 # conformal sets --------------------------------------------------------------------------------
 
 _Q = "least(greatest(p, 1e-6), 1 - 1e-6)"
+# The last step of these is materialized: under a LIMIT around the statement DuckDB never ends otherwise.
 _CAL = f"cal as (select *, case when y = 1 then 1 - {_Q} else {_Q} end as score from bank where month(session_date) <= 6), test as (select *, {_Q} as q from bank where month(session_date) > 6)"
 
 
@@ -39,7 +40,7 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     f"""with {_CASES}, {_CAL}, {_counts('cal', 'fold, model', 'a_')},
-    v as (select x.*, (1 + hi.above) / (1 + hi.n) as p1, (1 + lo.above) / (1 + lo.n) as p0 from test x
+    v as materialized (select x.*, (1 + hi.above) / (1 + hi.n) as p1, (1 + lo.above) / (1 + lo.n) as p0 from test x
       left join a_counts hi on hi.fold = x.fold and hi.model = x.model and hi.t = 1 - x.q left join a_counts lo on lo.fold = x.fold and lo.model = x.model and lo.t = x.q)
     select asset_class, symbol, session_date, model, {_SET_COLUMNS} from v"""
 )
@@ -52,7 +53,7 @@ def conformal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {_CASES}, {_CAL}, {_counts('cal', 'fold, model', 'a_')}, {_counts('cal', 'fold, model, asset_class', 'g_')},
-    v as (select x.*, coalesce(gh.n, 0) < 50 as fallback, case when gh.n >= 50 then (1 + gh.above) / (1 + gh.n) else (1 + hi.above) / (1 + hi.n) end as p1, case when gl.n >= 50 then (1 + gl.above) / (1 + gl.n) else (1 + lo.above) / (1 + lo.n) end as p0 from test x
+    v as materialized (select x.*, coalesce(gh.n, 0) < 50 as fallback, case when gh.n >= 50 then (1 + gh.above) / (1 + gh.n) else (1 + hi.above) / (1 + hi.n) end as p1, case when gl.n >= 50 then (1 + gl.above) / (1 + gl.n) else (1 + lo.above) / (1 + lo.n) end as p0 from test x
       left join a_counts hi on hi.fold = x.fold and hi.model = x.model and hi.t = 1 - x.q left join a_counts lo on lo.fold = x.fold and lo.model = x.model and lo.t = x.q
       left join g_counts gh on gh.fold = x.fold and gh.model = x.model and gh.asset_class = x.asset_class and gh.t = 1 - x.q left join g_counts gl on gl.fold = x.fold and gl.model = x.model and gl.asset_class = x.asset_class and gl.t = x.q)
     select asset_class, symbol, session_date, model, fallback, {_SET_COLUMNS} from v"""
