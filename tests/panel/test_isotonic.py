@@ -51,3 +51,19 @@ def test_without_keys_with_weights_and_without_rows(spark):
     got = [(r["low"], r["high"], r["n"], r["value"]) for r in isotonic.isotonic_blocks(df, [], "x", "y", "w").orderBy("low").collect()]
     assert got == [(0.1, 0.2, 3.0, pytest.approx(2 / 3)), (0.3, 0.3, 1.0, 5.0)]
     assert isotonic.isotonic_blocks(df.where("false"), [], "x", "y").collect() == []
+
+
+def test_query_rounds_halves_as_its_sql(spark, monkeypatch):
+    import duckdb
+
+    from tidemark.plans import forests, panel
+
+    rows = [(1995, "momentum", k / 2000, int(i < k - 985)) for k in range(990, 1030) for i in range(50)]  # every cell is a block
+    given = spark.createDataFrame(rows, "fold int, model string, p double, y int")
+    monkeypatch.setattr(forests, "bank", lambda *_: given)
+    con = duckdb.connect()
+    con.execute("create table bank (fold bigint, model varchar, p double, y int)")
+    con.executemany("insert into bank values (?, ?, ?, ?)", rows)
+    sql = panel.SQL["isotonic_curves"].replace(f"{panel._CASES}, ", "")
+    got = [tuple(r) for r in forests.isotonic_curves(spark, "").collect()]
+    assert sorted(got) == sorted(con.execute(sql).fetchall())
