@@ -204,3 +204,21 @@ def test_nothing_to_learn_from(spark, rows):
     flat = rows.select(F.lit(1.0).alias("a"), F.lit(None).cast("double").alias("b"), "y")
     model = trees.fit_boosted(flat, ["a", "b"], "y", rounds=2)
     assert model.trees == () and trees.fit_extra_trees(flat, ["a", "b"], "y", trees=2).predict(flat, "p").agg(F.count_distinct("p")).first()[0] == 1
+
+
+def test_forest_quantiles_of_large_leaves_do_not_multiply_rows(spark):
+    rng = np.random.default_rng(3)
+    train = [([int(a), int(b)], float(v)) for a, b, v in zip(rng.integers(0, 2, 4000), rng.integers(0, 3, 4000), rng.normal(size=4000).round(3), strict=True)]
+    test = [(k, [k % 2, k % 4]) for k in range(60)]  # leaf 3 of the second tree is not known
+    got = trees.forest_quantiles(spark.createDataFrame(train, "leaf array<int>, v double"), spark.createDataFrame(test, "id long, leaf array<int>"), "id", "v", [0.1, 0.5, 0.9])
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString()  # a row of test met every label of its leaves
+    found = {r["id"]: r["q"] for r in got.collect()}
+    for k, leaves in test:
+        weight = {}
+        for t, own in enumerate(leaves):
+            labels = [v for x, v in train if x[t] == own]
+            for v in set(labels):
+                weight[v] = weight.get(v, 0) + trees.SHARE * labels.count(v) // len(labels)
+        order = sorted(weight)
+        upto = np.cumsum([weight[v] for v in order])
+        assert found[k] == [order[int((upto >= upto[-1] * q).argmax())] for q in (0.1, 0.5, 0.9)]
