@@ -2,9 +2,12 @@
 
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.quantiles import exact_quantiles
+from tidemark.operators import control
+from tidemark.operators.patterns import prior_quantiles
 from tidemark.plans.panel import predicted
 
 
@@ -36,3 +39,39 @@ def test_quantiles_deal_only_what_lies_inside_a_bracket(spark):
     got = []
     assert most_shuffled(spark, lambda: got.append(exact_quantiles(df, [], "x", [0.5]).first())) < 4_000
     assert got[0]["q"][0] == np.quantile([r[0] for r in df.collect()], 0.5) and got[0]["n"] == 40_000
+
+
+def test_prior_quantiles_deal_few_values_of_a_crowded_bucket(spark, tmp_path):
+    # one far value leaves all others in a few buckets of 4,096
+    df = spark.range(40_000).select((F.col("id") % 8).cast("int").alias("fold"), F.when(F.col("id") == 7, 0.5).otherwise((F.pmod(F.hash("id"), F.lit(1_000_003)) / 1e10)).alias("v"))
+    df.write.parquet(f"{tmp_path}/v")
+    df = spark.read.parquet(f"{tmp_path}/v")
+    got = []
+    assert most_shuffled(spark, lambda: got.extend(prior_quantiles(df, "v", {"m": 0.5}).collect())) < 20_000
+    rows = df.collect()
+    assert {r["fold"]: r["m"] for r in got} == pytest.approx({t: np.quantile([r["v"] for r in rows if r["fold"] < t], 0.5) for t in range(1, 8)})
+
+
+def test_revisions_hold_more_than_one_key_a_batch(spark):
+    rows = [(None if k == 0 else f"k{k}", t, 0.1 * ((k * 7 + t * 3) % 10), 0.05 * ((k + t) % 9), (k + t) % 5 > 0) for k in range(30) for t in range(20)]
+    df = spark.createDataFrame(rows, "s string, t int, selected double, update_need double, active boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["s"], r["t"]): (r["action"], r["output"]) for r in control.revisions(df, ["s"], ["t"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, state = {}, {}
+    for s, t, value, asks, on in rows:
+        action, state[s] = control.revised(state.get(s), value, asks, on)
+        want[s, t] = (action, state[s])
+    assert got == want
+    plan = control.revisions(df, ["s"], ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+def test_rows_are_not_exchanged_to_meet_a_row_a_fold(spark):
+    rows = spark.createDataFrame([(f, "a", f % 2, "x") for f in range(4)], "fold int, regime string, failed int, strategy string")
+    plan = control.prior_failure_rates(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    states = spark.createDataFrame([(f, 0.6, 0.1, 0.5, 0.8, 1.0, 0.2) for f in range(4)], "fold int, agreement double, prediction_entropy double, data_completeness double, feature_reliability double, ood double, x double")
+    assert "rightHint=(strategy=broadcast)" in control.predictability(states)._jdf.queryExecution().optimizedPlan().toString()
