@@ -75,3 +75,28 @@ def test_rows_are_not_exchanged_to_meet_a_row_a_fold(spark):
     assert "rightHint=(strategy=broadcast)" in plan
     states = spark.createDataFrame([(f, 0.6, 0.1, 0.5, 0.8, 1.0, 0.2) for f in range(4)], "fold int, agreement double, prediction_entropy double, data_completeness double, feature_reliability double, ood double, x double")
     assert "rightHint=(strategy=broadcast)" in control.predictability(states)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_nearest_cases_meet_few_cells_and_equal_all_pairs(spark, monkeypatch, crowded):
+    from tidemark.operators import retrieval
+
+    rng, asked = np.random.default_rng(4), []
+    n = 3_000
+    signs = rng.integers(0, 3, (n, 5)) / 4.0 if crowded else rng.normal(0, 0.2, (n, 5))
+    fold, regime, failed = rng.integers(0, 5, n), rng.choice(["up", "down"], n), rng.integers(0, 2, n)
+    names = ["prediction", "predictability", "ood", "failure_risk", "disagreement"]
+    rows = [(k, int(fold[k]), str(regime[k]), int(failed[k]), *map(float, signs[k])) for k in range(n)] + [(n, None, "up", 1, *[0.1] * 5), (n + 1, 2, "up", 1, None, *[0.1] * 4)]
+    df = spark.createDataFrame(rows, "id int, fold int, regime string, failed int, " + ", ".join(f"{x} double" for x in names))
+    split = retrieval.Cells.split
+    monkeypatch.setattr(retrieval.Cells, "split", lambda *x: asked.append(split(*x)) or asked[-1])
+    got = {r["id"]: (r["hits"], r["failure_rate"], r["best_distance"]) for r in control.nearest_cases(df, "id", size=32).collect()}
+    assert len(asked[0].regimes) > 20
+    want = {}
+    for k in range(n):
+        d = sum(np.abs(signs[:, j] - signs[k, j]) / s for j, s in enumerate((0.2, 0.5, 0.5, 0.5, 0.1))) / 5 * np.where(regime == regime[k], 0.8, 1.0)
+        d[fold >= fold[k]] = np.inf
+        top = [j for j in np.argsort(d, kind="stable")[:10] if np.isfinite(d[j])]
+        if top:
+            want[k] = (len(top), pytest.approx(failed[top].mean()), pytest.approx(d[top[0]]))
+    assert got == want
