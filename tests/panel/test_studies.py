@@ -114,3 +114,22 @@ def test_listed_and_delisted(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c")], "snapshot_date int, symbol string")
     assert {(r["symbol"], r["change"]) for r in audits.listed_and_delisted(df, ["symbol"]).collect()} == {("c", "listed"), ("a", "delisted")}
     assert audits.snapshot_history(df, spark.createDataFrame([(2, "z"), (3, "z")], df.schema)).count() == 5
+
+
+@pytest.mark.parametrize("name", models.CALIBRATORS)
+def test_calibrators_learn_the_same_from_counted_cells(spark, name):
+    df = spark.range(600).select((F.pmod(F.hash("id"), F.lit(37)) / 40.0).alias("p"), (F.pmod(F.hash("id", F.lit(1)), F.lit(40)) < F.pmod(F.hash("id"), F.lit(37))).cast("int").alias("y"))
+    cells = models.probability_cells(df)
+    assert cells.count() < 80
+    asked = spark.createDataFrame([(k / 50,) for k in range(51)], "p double")
+    got, want = ([r[0] for r in asked.select(models.CALIBRATORS[name]().fit(x).apply(F.col("p"))).collect()] for x in (cells, df))
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_isotonic_equals_the_fit_of_spark(spark):
+    from pyspark.ml.regression import IsotonicRegression
+
+    df = spark.range(3_000).select((F.pmod(F.hash("id"), F.lit(1009)) / 1009.0).alias("p"), (F.pmod(F.hash("id", F.lit(1)), F.lit(1009)) < F.pmod(F.hash("id"), F.lit(1009))).cast("int").alias("y"))
+    model = IsotonicRegression(labelCol="y", featuresCol="p").fit(df.select(F.col("y").cast("double").alias("y"), "p"))
+    fitted = models.Isotonic().fit(df)
+    assert fitted.x.tolist() == pytest.approx(list(model.boundaries)) and fitted.y.tolist() == pytest.approx(list(model.predictions))
