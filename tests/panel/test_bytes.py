@@ -100,3 +100,22 @@ def test_nearest_cases_meet_few_cells_and_equal_all_pairs(spark, monkeypatch, cr
         if top:
             want[k] = (len(top), pytest.approx(failed[top].mean()), pytest.approx(d[top[0]]))
     assert got == want
+
+
+def test_experience_is_dealt_by_segments_without_joins(spark, small):
+    from tidemark.operators import experience
+    from tidemark.plans import serving
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = serving._errors(spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(symbol") == 1 and "Exchange hashpartitioning(asset_class" not in plan
+    rows = [("a" if k % 3 else None, ["x", "y"] if k % 2 else [], 0.1 * (k % 10), k % 2, 0.01 * k) for k in range(40)]
+    df = spark.createDataFrame(rows, "kind string, tags array<string>, p double, y int, return_error double")
+    sums = experience.experience_sums(df, {"by": "kind"}, {"tags": "tags"})
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+    got = {(r["dimension"], r["segment"]): (r["n"], r["abs_return_error_sum"]) for r in sums.collect()}
+    total = lambda own: (len(own), pytest.approx(sum(r[4] for r in own)))
+    assert got == {("by", "a"): total([r for r in rows if r[0]]), ("by", "UNKNOWN"): total([r for r in rows if not r[0]]), ("tags", "x"): total([r for r in rows if r[1]]), ("tags", "y"): total([r for r in rows if r[1]])}
