@@ -119,3 +119,21 @@ def test_experience_is_dealt_by_segments_without_joins(spark, small):
     got = {(r["dimension"], r["segment"]): (r["n"], r["abs_return_error_sum"]) for r in sums.collect()}
     total = lambda own: (len(own), pytest.approx(sum(r[4] for r in own)))
     assert got == {("by", "a"): total([r for r in rows if r[0]]), ("by", "UNKNOWN"): total([r for r in rows if not r[0]]), ("tags", "x"): total([r for r in rows if r[1]]), ("tags", "y"): total([r for r in rows if r[1]])}
+
+
+def test_ranks_take_one_sort_each_and_tasks_bounded_rows(spark, monkeypatch, tmp_path):
+    from tidemark import scratch
+    from tidemark.operators import cross, scores
+
+    monkeypatch.setattr(scratch, "DEALT_ROWS", 100)
+    df = spark.range(2_000).select((F.col("id") % 40).cast("int").alias("d"), F.pmod(F.hash("id"), F.lit(17)).alias("p"), F.pmod(F.hash("id", F.lit(1)), F.lit(13)).alias("r"))
+    df.write.parquet(f"{tmp_path}/r")
+    rows = scratch.dealt(spark.read.parquet(f"{tmp_path}/r"), "d")
+    assert rows.rdd.getNumPartitions() == 20
+    sorts = lambda x: x._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Sort [")
+    ranked = cross.cross_sectional_rank(rows, ["d"], "p", "r")
+    assert sorts(ranked) == 3 and sorts(scores.rank_ic(rows, ["d"], "r", "p")) == 2
+    got = ranked.where("d = 3").toPandas()
+    pct = lambda x: x.rank(ascending=False) / len(x)
+    score = 0.5 * pct(got["p"]) + 0.5 * pct(got["r"])
+    assert got["rank_score"].tolist() == pytest.approx(score.tolist()) and got["rank"].tolist() == score.rank(ascending=False).tolist()
