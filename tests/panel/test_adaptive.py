@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.operators import conformal
@@ -57,3 +58,26 @@ def test_without_rows_and_without_a_bank(spark):
     assert conformal.adaptive_sets(rows, none, ["fold", "model"]).collect() == []
     got = sorted((r["session_date"], r["p0"], r["p1"]) for r in conformal.adaptive_sets(none, rows, ["fold", "model"]).collect())
     assert got == [(1, 1.0, 1.0), (2, 0.5, 1.0), (2, 0.5, 1.0)]
+
+
+def test_no_step_has_more_rows_than_its_input(spark, monkeypatch):
+    kept, sizes = conformal.table, {}
+
+    def noted(df, name):
+        out = kept(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(conformal, "table", noted)
+    monkeypatch.setattr(conformal, "BUCKET_ROWS", 100)
+    rng = random.Random(4)
+    make = lambda n: [("f", "a", rng.choice([0, 1]), round(rng.random(), 3), rng.randrange(30), k, k, "x") for k in range(n)]
+    got = conformal.adaptive_sets(spark.createDataFrame(make(100), NAMES), spark.createDataFrame(make(600), NAMES), ["fold", "model"])
+    assert got.count() == 600 and max(sizes.values()) <= 700  # a score was once a row for each of log2(sessions) blocks
+
+
+def test_smaller_before_by_brute_force():
+    rng = random.Random(5)
+    for n, top in ((0, 1), (1, 1), (300, 1), (300, 9), (200, 1 << 20)):
+        s, k = np.array([rng.randrange(top) for _ in range(n)], int), np.array([rng.randrange(4) for _ in range(n)], int)
+        assert conformal.smaller_before(s, k).tolist() == [int(sum(k[j] for j in range(i) if s[j] < s[i])) for i in range(n)]
