@@ -222,3 +222,26 @@ def test_forest_quantiles_of_large_leaves_do_not_multiply_rows(spark):
         order = sorted(weight)
         upto = np.cumsum([weight[v] for v in order])
         assert found[k] == [order[int((upto >= upto[-1] * q).argmax())] for q in (0.1, 0.5, 0.9)]
+
+
+def test_models_that_share_blocks_are_those_of_the_table(rows):
+    bins = trees.fit_bins(rows, NAMES, 16)
+    shared = trees.blocks(rows, NAMES, "r", bins=bins)
+    assert shared.n == 2000 and shared.rows.count() <= rows.rdd.getNumPartitions()  # a pass hands blocks to Python, not rows
+    for how in ({"loss": "squared"}, {"loss": "pinball", "level": 0.9}):
+        one, two = (trees.fit_boosted(d, NAMES, "r", rounds=1, leaves=3, bins=bins, **how) for d in (rows, shared))
+        assert one.start == two.start and [[v.tolist() for v in t] for t in one.trees] == [[v.tolist() for v in t] for t in two.trees]
+
+
+def test_features_of_models_alone_are_those_of_the_pack():
+    from tidemark.operators import technical
+    from tidemark.plans.forests import FEATURES
+
+    rng = np.random.default_rng(1)
+    close = 50 + rng.normal(size=120).cumsum()
+    low, high, volume = close - rng.random(120), close + rng.random(120), rng.integers(0, 9, 120).astype(float)
+    with np.errstate(all="ignore"):
+        alone, every = technical._plain(close, high, low, volume), technical._pack(close, close, high, low, volume)
+    assert technical.PLAIN >= set(FEATURES)
+    for x in technical.PLAIN:
+        np.testing.assert_array_equal(alone[x], every[x])
