@@ -245,3 +245,28 @@ def test_features_of_models_alone_are_those_of_the_pack():
     assert technical.PLAIN >= set(FEATURES)
     for x in technical.PLAIN:
         np.testing.assert_array_equal(alone[x], every[x])
+
+
+@pytest.mark.parametrize("how", [{"loss": "log", "label": "y"}, {"loss": "squared", "label": "r"}, {"loss": "pinball", "level": 0.9, "label": "r", "weight": "w"}])
+def test_tasks_that_grow_trees_together_grow_those_of_one_task(rows, monkeypatch, how):
+    how = {"features": NAMES, "rounds": 4, "rate": 0.2, "leaves": 6, "bins": trees.fit_bins(rows, NAMES, 16)} | how
+    alone = trees.fit_boosted(rows, **how)
+    monkeypatch.setattr(trees, "TASK_ROWS", 700)
+    together = trees.fit_boosted(rows.repartition(7), **how)
+    assert len(alone.trees) == 4 and alone.start == together.start
+    assert [[v.tolist() for v in t] for t in alone.trees] == [[v.tolist() for v in t] for t in together.trees]
+
+
+def sizes_of(monkeypatch, query, spark, small):
+    """What a query asks of the models, which are then made of one tree."""
+    asked, boosted, forest = [], trees.fit_boosted, trees.fit_extra_trees
+    monkeypatch.setattr(trees, "fit_boosted", lambda *a, rounds=300, **k: asked.append(("boosted", rounds)) or boosted(*a, rounds=1, **k))
+    monkeypatch.setattr(trees, "fit_extra_trees", lambda df, x, y, trees=300, **k: asked.append(("forest", trees)) or forest(df, x, y, 1, **k))
+    query(spark, small)
+    return sorted(asked)
+
+
+def test_direction_models_have_the_sizes_of_the_study(spark, small, monkeypatch):
+    from tidemark.plans import forests
+
+    assert sizes_of(monkeypatch, forests.direction_forecasts, spark, small) == [("boosted", 300), ("boosted", 500), ("forest", 300)]
