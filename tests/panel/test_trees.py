@@ -270,3 +270,9 @@ def test_direction_models_have_the_sizes_of_the_study(spark, small, monkeypatch)
     from tidemark.plans import forests
 
     assert sizes_of(monkeypatch, forests.direction_forecasts, spark, small) == [("boosted", 300), ("boosted", 500), ("forest", 300)]
+
+
+def test_return_models_have_the_sizes_of_the_study(spark, small, monkeypatch):
+    from tidemark.plans import forests
+
+    assert sizes_of(monkeypatch, forests.return_bands, spark, small) == [("boosted", 250)] * 4
