@@ -501,3 +501,18 @@ def test_models_of_one_instrument_and_one_series(spark):
     assert 0 < p["x"] < 1 and p["y"] is None
     ranges = {r["family"]: r for r in production.market_ranges(frame).collect()}
     assert ranges["x"]["range_low_1d"] < ranges["x"]["expected_close_1d"] < ranges["x"]["range_high_1d"] and ranges["y"]["prediction_status"].startswith("DEFERRED")
+
+
+def test_experience_memory_has_every_dimension_of_the_method(spark, small):
+    from tidemark.plans import serving
+
+    got = [r.asDict() for r in serving.experience_memory(spark, small).collect()]
+    of = lambda d: {r["segment"]: r for r in got if r["dimension"] == d}
+    total = sum(r["n"] for r in of("by_regime").values())
+    for d in ("by_market_situation", "daily", "daily_by_model"):
+        assert sum(r["n"] for r in of(d).values()) == total > 0
+    daily, by_model = of("daily"), of("daily_by_model")
+    assert all(sum(by_model[f"{x}|{m}"]["n"] for m in ("momentum", "reversal") if f"{x}|{m}" in by_model) == r["n"] for x, r in daily.items())
+    for k in (5, 20, 60):
+        assert of("rolling")[f"{k}_sessions"]["n"] == sum(daily[x]["n"] for x in sorted(daily)[-k:])
+    assert len(of("by_direction_confidence")) == 4 and len(of("by_model_disagreement")) == len(of("by_error_bucket")) == 5
