@@ -276,3 +276,30 @@ def test_return_models_have_the_sizes_of_the_study(spark, small, monkeypatch):
     from tidemark.plans import forests
 
     assert sizes_of(monkeypatch, forests.return_bands, spark, small) == [("boosted", 250)] * 4
+
+
+def test_both_ways_to_a_place_find_the_same():
+    rng = np.random.default_rng(5)
+    n, leaves, of_row = 50, 6, rng.integers(0, 6, (40, 3))
+    key = np.flatnonzero(rng.random(3 * leaves * n) < 0.4)
+    w = rng.integers(1, 1 << 40, len(key))
+    home = (np.arange(3) * leaves + of_row) * n
+    low, high = np.searchsorted(key, home), np.searchsorted(key, home + n)
+    sums = np.concatenate([[0], np.cumsum(w)])
+    more = (rng.random(40) * (sums[high] - sums[low]).sum(1)).astype(np.int64) + 1
+    got = trees._sorted_place(low, high, more, key % n, w, n), trees._halved_place(low, high, home, more, key, sums, n)
+    for r in range(40):
+        at = np.concatenate([np.arange(a, b) for a, b in zip(low[r], high[r], strict=True)])
+        want = next(x for x in range(n) if w[at][key[at] % n <= x].sum() >= more[r])
+        assert got[0][r] == got[1][r] == want
+
+
+def test_quantiles_of_a_large_table_are_those_of_its_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    train = spark.createDataFrame([([int(a), int(b)], float(v)) for a, b, v in zip(rng.integers(0, 9, 900), rng.integers(0, 7, 900), rng.normal(size=900), strict=True)], "leaf array<int>, v double")
+    test = spark.createDataFrame([(k, [k % 9, k % 7]) for k in range(300)], "id long, leaf array<int>")
+    of = lambda: sorted(map(tuple, trees.forest_quantiles(train, test, "id", "v", [0.1, 0.5, 0.9]).collect()))
+    plain, parts = of(), []
+    monkeypatch.setattr(trees, "SPOTS", 20)  # ranges are now put where quantiles lie
+    monkeypatch.setattr(trees, "_ranged_quantiles", lambda rows, asked, sizes, edges, levels, was=trees._ranged_quantiles: parts.append(list(edges)) or was(rows, asked, sizes, edges, levels))
+    assert of() == plain and len(parts) == 2 and parts[0] != parts[1]
